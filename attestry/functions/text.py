@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,13 +18,45 @@ from pyspark.sql.types import StringType
 
 from attestry import lexicons as L
 
+RARE_BREAK = "[\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 LINE_BREAK = "\r\n|[\n\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 WORD = r"[a-z0-9+#.]+"
+# Unicode white space, spelled out: a plain class is several times faster than (?U)\s.
+SPACES = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+S = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+NOT_S = r"[^\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def rx(
+    pattern: str, *, fold: bool = True, multiline: bool = False, unicode: bool = True
+) -> str:
+    """Add the flags every pattern here needs: Unicode classes, newline-only `.` and `$`."""
+    return f"(?d{'U' if unicode else ''}{'i' if fold else ''}{'m' if multiline else ''}){pattern}"
 
 
-def rx(pattern: str, *, fold: bool = True, multiline: bool = False) -> str:
-    """Add the flags every pattern here needs: Unicode classes, newline-only `.` and `$`."""
-    return f"(?Ud{'i' if fold else ''}{'m' if multiline else ''}){pattern}"
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def by_script(c: Column, build: Callable[[bool], Column]) -> Column:
+    """Unicode-aware patterns are slow; pure ASCII rows take the same pattern without the flag.
+
+    `c` should be a plain column, since it appears in both branches.
+    """
+    return F.when(is_ascii(c), build(False)).otherwise(build(True))
+
+
+def replace_all(
+    c: Column | str, pattern: str, to: str, *, fold: bool = True, multiline: bool = False
+) -> Column:
+    x = col(c)
+    return by_script(
+        x,
+        lambda u: F.regexp_replace(x, rx(pattern, fold=fold, multiline=multiline, unicode=u), to),
+    )
 
 
 def any_of(patterns: Iterable[str]) -> str:
@@ -48,7 +82,8 @@ def extract_all(c: Column | str, pattern: str, group: int = 0) -> Column:
 
 def extract(c: Column | str, pattern: str, group: int = 0) -> Column:
     """First match of `group`, NULL when there is none (an empty match also reads as none)."""
-    return F.nullif(F.regexp_extract(col(c), pattern, group), F.lit(""))
+    found = F.regexp_extract(col(c), pattern, group)
+    return let(found, lambda m: F.when(m != "", m))
 
 
 def count_of(c: Column | str, pattern: str) -> Column:
@@ -56,7 +91,7 @@ def count_of(c: Column | str, pattern: str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.trim(col(c), F.lit(SPACES))
 
 
 def strip_chars(c: Column, chars: str) -> Column:
@@ -65,7 +100,8 @@ def strip_chars(c: Column, chars: str) -> Column:
 
 
 def raw_lines(c: Column | str) -> Column:
-    return F.split(col(c), LINE_BREAK)
+    x = col(c)
+    return F.when(x.rlike(RARE_BREAK), F.split(x, LINE_BREAK)).otherwise(F.split(x, "\n"))
 
 
 def clean_lines(c: Column | str) -> Column:
@@ -74,7 +110,7 @@ def clean_lines(c: Column | str) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    return F.size(extract_all(c, r"(?U)\S+"))
+    return F.size(extract_all(c, NOT_S + "+"))
 
 
 def norm_words(c: Column | str) -> Column:
@@ -95,7 +131,7 @@ def in_list(c: Column, values: Iterable[str]) -> Column:
 def quote_words(c: Column | str, n: int) -> Column:
     """K6: the first `n` words, with a mark when more follow."""
     return let(
-        extract_all(c, r"(?U)\S+"),
+        extract_all(c, NOT_S + "+"),
         lambda w: F.concat(
             F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, F.lit("...")).otherwise("")
         ),
@@ -167,18 +203,31 @@ def nfkc(s: pd.Series) -> pd.Series:
 def normalise(c: Column | str) -> Column:
     """Drop invisible characters, fold compatibility forms, collapse white space.
 
-    Only text with a non-ASCII character is sent through Arrow; plain ASCII is its own NFKC.
+    Only text with a non-ASCII character is sent through Arrow; plain ASCII has no invisible
+    character and is its own NFKC.
     """
-    bare = F.regexp_replace(col(c), L.INVISIBLES, "")
-    folded = F.coalesce(nfkc(F.when(bare.rlike(r"[^\x00-\x7F]"), bare)), bare)
-    return strip(F.regexp_replace(folded, r"(?U)[\s\x1C-\x1F]+", " "))
+    x = col(c)
+    folded = nfkc(F.when(~is_ascii(x), F.regexp_replace(x, L.INVISIBLES, "")))
+    return strip(F.regexp_replace(F.coalesce(folded, x), S + "+", " "))
 
 
 def injection_match(
-    normalised: Column, patterns: Iterable[str] = L.INJECTION_PATTERNS
+    normalised: Column,
+    patterns: Iterable[str] = L.INJECTION_PATTERNS,
+    hints: Iterable[str] = L.INJECTION_HINTS,
 ) -> Column:
-    """the first instruction-like phrase in already normalised text, or NULL."""
-    return extract(normalised, rx(any_of(patterns)))
+    """the first instruction-like phrase in already normalised text, or NULL.
+
+    `hints` are words at least one of which stands in every possible match.  Looking for them
+    is a plain byte search, so the long alternation only ever runs on the few texts that hold
+    one.  Own patterns come with their own hints, or with none.
+    """
+    x = normalised
+    match = by_script(x, lambda u: extract(x, rx(any_of(patterns), unicode=u)))
+    if not hints:
+        return match
+    low = F.lower(x)
+    return F.when(reduce(or_, [low.contains(h) for h in hints]), match)
 
 
 def invisible_payload(c: Column | str, zero_width_min: int = 3) -> Column:
@@ -221,18 +270,21 @@ def invisible_payload(c: Column | str, zero_width_min: int = 3) -> Column:
 
 def specificity(c: Column | str) -> Column:
     """Figures and proper names raise it, vague verbs lower it, clipped to 0..1."""
-    words = extract_all(F.lower(col(c)), "[a-z]+")
-    vague = F.size(F.filter(words, lambda w: w.isin(*L.VAGUE_VERBS)))
-    concrete = count_of(c, rx(L.METRIC)) + count_of(c, rx(L.PROPER_WORD, fold=False))
-    score = F.lit(0.3) + concrete * 0.15 - vague * 0.2
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(
-        F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
-    )
+    x = col(c)
+    concrete = count_of(x, rx(L.METRIC)) + count_of(x, rx(L.PROPER_WORD, fold=False))
+
+    def score(words: Column) -> Column:
+        vague = F.size(F.filter(words, lambda w: w.isin(*L.VAGUE_VERBS)))
+        raw = F.lit(0.3) + concrete * 0.15 - vague * 0.2
+        return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(
+            F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3)
+        )
+
+    return let(extract_all(F.lower(x), "[a-z]+"), score)
 
 
 def json_block(c: Column | str) -> Column:
     """The JSON object inside fenced or chatty text, as text; NULL when there is none."""
-    fenced = F.regexp_extract(col(c), r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$", 1)
-    body = F.when(fenced != "", fenced).otherwise(col(c))
-    inner = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    return F.nullif(inner, F.lit(""))
+    x = col(c)
+    fenced = extract(x, r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$", 1)
+    return extract(F.coalesce(fenced, x), r"(?s)\{.*\}")

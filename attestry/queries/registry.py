@@ -7,6 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestry.sources.corpus import spread
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -24,6 +26,10 @@ class Tables:
             raise AttributeError(name)
         return self._spark.read.parquet(f"{self._root}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are expensive to process, spread over all cores if it is small."""
+        return spread(getattr(self, name))
+
 
 def query(sql: str | None = None, name: str | None = None):
     """Register `fn(tables)` under its own name, with the SQL that must give the same rows."""

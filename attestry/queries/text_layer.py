@@ -37,7 +37,7 @@ SMALL = replace(DEFAULT, max_bytes=20_000)
            CAST(length({strip("text")}) AS BIGINT) AS n_visible
     FROM documents""")
 def read_corpus(t):
-    taken = corpus.with_intake(t.documents, SMALL)
+    taken = corpus.with_intake(t.spread("documents"), SMALL)
     laid = corpus.as_layout(taken)
     return laid.select(
         "doc_id",
@@ -53,7 +53,7 @@ def read_corpus(t):
     SELECT doc_id, CAST(i - 1 AS BIGINT) AS span_no, ls[i] AS text, 11.0::DOUBLE AS size
     FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)""")
 def read_spans(t):
-    spans = corpus.read_spans(corpus.as_layout(t.documents))
+    spans = corpus.read_spans(corpus.as_layout(t.spread("documents")))
     return spans.select("doc_id", F.col("span_no").cast("long").alias("span_no"), "text", "size")
 
 
@@ -135,7 +135,7 @@ def hidden_span(t):
 
 def _styled(t):
     """Documents as layouts in which every seventh line is white on white."""
-    laid = corpus.as_layout(t.documents)
+    laid = corpus.as_layout(t.spread("documents"))
     return laid.withColumn(
         "spans",
         F.transform(
@@ -175,7 +175,7 @@ def injection_lexicon(t):
     text = F.when(
         F.col("doc_id") % 9 == 0, F.concat_ws("\n", "text", F.lit(_PHRASE))
     ).otherwise(F.col("text"))
-    rendered = t.documents.select("doc_id", text.alias("text"))
+    rendered = t.spread("documents").select("doc_id", text.alias("text"))
     return rendered.select(
         "doc_id", F.coalesce(injection_match(normalise("text")), F.lit("")).alias("phrase")
     )
@@ -199,7 +199,7 @@ def invisible_text(t):
             F.lit("a​b")
         ),
     )
-    return t.documents.select("doc_id", invisible_payload(text).alias("payload"))
+    return t.spread("documents").select("doc_id", invisible_payload(text).alias("payload"))
 
 
 @query(f"""
@@ -207,7 +207,7 @@ def invisible_text(t):
     SELECT doc_id, array_to_string(w[1:15], ' ') || CASE WHEN len(w) > 15 THEN '...' ELSE '' END AS quote
     FROM w""", name="quote_words")
 def quote_words_query(t):
-    return t.documents.select("doc_id", quote_words("text", 15).alias("quote"))
+    return t.spread("documents").select("doc_id", quote_words("text", 15).alias("quote"))
 
 
 # --- copied text --------------------------------------------------------------------------
@@ -244,7 +244,7 @@ _SHINGLES = f"""
                 ELSE 'none' END AS severity
     FROM runs""")
 def jd_clone(t):
-    runs = copies.copied_from_any(t.documents, t.benchmark)
+    runs = copies.copied_from_any(t.spread("documents"), t.benchmark)
     severity = F.coalesce(copies.clone_severity(F.col("copied_words")), F.lit("none"))
     return runs.withColumn("severity", severity)
 
@@ -261,7 +261,7 @@ _KEYWORD_COUNT = "CAST(doc_id % 12 AS INT)"
     FROM k""")
 def metadata_stuffing(t):
     keywords = F.array(*[F.lit(k) for k in L.TECH_KEYWORDS])
-    meta = t.documents.select(
+    meta = t.spread("documents").select(
         "doc_id",
         F.create_map(
             F.lit("keywords"),
@@ -287,7 +287,7 @@ def metadata_stuffing(t):
     SELECT doc_id, CASE WHEN u > 0 THEN round((u - i) / u, 6) END AS divergence,
            coalesce((u - i) / u > 0.08, false) AS flagged FROM d""")
 def reader_divergence(t):
-    both = t.documents.select(
+    both = t.spread("documents").select(
         "doc_id", "text", F.regexp_replace("text", "the ", " ").alias("other")
     )
     d = both.select(
@@ -326,7 +326,7 @@ def integrity_verdict(t):
 
 def _rendered_layout(t):
     """Documents with a hidden instruction, a comment, packed metadata or a second reader."""
-    laid = corpus.as_layout(t.documents)
+    laid = corpus.as_layout(t.spread("documents"))
     base = F.col("spans")
     plain = F.struct(
         F.lit("").alias("text"), F.lit(11.0).alias("size"), F.lit(0).alias("color"),
@@ -420,7 +420,7 @@ def redact_corpus(t):
               "Jordan wrote https://x.example/"), F.col("c_custkey"),
         F.lit(" and Docker notes; Women Who Code"),
     )
-    return redact(t.customer.select("c_custkey", text.alias("text"))).select(
+    return redact(t.spread("customer").select("c_custkey", text.alias("text"))).select(
         "c_custkey", "redacted"
     )
 
@@ -448,7 +448,7 @@ def residual_pii_audit(t):
         "phone": rf"\+?\d[\d\s\x0B\x1C-\x1F\x85\xA0  -     　().-]{{7,}}\d",
         "address": _IP,
     }
-    return residual_audit(t.documents, ["source", "lang"], rules)
+    return residual_audit(t.spread("documents"), ["source", "lang"], rules)
 
 
 # --- pages and exports --------------------------------------------------------------------
@@ -477,7 +477,7 @@ def _plain(expr: str) -> str:
            coalesce(array_to_string(ls, '|'), '') AS links, coalesce(tech, '') AS tech
     FROM b LEFT JOIN s USING (page_id)""")
 def read_pages(t):
-    p = pages.read_pages(t.pages)
+    p = pages.read_pages(t.spread("pages"))
     return p.select(
         "page_id",
         "text",
@@ -499,7 +499,7 @@ _ROBOTS = (
            NOT (starts_with(path, '/en/') AND NOT starts_with(path, '/en/2')) AS allowed
     FROM p""")
 def robots_allowed(t):
-    p = t.pages.select("page_id", urls.path("url").alias("path"))
+    p = t.spread("pages").select("page_id", urls.path("url").alias("path"))
     return p.withColumn("allowed", urls.robots_allowed(F.lit(_ROBOTS), F.col("path")))
 
 
@@ -519,7 +519,7 @@ def url_policy(t):
         .when(n % 8 == 7, F.concat(F.lit("http://0x7f."), n % 200, F.lit("/")))
         .otherwise(F.col("url"))
     )
-    return t.pages.select(
+    return t.spread("pages").select(
         "page_id", F.coalesce(urls.url_problem(url), F.lit("ok")).alias("problem")
     )
 
@@ -579,7 +579,7 @@ def parse_profile_export(t):
         F.when(F.col("o_orderkey") % 10 == 0, F.lit("")).otherwise(dated),
         F.lit("Education\nA School\nB.Sc.\n2001 - 2005\n"),
     )
-    raw = t.orders.select("o_orderkey", text.alias("content"))
+    raw = t.spread("orders").select("o_orderkey", text.alias("content"))
     rows = profiles.role_rows(
         profiles.parse_text_export(raw, key="o_orderkey"), key="o_orderkey"
     )

@@ -25,6 +25,16 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a small file: its few row groups make fewer splits than there are cores.
+
+    Only the plan is inspected.  Large inputs already have more splits than cores and are
+    returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_intake(docs: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """Mark every document accepted (reason NULL) or refused with a reason and a remedy.
 

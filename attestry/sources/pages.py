@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestry import lexicons as L
 from attestry.conf import DEFAULT, Config
 from attestry.functions.skills import GRAPH, SkillGraph, canonical
-from attestry.functions.text import col, extract_all, norm_words, rx
+from attestry.functions.text import S, col, extract_all, norm_words, rx
 from attestry.functions.urls import absolute, demo_links
 
 
@@ -17,7 +17,7 @@ def html_text(c: Column | str) -> Column:
     body = F.regexp_replace(col(c), "(?si)" + L.SCRIPT_OR_STYLE, " ")
     text = F.regexp_replace(body, L.HTML_TAG, " ")
     text = F.regexp_replace(F.regexp_replace(text, "&amp;", "&"), "&nbsp;", " ")
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, S + "+", " "))
 
 
 def headings(c: Column | str, conf: Config = DEFAULT) -> Column:
