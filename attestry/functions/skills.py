@@ -36,8 +36,11 @@ class SkillGraph:
 GRAPH = SkillGraph()
 
 
-def phrases(c: Column, max_words: int) -> Column:
-    """Every run of up to `max_words` words with what stands between them, as written."""
+def phrases(c: Column, max_words: int, *, word: str = r"\w") -> Column:
+    """Every run of up to `max_words` words with what stands between them, as written.
+
+    `word` is the inside of the character class words are made of.
+    """
 
     def runs(pieces: Column, span: int) -> Column:
         starts = F.filter(
@@ -46,7 +49,7 @@ def phrases(c: Column, max_words: int) -> Column:
         return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, span), ""))
 
     return let(
-        extract_all(c, r"(?U)\w+|[^\w]+"),
+        extract_all(c, f"(?U)[{word}]+|[^{word}]+"),
         lambda ps: F.flatten(F.array(*[runs(ps, 2 * n - 1) for n in range(1, max_words + 1)])),
     )
 
