@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from attestry import lexicons as L
+from attestry.functions.rounding import round_even
 
 RARE_BREAK = "[\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 LINE_BREAK = "\r\n|[\n\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
@@ -76,6 +77,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """`round_even` of something expensive: evaluated once, then rounded."""
+    return let(value, lambda v: round_even(v, digits))
+
+
 def extract_all(c: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
 
@@ -277,7 +283,7 @@ def specificity(c: Column | str) -> Column:
         vague = F.size(F.filter(words, lambda w: w.isin(*L.VAGUE_VERBS)))
         raw = F.lit(0.3) + concrete * 0.15 - vague * 0.2
         return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(
-            F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3)
+            rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 3)
         )
 
     return let(extract_all(F.lower(x), "[a-z]+"), score)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.conf import DEFAULT, Config
+from attestry.functions.rounding import round_even
 from attestry.functions.skills import GRAPH, SkillGraph
 from attestry.operators import claims as C
 from attestry.operators import consistency as K
@@ -151,7 +152,7 @@ def assess(
     judged = claims.join(verdicts, [key, "claim_no"]).withColumn(
         "epistemic_tag", T.epistemic_tag(F.col("status"))
     ).withColumn(
-        "weight", F.bround(T.claim_weight(F.col("type"), F.col("required"), conf), 3)
+        "weight", round_even(T.claim_weight(F.col("type"), F.col("required"), conf), 3)
     )
 
     # findings and scores

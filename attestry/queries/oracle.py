@@ -15,7 +15,9 @@ def quoted(text: str) -> str:
 
 def values(rows, columns: str, name: str) -> str:
     def lit(v):
-        return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else quoted(v)
+        if isinstance(v, float):
+            return f"{v!r}::DOUBLE"
+        return "NULL" if v is None else str(v) if isinstance(v, int) else quoted(v)
 
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS {name}_v({columns})) {name}"

@@ -19,7 +19,7 @@ class Tables:
     """The driver's tables by attribute: `t.orders`, `t.documents`, …"""
 
     def __init__(self, spark: SparkSession, root: str):
-        self._spark, self._root = spark, root
+        self.spark, self._spark, self._root = spark, spark, root
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
