@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Sums of scores go through this type: decimal addition has no rounding, so the order in which
+# partial sums are combined can never show in a result.
+EXACT = "decimal(24,6)"
+
 _SPLIT = 134217729.0  # 2**27 + 1
 
 
@@ -14,6 +18,11 @@ def _halves(c: float) -> tuple[float, float]:
     return high, c - high
 
 
+def exact_sum(x: Column) -> Column:
+    """Order-independent sum of values that carry at most six decimals."""
+    return F.sum(x.cast(EXACT)).cast("double")
+
+
 def round_even(x: Column, digits: int) -> Column:
     """Half-to-even on the exact value, so 2.675 (which is a little less) gives 2.67.
 

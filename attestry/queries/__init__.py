@@ -1,6 +1,6 @@
 """All registered queries and their oracle SQL."""
 
-from attestry.queries import scoring_layer, text_layer  # noqa: F401
+from attestry.queries import evidence_layer, scoring_layer, text_layer  # noqa: F401
 from attestry.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -43,4 +43,21 @@ def norm_words(expr: str) -> str:
     return f"regexp_extract_all(lower({expr}), '[a-z0-9+#.]+')"
 
 
+def exact_round(expr: str, digits: int) -> str:
+    """Half-to-even on the exact binary value; the error of the scaling product is recovered."""
+    scale = 10.0**digits
+    t = 134217729.0 * scale
+    ch = t - (t - scale)
+    cl = scale - ch
+    x, d = "x", "::DOUBLE"
+    xh = f"(x * 134217729.0{d} - (x * 134217729.0{d} - x))"
+    xl = f"(x - {xh})"
+    p = f"(x * {scale!r}{d})"
+    err = f"({xl} * {cl!r}{d} - ((({p} - {xh} * {ch!r}{d}) - {xl} * {ch!r}{d}) - {xh} * {cl!r}{d}))"
+    rest = f"({p} - floor({p}))"
+    tie = f"CASE WHEN {err} > 0 THEN 1.0{d} WHEN {err} < 0 THEN 0.0{d} ELSE abs(floor({p}) % 2) END"
+    up = f"CASE WHEN {rest} > 0.5 THEN 1.0{d} WHEN {rest} < 0.5 THEN 0.0{d} ELSE {tie} END"
+    return f"list_transform([({expr})::DOUBLE], lambda {x}: (floor({p}) + {up}) / {scale!r}{d})[1]"
+
+
 ALIASES = values(GRAPH.aliases(), "alias, ord, skill", "al")

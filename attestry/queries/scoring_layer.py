@@ -13,7 +13,7 @@ from attestry.functions.skills import GRAPH
 from attestry.functions.text import extract_all, raw_lines, sections, strip
 from attestry.functions.titles import is_full_time
 from attestry.operators import consistency, questions, requirements, resume, scoring, skills, trust
-from attestry.queries.oracle import ALIASES, lines, norm_words, values
+from attestry.queries.oracle import ALIASES, exact_round, lines, norm_words, values
 from attestry.queries.registry import query
 from attestry.sources import dims
 
@@ -60,16 +60,16 @@ def status_mapping(t):
 
 @query(f"""
     WITH {_MATCHED},
-    a AS (SELECT l_orderkey, sum(CASE WHEN priority = 'Must Have' THEN 2.0 ELSE 1.0 END * value) AS num,
-            sum(CASE WHEN value IS NOT NULL THEN CASE WHEN priority = 'Must Have' THEN 2.0 ELSE 1.0 END END) AS den,
+    a AS (SELECT l_orderkey, CAST(sum(CAST(CASE WHEN priority = 'Must Have' THEN 2.0 ELSE 1.0 END * value AS DECIMAL(24,6))) AS DOUBLE) AS num,
+            sum(CASE WHEN value IS NOT NULL THEN CASE WHEN priority = 'Must Have' THEN 2.0 ELSE 1.0 END END)::DOUBLE AS den,
             sum(CASE WHEN value IS NULL THEN CASE WHEN priority = 'Must Have' THEN 2.0 ELSE 1.0 END END) AS miss,
             sum(CASE WHEN priority = 'Must Have' THEN 2.0 ELSE 1.0 END) AS total,
             count(CASE WHEN priority = 'Must Have' AND status = 'Missing' THEN 1 END) AS n_missing_must,
             string_agg(CASE WHEN priority = 'Must Have' AND status = 'Missing' THEN requirement END, '; ' ORDER BY requirement) AS missing_must,
             string_agg(CASE WHEN priority = 'Must Have' AND status = 'Not Enough Evidence' THEN requirement END, '; ' ORDER BY requirement) AS unresolved_must
           FROM v GROUP BY l_orderkey)
-    SELECT l_orderkey, coalesce(den > 0, false) AS assessable, coalesce(round_even(100 * num / den, 1), 0.0)::DOUBLE AS base_score,
-           round_even(1 - coalesce(miss, 0)::DOUBLE / total, 2) AS score_confidence, n_missing_must,
+    SELECT l_orderkey, coalesce(den > 0, false) AS assessable, coalesce({exact_round("num * 100 / den", 1)}, 0.0)::DOUBLE AS base_score,
+           {exact_round("1 - coalesce(miss, 0)::DOUBLE / total", 2)} AS score_confidence, n_missing_must,
            coalesce(missing_must, '') AS missing_must, coalesce(unresolved_must, '') AS unresolved_must
     FROM a""")
 def compose_score(t):
