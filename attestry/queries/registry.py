@@ -19,12 +19,12 @@ class Tables:
     """The driver's tables by attribute: `t.orders`, `t.documents`, …"""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self._spark, self._root = spark, spark, root
+        self.spark, self.root = spark, root
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self._spark.read.parquet(f"{self._root}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
         """A table whose rows are expensive to process, spread over all cores if it is small."""

@@ -8,48 +8,60 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from attestry.conf import DEFAULT, Config
-from attestry.operators.ledger import upsert
+from attestry.operators.ledger import latest_per_key
 
 TERMINAL = ("ok", "error", "skipped")
 
 
-# --- T1 -----------------------------------------------------------------------------------
+# --- running ------------------------------------------------------------------------------
 
 
-def stream_screen(
-    documents: DataFrame, screen: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, *,
-    keys: list[str], order: list[str],
+def land(
+    stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append",
+    change: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> StreamingQuery:
-    """Screen newly landed documents and upsert their reports.
+    """Process everything available, one folder per batch under `path`.
 
-    `screen` is the batch plan, so a streamed corpus and a batch corpus give the same rows.
-    Each batch is written as its own version folder and the merge reads all of them, so a batch
-    replayed after a failure overwrites itself.
+    A batch replayed after a failure overwrites its own folder, so nothing is written twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        screen(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
+        change(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        documents.writeStream.foreachBatch(write)
+        stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def merged_reports(spark, path: str, keys: list[str]) -> DataFrame:
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """All batches, with their number in `batch`."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+
+# --- T1 -----------------------------------------------------------------------------------
+
+
+def stream_screen(
+    documents: DataFrame, screen: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+) -> StreamingQuery:
+    """Screen newly landed documents.  `screen` is the batch plan itself, so a streamed
+    corpus and a batch corpus give the same rows."""
+    return land(documents, path, checkpoint, change=screen)
+
+
+def merged_reports(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest report per key over all batches."""
-    rows = spark.read.parquet(path)
-    empty = rows.limit(0)
-    return upsert(empty, rows, keys, ["batch_id"]).drop("batch_id", "batch")
+    return latest_per_key(landed(spark, path), keys, ["batch"]).drop("batch")
 
 
 # --- T2 -----------------------------------------------------------------------------------
@@ -85,14 +97,36 @@ def close_open_stages(progress_: DataFrame) -> DataFrame:
 
 # --- T3 -----------------------------------------------------------------------------------
 
+FETCH_OUT = "key string, event_id bigint, ts timestamp"
+
+
+def _keep_after_ttl(ttl: float):
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for pdf in frames:
+            pdf = pdf.sort_values(["ts", "event_id"])
+            kept = []
+            for event_id, ts in zip(pdf["event_id"], pdf["ts"], strict=True):
+                now = ts.timestamp()
+                if last is None or now - last >= ttl:
+                    last = now
+                    kept.append((key[0], event_id, ts))
+            yield pd.DataFrame(kept, columns=["key", "event_id", "ts"])
+        if last is not None:
+            state.update((last,))
+
+    return step
+
 
-def ttl_dedup(fetches: DataFrame, keys: list[str], conf: Config = DEFAULT, *, ts: str = "ts",
-              status: str = "status_code") -> DataFrame:
-    """An artefact fetched again within the TTL is not processed again; only definitive
-    answers are remembered."""
-    definitive = fetches.where(F.col(status).isin(200, 404))
-    return definitive.withWatermark(ts, f"{conf.ttl_hours} hours").dropDuplicatesWithinWatermark(
-        keys
+def ttl_dedup(fetches: DataFrame, conf: Config = DEFAULT) -> DataFrame:
+    """fetches(key, event_id, ts, status_code) → those that are processed.
+
+    An artefact fetched again within the TTL of the fetch that was processed is not processed
+    again; only definitive answers are remembered.  State is one number per artefact.
+    """
+    definitive = fetches.where(F.col("status_code").isin(200, 404)).select("key", "event_id", "ts")
+    return definitive.groupBy("key").applyInPandasWithState(
+        _keep_after_ttl(conf.ttl_hours * 3600.0), FETCH_OUT, "last double", "append", "NoTimeout"
     )
 
 
@@ -108,49 +142,95 @@ def take(tokens: float, stamp: float, now: float, rate: float, burst: float):
 
 
 RATE_OUT = "client string, event_id bigint, ts timestamp, allowed boolean, wait_s double"
-
-
-class TokenBucket(StatefulProcessor):
-    """T4 on a stream: bucket level and time stamp per client live in the state store."""
-
-    def __init__(self, rate: float, burst: float):
-        self.rate, self.burst = rate, burst
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", "tokens double, stamp double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        tokens, stamp = self.burst, None
-        if self.level.exists():
-            tokens, stamp = self.level.get()
-        for pdf in rows:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            out = []
-            for event_id, ts in zip(pdf["event_id"], pdf["ts"], strict=True):
-                now = ts.timestamp()
-                tokens, wait = take(tokens, now if stamp is None else stamp, now, self.rate, self.burst)
-                stamp = now if stamp is None else max(stamp, now)
-                out.append((key[0], event_id, ts, wait == 0.0, wait))
-            yield pd.DataFrame(out, columns=["client", "event_id", "ts", "allowed", "wait_s"])
+_RATE_COLUMNS = ["client", "event_id", "ts", "allowed", "wait_s"]
+
+
+def _audit_rows(client, pdf: pd.DataFrame, tokens: float, stamp, rate: float, burst: float):
+    out = []
+    for event_id, ts in zip(pdf["event_id"], pdf["ts"], strict=True):
+        now = ts.timestamp()
+        tokens, wait = take(tokens, now if stamp is None else stamp, now, rate, burst)
+        stamp = now
+        out.append((client, event_id, ts, wait == 0.0, wait))
+    return pd.DataFrame(out, columns=_RATE_COLUMNS), tokens, stamp
+
+
+def _bucket_step(rate: float, burst: float):
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tokens, stamp = state.get if state.exists else (burst, None)
+        for pdf in frames:
+            rows, tokens, stamp = _audit_rows(
+                key[0], pdf.sort_values(["ts", "event_id"]), tokens, stamp, rate, burst
+            )
+            yield rows
         if stamp is not None:
-            self.level.update((tokens, stamp))
+            state.update((tokens, stamp))
 
-    def close(self) -> None:
-        pass
+    return step
 
 
 def stream_rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
-    """events(client, event_id, ts) → every event with its verdict."""
+    """T4: events(client, event_id, ts) → every event with its verdict; state is two numbers."""
     return (
         events.select("client", "event_id", "ts")
         .groupBy("client")
-        .transformWithStateInPandas(
-            statefulProcessor=TokenBucket(conf.rate_per_min / 60.0, conf.burst),
-            outputStructType=RATE_OUT,
-            outputMode="Append",
-            timeMode="None",
+        .applyInPandasWithState(
+            _bucket_step(conf.rate_per_min / 60.0, conf.burst),
+            RATE_OUT, "tokens double, stamp double", "append", "NoTimeout",
         )
+    )
+
+
+def rate_audit(events: DataFrame, conf: Config = DEFAULT, *, slice_s: int = 86_400) -> DataFrame:
+    """T4 in batch.  A pause long enough to refill the bucket makes what follows independent of
+    what came before, so the fold runs per (client, busy period): even one very busy client
+    spreads over as many tasks as it has pauses.
+
+    Pauses are found inside fixed slices of time; the last event before each slice comes from a
+    small table with one row per (client, slice).  The fold itself streams sorted batches and
+    carries two numbers, so a period is never held in memory.
+    """
+    rate, burst = conf.rate_per_min / 60.0, conf.burst
+    refill = burst / rate
+    rows = events.select("client", "event_id", F.col("ts").cast("timestamp")).withColumn(
+        "_s", F.floor(F.unix_micros("ts") / (slice_s * 1_000_000))
     )
+    ends = rows.groupBy("client", "_s").agg(F.max("ts").alias("_end"))
+    over = Window.partitionBy("client").orderBy("_s")
+    ends = ends.select("client", "_s", F.lag("_end").over(over).alias("_before"))
+    inside = Window.partitionBy("client", "_s").orderBy("ts", "event_id")
+    gap = (F.unix_micros("ts") - F.unix_micros("_prev")) / 1e6
+    marked = (
+        rows.join(ends, ["client", "_s"])
+        .withColumn("_prev", F.coalesce(F.lag("ts").over(inside), "_before"))
+        .withColumn("_new", F.when(F.col("_prev").isNull() | (gap >= refill), F.col("ts")))
+    )
+    starts = marked.groupBy("client", "_s").agg(F.max("_new").alias("_last"))
+    carried = starts.select(
+        "client", "_s",
+        F.last("_last", ignorenulls=True)
+        .over(over.rowsBetween(Window.unboundedPreceding, -1))
+        .alias("_carry"),
+    )
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    periods = marked.join(carried, ["client", "_s"]).select(
+        "client", "event_id", "ts",
+        F.coalesce(F.last("_new", ignorenulls=True).over(upto), "_carry").alias("period"),
+    )
+    ordered = periods.repartition("client", "period").sortWithinPartitions(
+        "client", "period", "ts", "event_id"
+    )
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, tokens, stamp = None, burst, None
+        for batch in batches:
+            for key, part in batch.groupby(["client", "period"], sort=False):
+                if key != current:
+                    current, tokens, stamp = key, burst, None
+                done, tokens, stamp = _audit_rows(key[0], part, tokens, stamp, rate, burst)
+                yield done
+
+    return ordered.mapInPandas(fold, RATE_OUT)
 
 
 # --- T5, T6 -------------------------------------------------------------------------------
@@ -159,7 +239,8 @@ def stream_rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
 def stalled(events: DataFrame, key: str, conf: Config = DEFAULT, *, ts: str = "ts") -> DataFrame:
     """T5: work whose events stop for longer than the gap; closed sessions leave the state."""
     return (
-        events.withWatermark(ts, conf.watermark)
+        events.withColumn(ts, F.col(ts).cast("timestamp"))
+        .withWatermark(ts, conf.watermark)
         .groupBy(F.session_window(ts, conf.stall_gap).alias("w"), key)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(key, F.col("w.start").alias("started"), F.col("w.end").alias("stalled_at"), "n")
@@ -170,7 +251,8 @@ def audit_counts(events: DataFrame, kind: str, *, ts: str = "ts", width: str = "
                  conf: Config = DEFAULT) -> DataFrame:
     """Tumbling counts per kind."""
     return (
-        events.withWatermark(ts, conf.watermark)
+        events.withColumn(ts, F.col(ts).cast("timestamp"))
+        .withWatermark(ts, conf.watermark)
         .groupBy(F.window(ts, width).alias("w"), kind)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("day"), kind, "n")
