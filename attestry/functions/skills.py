@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry import lexicons as L
 from attestry.conf import DEFAULT, Config
-from attestry.functions.text import extract_all, let, lookup, norm_words, strip
+from attestry.functions.text import extract_all, fixed, let, lookup, norm_words, strip
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def canonical(c: Column, graph: SkillGraph = GRAPH) -> Column:
     """J1 as an expression: exact spelling first, else the first spelling in graph order that
     stands at word boundaries inside the text; NULL when none does."""
     ordinals = {a: i for a, i, _ in graph.aliases()}
-    by_ordinal = F.array(*[F.lit(s) for _, _, s in graph.aliases()])
+    by_ordinal = fixed([s for _, _, s in graph.aliases()])
 
     def resolve(low: Column) -> Column:
         inside = F.array_min(

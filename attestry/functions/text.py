@@ -124,10 +124,28 @@ def norm_words(c: Column | str) -> Column:
     return extract_all(F.lower(col(c)), WORD)
 
 
+def _sql(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, bool) or v is None:
+        return "NULL" if v is None else str(v).lower()
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, dict):
+        return "map(" + ", ".join(f"{_sql(k)}, {_sql(x)}" for k, x in v.items()) + ")"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql(x) for x in v) + ")"
+    return str(v)
+
+
+def fixed(value) -> Column:
+    """A Python list or dictionary as one constant expression."""
+    return F.expr(_sql(value))
+
+
 def lookup(table: dict, key: Column) -> Column:
     """A fixed dictionary as an expression; NULL where the key is unknown."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(fixed(table), key)
 
 
 def in_list(c: Column, values: Iterable[str]) -> Column:

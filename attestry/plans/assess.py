@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from attestry.operators import consistency as K
 from attestry.operators import judging as J
 from attestry.operators import repo_evidence as R
 from attestry.operators import trust as T
+from attestry.session import cut_lineage
 from attestry.sources.repos import read_listing
 
 SCHEMAS = {
@@ -84,9 +86,13 @@ def _with_consent(ev: Evidence) -> tuple[DataFrame, ...]:
 
 def assess(
     profiles: DataFrame, required: DataFrame, ev: Evidence, conf: Config = DEFAULT,
-    graph: SkillGraph = GRAPH,
+    graph: SkillGraph = GRAPH, *, stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Assessment:
-    """profiles(candidate_id, text, profile columns), required(candidate_id, requirement)."""
+    """profiles(candidate_id, text, profile columns), required(candidate_id, requirement).
+
+    `stage` materialises what several branches read, which keeps the plan a chain of short
+    steps and each text and each repository processed once.
+    """
     key = "candidate_id"
     listing, external, pages = _with_consent(ev)
 
@@ -95,7 +101,7 @@ def assess(
         .distinct()
         .withColumn("_req", F.lit(True))
     )
-    claims = (
+    claims = stage(
         C.extract_claims(profiles, keys=[key])
         .withColumn("_low", F.lower("text"))
         .join(needed, [key, "_low"], "left")
@@ -107,22 +113,32 @@ def assess(
     skill_claims = claims.where("type = 'SKILL'")
 
     # which repositories are examined, and what they show
-    wanted = R.skill_terms(
-        skill_claims.select(key, "text")
-        .unionByName(required.select(key, F.col("requirement").alias("text")))
-        .distinct(),
-        graph,
-    ).select(key, "canon", "key").distinct()
-    repos = R.repo_profile(
-        read_listing(listing, conf), ev.paths, ev.languages, ev.commits, ev.readmes,
-        ev.manifests, conf, mine=_own_commit(ev),
+    wanted = stage(
+        R.skill_terms(
+            skill_claims.select(key, "text")
+            .unionByName(required.select(key, F.col("requirement").alias("text")))
+            .distinct(),
+            graph,
+        )
+        .select(key, "canon", "key")
+        .distinct()
+    )
+    repos = stage(
+        R.repo_profile(
+            read_listing(listing, conf), ev.paths, ev.languages, ev.commits, ev.readmes,
+            ev.manifests, conf, mine=_own_commit(ev),
+        )
     )
-    shown = R.skill_evidence(repos, graph)
+    shown = stage(R.skill_evidence(repos, graph))
     ranked = R.rank_repos(repos, R.listing_relevance(repos, wanted, graph), conf)
-    examined = R.mark_examined(
-        ranked, R.coverage(wanted, shown, keys=[key, "canon"]), wanted, conf
+    examined = stage(
+        R.mark_examined(
+            stage(ranked), stage(R.coverage(wanted, shown, keys=[key, "canon"])), wanted, conf
+        )
+    )
+    accounts = stage(
+        ev.sources.select(key, "username").join(R.account_status(examined), key, "left")
     )
-    accounts = ev.sources.select(key, "username").join(R.account_status(examined), key, "left")
 
     # verdicts
     by_claim = R.coverage(
@@ -133,7 +149,7 @@ def assess(
         key, "role_no", "r.title", "r.company", "r.start", "r.end"
     )
     matched = K.best_employer(roles, external.where("status = 'ok' AND role_no IS NOT NULL"), conf)
-    conflicts = K.external_conflicts(matched, conf)
+    conflicts = stage(K.external_conflicts(matched, conf))
 
     def of(kind: str) -> DataFrame:
         return claims.where(F.col("type") == kind)
@@ -149,14 +165,20 @@ def assess(
             )
         )
     )
-    judged = claims.join(verdicts, [key, "claim_no"]).withColumn(
-        "epistemic_tag", T.epistemic_tag(F.col("status"))
-    ).withColumn(
-        "weight", round_even(T.claim_weight(F.col("type"), F.col("required"), conf), 3)
+    judged = stage(
+        claims.join(verdicts, [key, "claim_no"])
+        .withColumn("epistemic_tag", T.epistemic_tag(F.col("status")))
+        .withColumn(
+            "weight", round_even(T.claim_weight(F.col("type"), F.col("required"), conf), 3)
+        )
     )
 
     # findings and scores
-    internal = K.with_internal_findings(profiles, conf)
+    internal = stage(
+        K.with_internal_findings(profiles, conf).select(
+            key, "findings", "internal_checks", F.size("experience").alias("n_roles")
+        )
+    )
     findings = K.all_findings(internal, conflicts, key=key)
     located = J.locate_findings(
         internal.select(key, F.posexplode("findings").alias("finding_no", "f")).select(
@@ -198,10 +220,7 @@ def _summary(
     web = pages.groupBy(key).agg(F.min("status").alias("_page"), F.lit(True).alias("_has_page"))
     base = (
         internal.select(
-            key,
-            F.size("findings").alias("n_internal"),
-            "internal_checks",
-            F.size("experience").alias("n_roles"),
+            key, F.size("findings").alias("n_internal"), "internal_checks", "n_roles"
         )
         .join(roll, key, "left")
         .join(style, key, "left")

@@ -17,7 +17,7 @@ from attestry.plans.assess import Evidence
 from attestry.plans.evaluate import evaluate
 from attestry.plans.screen import results_rows, screen_corpus
 from attestry.queries.registry import query
-from attestry.session import cut_lineage, shared_dir
+from attestry.session import shared_dir
 from attestry.sources.corpus import as_layout
 
 CONF = replace(DEFAULT, as_of=date(2026, 7, 1))
@@ -528,7 +528,7 @@ _SCREEN = """
     FROM s""", name="screen_corpus")
 def screen_corpus_query(t):
     apps, docs, jds = _screening_inputs(t)
-    s = screen_corpus(apps, as_layout(docs), jds, Evidence.of(t.spark), CONF, stage=cut_lineage)
+    s = screen_corpus(apps, as_layout(docs), jds, Evidence.of(t.spark), CONF)
     return results_rows(s.reports).select(
         "candidate_id", "overall_match_score", "score_confidence", "recommendation",
         "authenticity_band", "integrity_action",

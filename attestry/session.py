@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
-    return named or tempfile.mkdtemp(prefix="attestry-")
+    if not named:
+        app = spark.sparkContext.applicationId
+        named = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="attestry-")
+        _LOCAL[app] = named
+    return named
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder so that a lost executor does not replay the plan."""
+    """Write `df` as a table in the shared folder and read it back.
+
+    What several branches read is computed once; a lost executor re-reads files instead of
+    replaying the plan; and the readers still prune columns and know the table's size.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
