@@ -236,7 +236,12 @@ def bootstrap_ci(
     (n of them have a Poisson(n) weight in total), so the work grows with the distinct pairs
     and not with units × reps.
     """
-    by = by or []
+    if not by:
+        whole = bootstrap_ci(
+            units.withColumn("_all", F.lit("all")), numerator, denominator, ["_all"],
+            reps=reps, seed=seed, low=low, high=high,
+        )
+        return whole.drop("_all")
     alike = units.groupBy(*by, numerator, denominator).agg(F.count(F.lit(1)).alias("_n"))
     drawn = alike.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
         "_w",
@@ -263,13 +268,7 @@ def bootstrap_ci(
         F.count(F.lit(1)).alias("n_units"),
     )
     intervals = ordered.select(*by, at(low).alias("lo"), at(high).alias("hi"))
-    if by:
-        return point.join(intervals, by, "left")
-    return (
-        point.withColumn("_k", F.lit(1))
-        .join(intervals.withColumn("_k", F.lit(1)), "_k", "left")
-        .drop("_k")
-    )
+    return point.join(intervals, by, "left")
 
 
 # --- detection, fairness, errors ----------------------------------------------------------
@@ -354,24 +353,39 @@ def producer_tally(
     calls: DataFrame, task: str, producer: str, fell_back: Column, reason: Column, *,
     reason_chars: int = 300,
 ) -> DataFrame:
-    """Per task the modal producer, calls, whether any fell back, and distinct reasons."""
+    """Per task the modal producer, calls, whether any fell back, and distinct reasons.
+
+    A reason takes at least three characters of the joined text, so only the first few distinct
+    reasons per task can show and no more are gathered.
+    """
     per = calls.groupBy(task, producer).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.bool_or(fell_back).alias("_fell"),
-        F.collect_set(reason).alias("_why"),
+        F.count(F.lit(1)).alias("_n"), F.bool_or(fell_back).alias("_fell")
     )
-    return per.groupBy(task).agg(
+    tally = per.groupBy(task).agg(
         F.min_by(producer, F.struct(-F.col("_n"), producer)).alias("producer"),
         F.sum("_n").alias("calls"),
         F.bool_or("_fell").alias("fell_back"),
-        F.substring(
-            F.array_join(
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("_why")))), "; "
-            ),
-            1,
-            reason_chars,
-        ).alias("reason"),
     )
+    first = (
+        calls.select(task, producer, reason.alias("_why"))
+        .where("_why IS NOT NULL")
+        .groupBy(task, "_why")
+        .agg(F.min(producer).alias("_by"))
+    )
+    w = Window.partitionBy(task).orderBy("_by", "_why")
+    reasons = (
+        first.withColumn("_rn", F.row_number().over(w))
+        .where(F.col("_rn") <= reason_chars // 3 + 1)
+        .groupBy(task)
+        .agg(F.array_sort(F.collect_list(F.struct("_rn", "_why"))).alias("_r"))
+        .select(
+            task,
+            F.substring(
+                F.array_join(F.transform("_r", lambda r: r["_why"]), "; "), 1, reason_chars
+            ).alias("reason"),
+        )
+    )
+    return tally.join(reasons, task, "left")
 
 
 def worst_errors(pairs: DataFrame, truth: str, predicted: str, key: str, n: int = 10) -> DataFrame:

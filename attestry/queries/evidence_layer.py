@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestry.conf import DEFAULT
@@ -86,7 +87,7 @@ def inflation_signals(t):
            CASE WHEN s_suppkey % 10 = 0 THEN 'tutorial_clone' ELSE '' END AS flags
     FROM supplier JOIN k ON s_suppkey = l_suppkey""")
 def repo_profile(t):
-    key = F.col("s_nationkey").cast("string").alias("candidate_id")
+    key = F.col("s_suppkey").cast("string").alias("candidate_id")
     name = F.concat(F.lit("repo-"), "s_suppkey").alias("name")
     base = t.supplier.select(key, name, "s_suppkey")
     listing = read_listing(
@@ -95,7 +96,7 @@ def repo_profile(t):
             F.lit("2024-01-01").alias("pushed_at"), F.array().cast("array<string>").alias("topics"),
             F.lit("main").alias("default_branch"), F.lit("").alias("description"), F.lit("Python").alias("language"),
         ),
-        replace(CONF, max_repos=10**9),
+        CONF,
     )
     which = F.col("s_suppkey") % 3
     tree = (
@@ -204,24 +205,28 @@ def dependency_join(t):
 
 
 @query("""
-    SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal < 0, s_suppkey % 3 = 0 DESC, s_acctbal DESC, s_suppkey) AS exam_no,
-           CAST((s_suppkey % 3 = 0)::INT AS BIGINT) AS relevance
-    FROM supplier WHERE s_acctbal >= 0""")
+    WITH l AS (SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) <= 30),
+    r AS (SELECT s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal < 0, s_suppkey % 3 = 0 DESC, s_acctbal DESC, s_suppkey) AS exam_no FROM l)
+    SELECT s_suppkey, exam_no, CAST((s_suppkey % 3 = 0)::INT AS BIGINT) AS relevance FROM r WHERE s_acctbal >= 0 AND exam_no <= 8""")
 def repo_ranking(t):
-    base = t.supplier.select(
-        F.col("s_nationkey").cast("string").alias("candidate_id"), F.format_string("%09d", "s_suppkey").alias("name"),
-        (F.col("s_acctbal") < 0).alias("fork"),
-        F.format_string("%010.2f", "s_acctbal").alias("pushed_at"),
-        F.when(F.col("s_suppkey") % 3 == 0, "An Apache Kafka toy").otherwise("A toy").alias("description"),
-        F.lit("").alias("language"), F.array().cast("array<string>").alias("topics"),
-        F.col("s_suppkey").alias("list_no"),
-    )
+    order = Window.partitionBy("candidate_id").orderBy(F.desc("pushed_at"), "name")
+    listing = read_listing(
+        t.supplier.select(
+            F.col("s_nationkey").cast("string").alias("candidate_id"), F.format_string("%09d", "s_suppkey").alias("name"),
+            (F.col("s_acctbal") < 0).alias("fork"), F.lit("").alias("created_at"),
+            F.format_string("%010.2f", F.col("s_acctbal") + 100000).alias("pushed_at"),
+            F.array().cast("array<string>").alias("topics"), F.lit("").alias("default_branch"),
+            F.when(F.col("s_suppkey") % 3 == 0, "An Apache Kafka toy").otherwise("A toy").alias("description"),
+            F.lit("").alias("language"),
+        ),
+        CONF,
+    ).withColumn("list_no", F.row_number().over(order))
     wanted = R.skill_terms(
-        base.select("candidate_id").distinct().withColumn("text", F.lit("Kafka"))
+        listing.select("candidate_id").distinct().withColumn("text", F.lit("Kafka"))
     ).select("candidate_id", "canon", "key")
-    ranked = R.rank_repos(base, R.listing_relevance(base, wanted), CONF)
-    return ranked.where("NOT fork").select(
-        F.col("list_no").alias("s_suppkey"), F.col("exam_no").cast("long").alias("exam_no"),
+    ranked = R.rank_repos(listing, R.listing_relevance(listing, wanted), CONF)
+    return ranked.where(F.col("exam_no") <= CONF.max_repos_analyzed).select(
+        F.col("name").cast("long").alias("s_suppkey"), F.col("exam_no").cast("long").alias("exam_no"),
         "relevance",
     )
 

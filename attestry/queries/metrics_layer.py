@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from attestry.conf import DEFAULT
+from attestry.functions.text import clean_lines
 from attestry.operators import ledger
 from attestry.operators import metrics as M
 from attestry.operators.narrative import check_narratives
@@ -16,6 +17,7 @@ from attestry.plans import invariance
 from attestry.plans.assess import Evidence
 from attestry.plans.evaluate import evaluate
 from attestry.plans.screen import results_rows, screen_corpus
+from attestry.queries.oracle import lines
 from attestry.queries.registry import query
 from attestry.session import shared_dir
 from attestry.sources.corpus import as_layout
@@ -70,17 +72,16 @@ def confusion_matrix(t):
     l AS (SELECT x.label, sum(CASE WHEN a = label AND b = label THEN n ELSE 0 END) AS tp,
                  sum(CASE WHEN a <> b AND (a = label OR b = label) THEN n ELSE 0 END) AS wrong
           FROM m, (SELECT unnest([0, 1]) AS label) x GROUP BY x.label)
-    SELECT round(avg(2 * tp / (2 * tp + wrong)), 6) AS macro_f1, count(*) AS labels,
-           (SELECT round(sum(CASE WHEN a = b THEN n ELSE 0 END) / sum(n), 6) FROM m) AS accuracy FROM l""")
+    SELECT 'macro_f1' AS metric, round(avg(2 * tp / (2 * tp + wrong)), 6) AS value, count(*) AS n FROM l
+    UNION ALL SELECT 'accuracy', round(sum(CASE WHEN a = b THEN n ELSE 0 END) / sum(n), 6), CAST(sum(n) AS BIGINT) FROM m""")
 def macro_f1(t):
     matrix = M.confusion(t.labels, "quality", "toxic")
     f1 = M.macro_f1(matrix, "quality", "toxic")
     acc = M.accuracy(matrix, "quality", "toxic")
-    one = F.lit(1).alias("_k")
-    return (
-        f1.select(one, F.round("macro_f1", 6).alias("macro_f1"), "labels")
-        .join(acc.select(one, F.round("accuracy", 6).alias("accuracy")), "_k")
-        .drop("_k")
+    return f1.select(
+        F.lit("macro_f1").alias("metric"), F.round("macro_f1", 6).alias("value"), F.col("labels").alias("n")
+    ).unionByName(
+        acc.select(F.lit("accuracy").alias("metric"), F.round("accuracy", 6).alias("value"), "n")
     )
 
 
@@ -97,27 +98,39 @@ def auroc(t):
 @query("""
     WITH r AS (SELECT (n_chars % 1000) / 1000.0::DOUBLE AS c, quality AS ok FROM documents JOIN labels USING (doc_id)),
     b AS (SELECT CAST(least(9, floor(c * 10)) AS INT) AS bin, count(*) AS n, avg(c) AS mc, avg(ok) AS acc FROM r GROUP BY 1)
-    SELECT bin, n, round(mc, 6) AS mean_confidence, round(acc, 6) AS accuracy,
-           round(sum(n * abs(acc - mc)) OVER () / sum(n) OVER (), 6) AS ece FROM b""")
+    SELECT bin, n, round(mc, 6) AS mean_confidence, round(acc, 6) AS accuracy FROM b
+    UNION ALL SELECT -1, CAST(sum(n) AS BIGINT), NULL, round(sum(n * abs(acc - mc)) / sum(n), 6) FROM b""")
 def calibration(t):
     rows = _labelled(t).withColumn("c", (F.col("n_chars") % 1000) / 1000.0)
     bins = M.calibration_bins(rows, "c", F.col("quality") == 1)
-    ece = M.expected_calibration_error(bins).select(F.round("ece", 6).alias("ece"))
-    one = F.lit(1)
-    return (
-        bins.withColumn("_k", one)
-        .join(ece.withColumn("_k", one), "_k")
-        .select(
-            "bin", "n", F.round("mean_confidence", 6).alias("mean_confidence"),
-            F.round("accuracy", 6).alias("accuracy"), "ece",
+    shown = bins.select(
+        "bin", "n", F.round("mean_confidence", 6).alias("mean_confidence"),
+        F.round("accuracy", 6).alias("accuracy"),
+    )
+    # the error itself is the extra row with bin -1
+    return shown.unionByName(
+        M.expected_calibration_error(bins).select(
+            F.lit(-1).alias("bin"), "n", F.lit(None).cast("double").alias("mean_confidence"),
+            F.round("ece", 6).alias("accuracy"),
         )
     )
 
 
-@query()
+@query("""
+    SELECT lang, round(avg(quality), 6) AS value, count(*) AS n_units, true AS inside, true AS plausible
+    FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
 def bootstrap_ci(t):
     units = _labelled(t).select("lang", F.col("quality").alias("num"), F.lit(1).alias("den"))
-    return M.bootstrap_ci(units, "num", "den", ["lang"])
+    ci = M.bootstrap_ci(units, "num", "den", ["lang"])
+    # the interval itself depends on the draws; it must hold the estimate and have the width
+    # the normal approximation predicts
+    expected = 3.92 * F.sqrt(F.col("value") * (1 - F.col("value")) / F.col("n_units"))
+    width = (F.col("hi") - F.col("lo")) / expected
+    return ci.select(
+        "lang", F.round("value", 6).alias("value"), "n_units",
+        F.col("value").between(F.col("lo"), F.col("hi")).alias("inside"),
+        width.between(0.75, 1.25).alias("plausible"),
+    )
 
 
 @query("""
@@ -206,9 +219,11 @@ def citation_validity(t):
 @query("""
     WITH c AS (SELECT event_type, 'p' || (user_id % 4) AS producer, value > 70 AS fell, CASE WHEN value > 60 THEN 'r' || (user_id % 3) END AS why FROM events),
     n AS (SELECT event_type, producer, count(*) AS n FROM c GROUP BY 1, 2),
-    m AS (SELECT event_type, producer, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, producer) AS rn FROM n)
-    SELECT c.event_type, any_value(m.producer) AS producer, count(*) AS calls, bool_or(fell) AS fell_back, left(string_agg(DISTINCT why, '; ' ORDER BY why), 300) AS reason
-    FROM c JOIN m ON m.event_type = c.event_type AND rn = 1 GROUP BY c.event_type""")
+    m AS (SELECT event_type, producer, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, producer) AS rn FROM n),
+    f AS (SELECT event_type, why, min(producer) AS p FROM c WHERE why IS NOT NULL GROUP BY 1, 2),
+    g AS (SELECT event_type, left(string_agg(why, '; ' ORDER BY p, why), 300) AS reason FROM f GROUP BY 1)
+    SELECT c.event_type, any_value(m.producer) AS producer, count(*) AS calls, bool_or(fell) AS fell_back, any_value(reason) AS reason
+    FROM c JOIN m ON m.event_type = c.event_type AND rn = 1 LEFT JOIN g ON g.event_type = c.event_type GROUP BY c.event_type""")
 def producer_tally(t):
     calls = t.events.withColumn("producer", F.concat(F.lit("p"), F.col("user_id") % 4))
     why = F.when(F.col("value") > 60, F.concat(F.lit("r"), F.col("user_id") % 3))
@@ -330,28 +345,23 @@ def screening_progress(t):
     )
 
 
-@query("""
-    WITH g AS (SELECT l_orderkey, list_sort(list(l_linenumber || '-' || l_partkey) FILTER (l_returnflag = 'R')) AS r,
-                 list_sort(list(l_linenumber || '-' || l_partkey) FILTER (l_returnflag = 'N')) AS n FROM lineitem GROUP BY l_orderkey)
-    SELECT l_orderkey AS candidate_id, round(o_totalprice, 2) AS base_score, o_orderstatus AS recommendation,
-           coalesce(array_to_string(r[1:2], ','), '') AS strengths, coalesce(array_to_string(n[1:3], ','), '') AS gaps
-    FROM g JOIN orders ON l_orderkey = o_orderkey""")
+@query(f"""
+    WITH l AS (SELECT doc_id, source, n_chars, {lines("text")} AS ls FROM documents)
+    SELECT doc_id AS candidate_id, n_chars::DOUBLE AS base_score, source AS recommendation, md5(array_to_string(ls[1:2], '|')) AS strengths,
+           array_to_string(list_transform(ls[1:3], lambda x: CAST(length(x) AS VARCHAR)), ',') AS gaps FROM l""")
 def results_row(t):
-    name = F.concat_ws("-", "l_linenumber", "l_partkey")
-    picked = lambda f: F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == f, name)))
-    parts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        picked("R").alias("matched_skills"), picked("N").alias("missing_or_unclear")
-    )
-    reports = t.orders.join(parts, "o_orderkey").select(
-        F.col("o_orderkey").alias("candidate_id"), F.lit(0).alias("overall_match_score"),
-        F.struct(F.round("o_totalprice", 2).alias("base_score"), F.lit(1.0).alias("score_confidence")).alias("score_breakdown"),
-        F.col("o_orderstatus").alias("recommendation"), "matched_skills", "missing_or_unclear",
+    rows = t.spread("documents").select("doc_id", "source", "n_chars", clean_lines("text").alias("ls"))
+    reports = rows.select(
+        F.col("doc_id").alias("candidate_id"), F.lit(0).alias("overall_match_score"),
+        F.struct(F.col("n_chars").cast("double").alias("base_score"), F.lit(1.0).alias("score_confidence")).alias("score_breakdown"),
+        F.col("source").alias("recommendation"), F.col("ls").alias("matched_skills"),
+        F.transform("ls", lambda x: F.length(x).cast("string")).alias("missing_or_unclear"),
         F.struct(F.lit("benign").alias("intent"), F.lit("proceed").alias("action")).alias("integrity"),
         F.struct(F.lit("MODERATE").alias("band")).alias("authenticity"),
     )
     return results_rows(reports).select(
         "candidate_id", "base_score", "recommendation",
-        F.array_join("strengths", ",").alias("strengths"), F.array_join("gaps", ",").alias("gaps"),
+        F.md5(F.array_join("strengths", "|")).alias("strengths"), F.array_join("gaps", ",").alias("gaps"),
     )
 
 
@@ -533,3 +543,35 @@ def screen_corpus_query(t):
         "candidate_id", "overall_match_score", "score_confidence", "recommendation",
         "authenticity_band", "integrity_action",
     )
+
+
+@query(f"""
+    WITH {_SCREEN},
+    v AS (SELECT c_custkey, base, miss, CASE WHEN base < 40 OR miss >= 2 THEN 'n' WHEN base >= 75 AND miss = 0 THEN 's' ELSE 'r' END AS label,
+                 100.0 * (2 * must::INT + 2 * (years + 5 >= need)::INT + pref::INT) / 5 AS base4, (NOT must)::INT + (years + 5 < need)::INT AS miss4 FROM s),
+    w AS (SELECT *, CASE WHEN base4 < 40 OR miss4 >= 2 THEN 'n' WHEN base4 >= 75 AND miss4 = 0 THEN 's' ELSE 'r' END AS label4 FROM v)
+    SELECT 'p3' AS variant, count(*) AS n, 0.0::DOUBLE AS mean_delta, CAST(0 AS BIGINT) AS max_drop, 1.0::DOUBLE AS identical FROM w
+    UNION ALL SELECT 'p4', count(*), round(avg(round(base4) - round(base)), 6), CAST(max(round(base) - round(base4)) AS BIGINT),
+           round(avg((base = base4 AND label = label4)::INT), 6) FROM w""")
+def invariance_audit(t):
+    apps, docs, jds = _screening_inputs(t)
+    # a second, open-ended role so that the date edit applies; it adds no time of its own
+    later = F.regexp_replace("text", "\nSkills\n", "\nClerk at Shop, 2026 - 2026\nSkills\n")
+    edited = invariance.variants(docs.withColumn("text", later), names=("primary", "p3", "p4"))
+    key = F.concat_ws("/", "doc_id", "variant")
+    runs = edited.select(key.alias("run"), "doc_id", "variant", "text")
+    apps = runs.join(apps.drop("candidate_id"), "doc_id").select(
+        F.col("run").alias("candidate_id"), F.col("run").alias("doc_id"), "jd_id"
+    )
+    layouts = as_layout(runs.select(F.col("run").alias("doc_id"), "text"))
+    s = screen_corpus(apps, layouts, jds, Evidence.of(t.spark), CONF)
+    results = s.reports.select(
+        F.substring_index("candidate_id", "/", 1).alias("doc_id"),
+        F.substring_index("candidate_id", "/", -1).alias("variant"),
+        "overall_match_score", "recommendation",
+    )
+    out = invariance.compare(results)
+    return out.select(
+        "variant", "n", F.round("mean_delta", 6).alias("mean_delta"),
+        F.col("max_drop").cast("long").alias("max_drop"), F.round("identical", 6).alias("identical"),
+    )

@@ -33,7 +33,7 @@ _MATCHED = f"""
     v AS (SELECT *, CASE status WHEN 'Matched' THEN 1.0 WHEN 'Partially Matched' THEN coalesce(0.8 * score, 0.5)
                     WHEN 'Missing' THEN 0.0 END::DOUBLE AS value,
                  CASE WHEN l_tax < 0.05 THEN 'Must Have' ELSE 'Preferred' END AS priority,
-                 'part ' || l_partkey || ' line ' || l_linenumber AS requirement FROM s)"""
+                 'skill ' || (l_partkey % 20) AS requirement FROM s)"""
 
 
 def _statuses(t):
@@ -65,8 +65,8 @@ def status_mapping(t):
             sum(CASE WHEN value IS NULL THEN CASE WHEN priority = 'Must Have' THEN 2.0 ELSE 1.0 END END) AS miss,
             sum(CASE WHEN priority = 'Must Have' THEN 2.0 ELSE 1.0 END) AS total,
             count(CASE WHEN priority = 'Must Have' AND status = 'Missing' THEN 1 END) AS n_missing_must,
-            string_agg(CASE WHEN priority = 'Must Have' AND status = 'Missing' THEN requirement END, '; ' ORDER BY requirement) AS missing_must,
-            string_agg(CASE WHEN priority = 'Must Have' AND status = 'Not Enough Evidence' THEN requirement END, '; ' ORDER BY requirement) AS unresolved_must
+            array_to_string(list_sort(list_distinct(list(requirement) FILTER (priority = 'Must Have' AND status = 'Missing'))), '; ') AS missing_must,
+            array_to_string(list_sort(list_distinct(list(requirement) FILTER (priority = 'Must Have' AND status = 'Not Enough Evidence'))), '; ') AS unresolved_must
           FROM v GROUP BY l_orderkey)
     SELECT l_orderkey, coalesce(den > 0, false) AS assessable, coalesce({exact_round("num * 100 / den", 1)}, 0.0)::DOUBLE AS base_score,
            {exact_round("1 - coalesce(miss, 0)::DOUBLE / total", 2)} AS score_confidence, n_missing_must,
@@ -75,7 +75,7 @@ def status_mapping(t):
 def compose_score(t):
     rows = _statuses(t).select(
         "l_orderkey",
-        F.concat(F.lit("part "), "l_partkey", F.lit(" line "), "l_linenumber").alias("requirement"),
+        F.concat(F.lit("skill "), F.col("l_partkey") % 20).alias("requirement"),
         F.when(F.col("l_tax") < 0.05, "Must Have").otherwise("Preferred").alias("priority"),
         "status",
         "partial_score",
@@ -410,12 +410,13 @@ def total_years(t):
 
 @query(f"""
     WITH {_SPANS}
-    SELECT a.o_custkey, a.o_orderkey AS id_a, b.o_orderkey AS id_b, CAST(least(a.hi, b.hi) - b.lo AS BIGINT) AS overlap_months
-    FROM m a JOIN m b ON a.o_custkey = b.o_custkey AND (a.lo < b.lo OR (a.lo = b.lo AND a.o_orderkey < b.o_orderkey))
-    WHERE least(a.hi, b.hi) - b.lo > 2""")
+    SELECT a.o_custkey, a.o_orderkey AS id, count(*) AS overlaps
+    FROM m a JOIN m b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey
+    WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) > 2 GROUP BY 1, 2""")
 def role_overlap(t):
-    pairs = consistency.overlapping_intervals(_spans(t), "o_custkey")
-    return pairs.withColumn("overlap_months", F.col("overlap_months").cast("long"))
+    return consistency.overlap_counts(_spans(t), "o_custkey").where("overlaps > 0").select(
+        "o_custkey", "id", "overlaps"
+    )
 
 
 _TECH = [("FastAPI", 2018), ("Django", 2005), ("Kafka", 2011), ("Docker", 2013), ("React", 2013)]

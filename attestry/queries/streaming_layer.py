@@ -109,7 +109,7 @@ def rate_audit(t):
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS stalled, count(*) AS n
     FROM s GROUP BY user_id, sid""")
 def stalled_work(t):
-    out = jobs.stalled(t.events, "user_id", replace(DEFAULT, stall_gap="6 hours"))
+    out = jobs.stalled_batch(t.events, "user_id", 6 * 3600.0)
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return out.select(
         "user_id", shown("started").alias("started"), shown("stalled_at").alias("stalled"), "n"

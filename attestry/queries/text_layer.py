@@ -400,6 +400,24 @@ def scan_integrity_query(t):
     )
 
 
+@query(f"""
+    WITH l AS (SELECT doc_id, len({lines("text")}) AS n FROM documents)
+    SELECT doc_id, n > 0 AND doc_id % 3 <> 0 AND (CASE WHEN doc_id % 2 = 0 THEN 10.0 * n / (10.0 * n + 2.0) ELSE n / (n + 1.0) END) >= 0.8 AS is_ocr FROM l""")
+def ocr_layer(t):
+    # every line becomes invisible text with a box on even documents, plus one visible span
+    laid = corpus.as_layout(t.spread("documents"))
+    boxed = F.when(F.col("doc_id") % 2 == 0, 10.0).otherwise(0.0)
+    base = corpus.text_spans(F.lit("x"))
+    spans = F.concat(
+        F.transform("spans", lambda s: s.withField("render_mode", F.lit(3)).withField("x1", boxed).withField("y1", F.lit(1.0))),
+        F.transform(base, lambda s: s.withField("x1", boxed / 5).withField("y1", F.lit(1.0))),
+    )
+    rows = laid.withColumn("spans", spans).withColumn(
+        "image_cover", F.when(F.col("doc_id") % 3 == 0, 0.2).otherwise(0.95)
+    )
+    return integrity.quarantine(rows).select("doc_id", "is_ocr")
+
+
 # --- masking ------------------------------------------------------------------------------
 
 

@@ -181,42 +181,60 @@ def stream_rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     )
 
 
-def rate_audit(events: DataFrame, conf: Config = DEFAULT, *, slice_s: int = 86_400) -> DataFrame:
-    """T4 in batch.  A pause long enough to refill the bucket makes what follows independent of
-    what came before, so the fold runs per (client, busy period): even one very busy client
-    spreads over as many tasks as it has pauses.
-
-    Pauses are found inside fixed slices of time; the last event before each slice comes from a
-    small table with one row per (client, slice).  The fold itself streams sorted batches and
-    carries two numbers, so a period is never held in memory.
+def busy_periods(
+    events: DataFrame, key: str, gap_s: float, *, ts: str = "ts", tie: str = "event_id",
+    slice_s: int = 86_400,
+) -> DataFrame:
+    """Add `period`: the start of the run of events without a pause of `gap_s` or more.
+
+    Pauses are found inside fixed slices of time; what came before a slice is read from a small
+    table with one row per (key, slice).  A very busy key therefore spreads over as many tasks
+    as it has slices, and nothing sorts all of its rows together.
     """
-    rate, burst = conf.rate_per_min / 60.0, conf.burst
-    refill = burst / rate
-    rows = events.select("client", "event_id", F.col("ts").cast("timestamp")).withColumn(
-        "_s", F.floor(F.unix_micros("ts") / (slice_s * 1_000_000))
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withColumn(
+        "_s", F.floor(F.unix_micros(ts) / (slice_s * 1_000_000))
+    )
+    over = Window.partitionBy(key).orderBy("_s")
+    ends = (
+        rows.groupBy(key, "_s")
+        .agg(F.max(ts).alias("_end"))
+        .select(key, "_s", F.lag("_end").over(over).alias("_before"))
     )
-    ends = rows.groupBy("client", "_s").agg(F.max("ts").alias("_end"))
-    over = Window.partitionBy("client").orderBy("_s")
-    ends = ends.select("client", "_s", F.lag("_end").over(over).alias("_before"))
-    inside = Window.partitionBy("client", "_s").orderBy("ts", "event_id")
-    gap = (F.unix_micros("ts") - F.unix_micros("_prev")) / 1e6
+    inside = Window.partitionBy(key, "_s").orderBy(ts, tie)
+    pause = (F.unix_micros(ts) - F.unix_micros("_prev")) / 1e6
     marked = (
-        rows.join(ends, ["client", "_s"])
-        .withColumn("_prev", F.coalesce(F.lag("ts").over(inside), "_before"))
-        .withColumn("_new", F.when(F.col("_prev").isNull() | (gap >= refill), F.col("ts")))
+        rows.join(ends, [key, "_s"])
+        .withColumn("_prev", F.coalesce(F.lag(ts).over(inside), "_before"))
+        .withColumn("_new", F.when(F.col("_prev").isNull() | (pause >= gap_s), F.col(ts)))
+    )
+    carried = (
+        marked.groupBy(key, "_s")
+        .agg(F.max("_new").alias("_last"))
+        .select(
+            key,
+            "_s",
+            F.last("_last", ignorenulls=True)
+            .over(over.rowsBetween(Window.unboundedPreceding, -1))
+            .alias("_carry"),
+        )
     )
-    starts = marked.groupBy("client", "_s").agg(F.max("_new").alias("_last"))
-    carried = starts.select(
-        "client", "_s",
-        F.last("_last", ignorenulls=True)
-        .over(over.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_carry"),
-    )
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    periods = marked.join(carried, ["client", "_s"]).select(
-        "client", "event_id", "ts",
-        F.coalesce(F.last("_new", ignorenulls=True).over(upto), "_carry").alias("period"),
-    )
+    return (
+        marked.join(carried, [key, "_s"])
+        .withColumn(
+            "period", F.coalesce(F.last("_new", ignorenulls=True).over(upto), "_carry")
+        )
+        .drop("_s", "_before", "_prev", "_new", "_carry")
+    )
+
+
+def rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
+    """T4 in batch.  A pause long enough to refill the bucket makes what follows independent of
+    what came before, so the fold runs per (client, busy period).  It streams sorted batches and
+    carries two numbers, so a period is never held in memory.
+    """
+    rate, burst = conf.rate_per_min / 60.0, conf.burst
+    periods = busy_periods(events.select("client", "event_id", "ts"), "client", burst / rate)
     ordered = periods.repartition("client", "period").sortWithinPartitions(
         "client", "period", "ts", "event_id"
     )
@@ -247,6 +265,17 @@ def stalled(events: DataFrame, key: str, conf: Config = DEFAULT, *, ts: str = "t
     )
 
 
+def stalled_batch(
+    events: DataFrame, key: str, gap_s: float, *, ts: str = "ts", tie: str = "event_id"
+) -> DataFrame:
+    """T5 in batch: the same sessions from busy periods."""
+    periods = busy_periods(events, key, gap_s, ts=ts, tie=tie)
+    return periods.groupBy(key, F.col("period").alias("started")).agg(
+        (F.max(ts) + F.make_dt_interval(secs=F.lit(gap_s))).alias("stalled_at"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
 def audit_counts(events: DataFrame, kind: str, *, ts: str = "ts", width: str = "1 day",
                  conf: Config = DEFAULT) -> DataFrame:
     """Tumbling counts per kind."""
