@@ -58,13 +58,17 @@ def canonical(c: Column, graph: SkillGraph = GRAPH) -> Column:
     """J1 as an expression: exact spelling first, else the first spelling in graph order that
     stands at word boundaries inside the text; NULL when none does."""
     ordinals = {a: i for a, i, _ in graph.aliases()}
+    spellings = list(ordinals)
     by_ordinal = fixed([s for _, _, s in graph.aliases()])
 
     def resolve(low: Column) -> Column:
         inside = F.array_min(
             F.transform(phrases(low, graph.max_words()), lambda p: lookup(ordinals, p))
         )
-        return F.get(by_ordinal, F.coalesce(lookup(ordinals, low), inside))
+        # Most words are no skill: a hashed membership test settles those without touching the
+        # map, and only text with something between words can hold a spelling inside it.
+        exact = F.when(low.isin(*spellings), lookup(ordinals, low))
+        return F.get(by_ordinal, F.coalesce(exact, F.when(low.rlike(r"(?U)\W"), inside)))
 
     return let(F.lower(strip(c)), resolve)
 

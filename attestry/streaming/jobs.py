@@ -242,11 +242,16 @@ def rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tokens, stamp = None, burst, None
         for batch in batches:
-            for key, part in batch.groupby(["client", "period"], sort=False):
-                if key != current:
-                    current, tokens, stamp = key, burst, None
-                done, tokens, stamp = _audit_rows(key[0], part, tokens, stamp, rate, burst)
-                yield done
+            nows = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+            allowed, waits = [], []
+            for client, period, now in zip(batch["client"], batch["period"], nows, strict=True):
+                if (client, period) != current:
+                    current, tokens, stamp = (client, period), burst, now
+                tokens, wait = take(tokens, stamp, now, rate, burst)
+                stamp = now
+                allowed.append(wait == 0.0)
+                waits.append(wait)
+            yield batch[["client", "event_id", "ts"]].assign(allowed=allowed, wait_s=waits)
 
     return ordered.mapInPandas(fold, RATE_OUT)
 
