@@ -89,7 +89,7 @@ def macro_f1(t):
     WITH s AS (SELECT lang, n_chars, quality = 1 AS pos FROM documents JOIN labels USING (doc_id)),
     r AS (SELECT lang, pos, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS r FROM s),
     g AS (SELECT lang, sum(CASE WHEN pos THEN r END) AS rp, count(CASE WHEN pos THEN 1 END) AS n_pos, count(CASE WHEN NOT pos THEN 1 END) AS n_neg FROM r GROUP BY lang)
-    SELECT lang, n_pos, n_neg, round((rp - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 6) AS auroc FROM g""")
+    SELECT lang, n_pos, n_neg, CASE WHEN n_pos * n_neg > 0 THEN round((rp - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 6) END AS auroc FROM g""")
 def auroc(t):
     out = M.auroc(_labelled(t), "n_chars", F.col("quality") == 1, ["lang"])
     return out.select("lang", "n_pos", "n_neg", F.round("auroc", 6).alias("auroc"))
