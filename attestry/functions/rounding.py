@@ -23,6 +23,15 @@ def exact_sum(x: Column) -> Column:
     return F.sum(x.cast(EXACT)).cast("double")
 
 
+def total(*terms: Column) -> Column:
+    """The sum of a few terms without the error of adding doubles one after the other."""
+    exact = [t.cast("double").cast("decimal(30,15)") for t in terms]
+    out = exact[0]
+    for t in exact[1:]:
+        out = out + t
+    return out.cast("double")
+
+
 def round_even(x: Column, digits: int) -> Column:
     """Half-to-even on the exact value, so 2.675 (which is a little less) gives 2.67.
 

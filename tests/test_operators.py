@@ -268,3 +268,13 @@ def test_poisson_draws_have_the_right_moments(spark):
         )
         m, v = df.select(F.avg("w"), F.var_samp("w")).first()
         assert m == pytest.approx(mean, rel=0.03) and v == pytest.approx(mean, rel=0.06)
+
+
+def test_weighted_factors_add_up_exactly(one):
+    # 0.1375 + 0.085 + 0.07 is 0.2925, a little under the tie
+    factors = {
+        "skill_similarity": F.lit(0.55), "concept_overlap": F.lit(0.0),
+        "experience_years": F.lit(0.0), "project_evidence": F.lit(0.0),
+        "tech_proximity": F.lit(0.85), "learning_curve": F.lit(0.7),
+    }
+    assert one(skills.weighted(factors)) == 0.292
