@@ -235,15 +235,23 @@ def rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """
     rate, burst = conf.rate_per_min / 60.0, conf.burst
     periods = busy_periods(events.select("client", "event_id", "ts"), "client", burst / rate)
-    ordered = periods.repartition("client", "period").sortWithinPartitions(
-        "client", "period", "ts", "event_id"
+    # the fold sees plain numbers, so no time zone can touch them on the way through Arrow
+    ordered = (
+        periods.select(
+            "client",
+            "event_id",
+            F.unix_micros("ts").alias("us"),
+            F.unix_micros("period").alias("period"),
+        )
+        .repartition("client", "period")
+        .sortWithinPartitions("client", "period", "us", "event_id")
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, tokens, stamp = None, burst, None
         for batch in batches:
-            nows = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
             allowed, waits = [], []
+            nows = batch["us"].to_numpy() / 1e6
             for client, period, now in zip(batch["client"], batch["period"], nows, strict=True):
                 if (client, period) != current:
                     current, tokens, stamp = (client, period), burst, now
@@ -251,9 +259,14 @@ def rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
                 stamp = now
                 allowed.append(wait == 0.0)
                 waits.append(wait)
-            yield batch[["client", "event_id", "ts"]].assign(allowed=allowed, wait_s=waits)
+            yield batch[["client", "event_id", "us"]].assign(allowed=allowed, wait_s=waits)
 
-    return ordered.mapInPandas(fold, RATE_OUT)
+    done = ordered.mapInPandas(
+        fold, "client string, event_id bigint, us bigint, allowed boolean, wait_s double"
+    )
+    return done.select(
+        "client", "event_id", F.timestamp_micros("us").alias("ts"), "allowed", "wait_s"
+    )
 
 
 # --- T5, T6 -------------------------------------------------------------------------------
