@@ -231,16 +231,18 @@ def repo_ranking(t):
     )
 
 
+_SHAPE = "CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END"
+
 # A small world per part: one candidate, one repository, three skills.
 _SKILLS = ("Python", "FastAPI", "Kafka")
 
 
 def _world(t):
-    n = F.col("p_size") % 4
+    n = F.expr(_SHAPE)
     base = t.part.select(
         F.col("p_partkey").cast("string").alias("candidate_id"),
         F.lit("toolbox").alias("name"),
-        "p_partkey", "p_size", "p_name",
+        "p_partkey", "p_size", "p_name", "p_type",
     )
     empty = F.array().cast("array<string>")
     listing = base.select(
@@ -276,7 +278,7 @@ def _world(t):
     )
 
 
-_KIND = """CASE p_size % 4 WHEN 0 THEN CASE WHEN s = 'Python' THEN 'language' END WHEN 1 THEN CASE WHEN s = 'FastAPI' THEN 'topic' END
+_KIND = f"""CASE {_SHAPE} WHEN 0 THEN CASE WHEN s = 'Python' THEN 'language' END WHEN 1 THEN CASE WHEN s = 'FastAPI' THEN 'topic' END
            WHEN 2 THEN CASE WHEN s = 'Kafka' THEN 'readme' END ELSE CASE WHEN s IN ('Python', 'FastAPI') THEN 'manifest' END END"""
 _SKILL_WORLD = f"""
     k AS (SELECT p_partkey, p_size, i AS claim_no, s, {_KIND} AS kind, least((p_partkey % 11) / 10.0, 1.0)::DOUBLE AS r
@@ -418,7 +420,7 @@ def judge_project(t):
 
 
 @query("""
-    SELECT p_partkey, 'fork_claimed_as_own' AS flag, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'cited' END AS name
+    SELECT p_partkey, 'fork_claimed_as_own' AS flag, CASE WHEN p_size <= 25 THEN p_name ELSE 'cited' END AS name
     FROM part""")
 def cited_repo_flags(t):
     base, w = _world(t)
@@ -428,11 +430,11 @@ def cited_repo_flags(t):
     )
     claims = base.select(
         "candidate_id", F.lit(1).alias("claim_no"), F.lit("PROJECT").alias("type"),
-        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Built the whole of "), "p_name", F.lit(" over two years"))).otherwise(
+        F.when(F.col("p_size") <= 25, F.concat(F.lit("Built the whole of "), "p_name", F.lit(" over two years"))).otherwise(
             "Something else entirely that nobody named"
         ).alias("text"),
     )
-    judged = base.where("p_size % 2 = 1").select(
+    judged = base.where("p_size > 25").select(
         "candidate_id", F.lit(1).alias("claim_no"), F.lit("github.com/u/cited").alias("citation")
     )
     found = J.cited_repo_flags(
@@ -469,7 +471,7 @@ def _roles(t):
         ),
     )
     external = (
-        t.orders.where("o_orderkey % 5 <> 0")
+        t.orders.where("o_orderstatus <> 'P'")
         .select(key, F.lit("ok").alias("status"), F.explode(both).alias("r"))
         .select("candidate_id", "status", "r.*")
     )
@@ -477,7 +479,7 @@ def _roles(t):
 
 
 @query("""
-    SELECT o_orderkey, CAST(1 AS BIGINT) AS ext_no, 1.0::DOUBLE AS employer_ratio FROM orders WHERE o_orderkey % 5 <> 0""")
+    SELECT o_orderkey, CAST(1 AS BIGINT) AS ext_no, 1.0::DOUBLE AS employer_ratio FROM orders WHERE o_orderstatus <> 'P'""")
 def best_employer_match(t):
     mine, external = _roles(t)
     m = K.best_employer(mine, external, CONF)
@@ -489,7 +491,7 @@ def best_employer_match(t):
 
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN 'date_conflict' ELSE 'title_mismatch' END AS type
-    FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0""")
+    FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 4 <> 0""")
 def external_conflicts(t):
     mine, external = _roles(t)
     found = K.external_conflicts(K.best_employer(mine, external, CONF), CONF)
@@ -497,7 +499,7 @@ def external_conflicts(t):
 
 
 @query("""
-    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'UNVERIFIABLE' WHEN o_orderkey % 4 = 0 THEN 'CORROBORATED' ELSE 'CONTRADICTED' END AS status
+    SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'UNVERIFIABLE' WHEN o_orderkey % 4 = 0 THEN 'CORROBORATED' ELSE 'CONTRADICTED' END AS status
     FROM orders""")
 def judge_role(t):
     mine, external = _roles(t)
@@ -512,7 +514,7 @@ def judge_role(t):
 @query("""
     SELECT o_orderkey, 'technology_anachronism' AS type, 'resume_only' AS scope FROM orders WHERE o_orderkey % 23 > 8
     UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN 'date_conflict' ELSE 'title_mismatch' END, 'cross_source'
-    FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0""")
+    FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 4 <> 0""")
 def findings(t):
     mine, external = _roles(t)
     found = K.external_conflicts(K.best_employer(mine, external, CONF), CONF)

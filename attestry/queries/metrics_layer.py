@@ -249,7 +249,7 @@ def worst_errors(t):
 
 
 @query("""
-    WITH u AS (SELECT o_orderkey, o_orderkey % 6 AS gt, o_custkey % 6 AS st, o_orderkey % 7 > 0 AS found FROM orders),
+    WITH u AS (SELECT o_orderkey, o_orderkey % 6 AS gt, o_custkey % 6 AS st, o_totalprice > 60000 AS found FROM orders),
     m AS (SELECT gt, st, count(*) AS n FROM u WHERE found GROUP BY 1, 2),
     c AS (SELECT c_custkey, c_custkey % 3 = 0 AS genuine, c_acctbal > 5000 AS flagged FROM customer)
     SELECT 'claim extraction F1' AS metric, round((SELECT 2 * count(CASE WHEN found THEN 1 END) / (count(*) + count(CASE WHEN found THEN 1 END)) FROM u), 6) AS value
@@ -265,7 +265,7 @@ def evaluate_corpus(t):
         key, F.col("o_orderkey").alias("claim_no"), F.lit("SKILL").alias("type"), claim,
         F.get(names, (F.col("o_orderkey") % 6).cast("int")).alias("gt"),
     )
-    predicted = t.orders.where("o_orderkey % 7 > 0").select(
+    predicted = t.orders.where("o_totalprice > 60000").select(
         key, F.col("o_orderkey").alias("claim_no"), F.lit("SKILL").alias("type"), claim,
         F.get(names, (F.col("o_custkey") % 6).cast("int")).alias("status"), F.lit(0.7).alias("confidence"),
     )
