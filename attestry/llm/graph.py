@@ -42,37 +42,49 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(roots)
 
 
-def link_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def link_groups(
+    entries: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    rounds: int = 2,
+    finer: Callable[[DataFrame], DataFrame] | None = None,
+    possible: str = "true",
+) -> DataFrame:
     """(id, root): components of the pairs that share a key and pass `verify`.
 
     `entries` has key, id and rank.  Two ids that share a key are a candidate pair, but pairs
-    are not listed: in each round a key's best-ranked id not joined to an earlier one is
-    compared with the key's ids of other components, which is linear in the entries.  What
-    then still shares a key across components is compared pair by pair, so no link between
-    components is lost; pairs inside a component can change nothing and are never made.
-    `verify` gets (a, b) with a < b and returns those that link.
+    are not listed: in each round a key's best-ranked id not used before is compared with the
+    key's ids of other components, which is linear in the entries.  What then still shares a
+    key across components is compared pair by pair, so no link between components is lost;
+    pairs inside a component can change nothing and are never made.
+
+    `verify` gets (a, b) with a < b and returns those that link.  For the last step `finer`
+    may replace the entries of the ids that are left by (key, id, ...) that every linking pair
+    shares too, and `possible` says over their columns, as x.name and y.name, which pairs that
+    share a key need a look.
     """
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     now = cut_lineage(
         entries.join(shared.where("lo <> hi").select("key"), "key").select("key", "id", "rank", F.col("id").alias("root"))
     )
-    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links, tried = None, None
     for step in range(rounds + 1):
         if step < rounds:
             hubs = now.groupBy("key").agg(F.min(F.struct("rank", "id", "root")).alias("hub"))
-            met = now.join(hubs, "key").where("root <> hub.root").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+            hubs = cut_lineage(hubs.select("key", "hub.id", "hub.root"))
+            near = F.expr("x.key = y.key AND x.root <> y.root")
         else:
-            left = now.select("key", F.col("id").alias("a"), F.col("root").alias("x"))
-            right = now.select("key", F.col("id").alias("b"), F.col("root").alias("y"))
-            met = left.join(right, "key").where("x < y").select("a", "b")
-        fresh = met.select(*pair).distinct()
+            if finer is not None:
+                roots = now.select("id", "root").distinct()
+                now = cut_lineage(finer(roots.select("id")).join(roots, "id"))
+            hubs, near = now, F.expr(f"x.key = y.key AND x.root < y.root AND ({possible})")
+        met = hubs.alias("x").join(now.alias("y"), near)
+        fresh = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["a", "b"], "left_anti")
         fresh = cut_lineage(fresh)
-        if fresh.isEmpty():
-            break
         tried = fresh if tried is None else tried.union(fresh)
+        if fresh.isEmpty():
+            continue
         passed = cut_lineage(verify(fresh))
         links = passed if links is None else links.union(passed)
         if step == rounds:
@@ -82,9 +94,8 @@ def link_groups(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], ro
         now = now.withColumn("root", F.coalesce("r", "id")).drop("r")
         mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         # a hub has met all of its list: it can't help again
-        hubs = hubs.select("key", F.col("hub.id").alias("id"))
-        now = now.join(mixed.where("lo <> hi").select("key"), "key").join(hubs, ["key", "id"], "left_anti")
-        now = cut_lineage(now.select("key", "id", "rank", "root"))
+        now = now.join(mixed.where("lo <> hi").select("key"), "key").join(hubs.select("key", "id"), ["key", "id"], "left_anti")
+        now = cut_lineage(now)
     if links is None:
         links = now.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     return components(links)

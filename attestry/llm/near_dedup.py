@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.graph import link_groups
 from attestry.llm.hashing import long_lists, mix, shingle_sets, signed, text_slices
+from attestry.llm.membership import may_hold_column, membership
 from attestry.session import cut_lineage
 
 WIDTH = 5
@@ -132,6 +133,34 @@ def near_duplicates(
     )
     sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = cut_lineage(ids)
+        holds = membership(ids.select(F.xxhash64("id").alias("key")))
+        # the filter keeps the other texts out of the shuffle
+        wanted = plain.where(may_hold_column(holds, F.xxhash64("id"))).join(ids, "id", "left_semi")
+        return wanted.mapInArrow(_full_sets(width), "id bigint, members array<bigint>")
+
+    # of two sets that link, the first member both have, rarest first, is at most so far down
+    # each that enough members follow
+    share = threshold / (1 + threshold)
+    need = f"ceil({share}D * (x.size + y.size) - 1e-9)"
+    possible = f"x.place <= x.size - {need} AND y.place <= y.size - {need}"
+
+    def rare_members(ids: DataFrame) -> DataFrame:
+        """(key, id, place, size): each full set's members that a partner must share one of."""
+        members = sets_of(ids).select("id", F.size("members").alias("size"), F.explode("members").alias("key"))
+        members = cut_lineage(members)
+        common = members.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        ranked = (
+            members.join(common, "key")
+            .groupBy("id", "size")
+            .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("m"))
+            .select("id", "size", F.posexplode("m.key").alias("at", "key"), (F.col("size") - F.size("m")).alias("free"))
+        )
+        # what no other of these ids has comes first
+        placed = ranked.select("key", "id", (F.col("at") + F.col("free")).alias("place"), "size")
+        return placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9))
+
     def verify(pairs: DataFrame) -> DataFrame:
         def side(c: str, other: DataFrame) -> DataFrame:
             return other.select(*[F.col(x).alias(c if x == "id" else f"{x}_{c}") for x in other.columns])
@@ -143,14 +172,13 @@ def near_duplicates(
         near = met.where((small >= F.greatest("n_a", "n_b") * threshold - 1e-9) & (both >= _required(small, k, threshold)))
         near = cut_lineage(near.select("a", "b"))
         ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        wanted = plain.join(ids, "id", "left_semi")
-        sets = wanted.mapInArrow(_full_sets(width), "id bigint, members array<bigint>")
+        sets = sets_of(ids)
         full = near.join(side("a", sets), "a").join(side("b", sets), "b")
         shared = F.size(F.array_intersect("members_a", "members_b"))
         union = F.size("members_a") + F.size("members_b") - shared
         return full.where(shared + 1e-9 >= F.lit(threshold) * union).select("a", "b").distinct()
 
-    found = link_groups(entries, verify)
+    found = link_groups(entries, verify, 1, rare_members, possible)
     roots = classes.select("n", "h1", "h2", "rep").join(found, F.col("rep") == F.col("id"), "left")
     roots = roots.select("n", "h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     whole = feats.select("id", "n", "h1", "h2").join(roots, ["n", "h1", "h2"], "left")
