@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from attestry.llm.lines import dedup_lines
 from attestry.llm.near_dedup import near_duplicates
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.select(
+        "doc_id",
+        "lines.n_lines",
+        "lines.n_removed",
+        "lines.n_near",
+        F.sha2(F.col("lines.text").cast("binary"), 256).alias("kept_sha256"),
+    )
