@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.lines import dedup_lines
 from attestry.llm.near_dedup import near_duplicates
+from attestry.llm.suffixes import remove_repeats
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -38,3 +39,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lines.n_near",
         F.sha2(F.col("lines.text").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@register
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("cut.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["hi"] - s["lo"])
+    return cut.select(
+        "doc_id",
+        "cut.n_bytes",
+        removed.alias("n_removed"),
+        F.size("cut.spans").cast("bigint").alias("n_spans"),
+        F.sha2("cut.kept", 256).alias("kept_sha256"),
+    )
