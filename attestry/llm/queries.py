@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.llm.covertree import near_vectors
 from attestry.llm.lines import dedup_lines
 from attestry.llm.near_dedup import near_duplicates
 from attestry.llm.suffixes import remove_repeats
@@ -29,6 +30,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register
+def op7_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = dedup_lines(table(spark, sf_dir, "documents"))
