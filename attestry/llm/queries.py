@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.covertree import near_vectors
+from attestry.llm.langid import identify
 from attestry.llm.lines import dedup_lines
 from attestry.llm.near_dedup import near_duplicates
 from attestry.llm.suffixes import remove_repeats
@@ -58,3 +59,11 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("cut.spans").cast("bigint").alias("n_spans"),
         F.sha2("cut.kept", 256).alias("kept_sha256"),
     )
+
+
+@register
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return docs.select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+    )
