@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.covertree import near_vectors
 from attestry.llm.langid import identify
+from attestry.llm.leaks import PARTS, item_parts, leaked_items
 from attestry.llm.lines import dedup_lines
 from attestry.llm.near_dedup import near_duplicates
 from attestry.llm.suffixes import remove_repeats
@@ -67,3 +68,48 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
     )
+
+
+@register
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    question, answer = item_parts(F.col("text"))
+    hits = leaked_items(docs, table(spark, sf_dir, "benchmark"), question=question, answer=answer)
+    found = docs.select("doc_id", F.explode(hits).alias("hit"))
+    return found.select("doc_id", F.col("hit.item").alias("item_id")).distinct()
+
+
+_WORDS = "regexp_extract_all(lower({}), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+LLM_ORACLES["op2_benchmark_decontamination"] = f"""
+WITH parts AS (
+  SELECT item_id, CASE WHEN answer = '' THEN text ELSE question END AS question, answer
+  FROM (SELECT DISTINCT item_id, text, regexp_extract(text, '{PARTS}', 1) AS question,
+               regexp_extract(text, '{PARTS}', 2) AS answer FROM benchmark WHERE item_id IS NOT NULL)),
+words AS (
+  SELECT item_id, part, w FROM (
+    SELECT item_id, 0 AS part, {_WORDS.format("question")} AS w FROM parts UNION ALL
+    SELECT item_id, 1 AS part, {_WORDS.format("answer")} AS w FROM parts) WHERE len(w) > 0),
+longest AS (SELECT greatest(128, 2 * max(n)) AS size FROM (SELECT sum(len(w)) AS n FROM words GROUP BY item_id)),
+wanted AS (
+  SELECT DISTINCT item_id, part, least(5, len(w)) AS n, w[i:i + least(5, len(w)) - 1] AS gram
+  FROM words, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS r(i)),
+whole AS (SELECT item_id, count(*) AS total FROM wanted GROUP BY item_id),
+texts AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM wanted),
+starts AS (
+  SELECT doc_id, len(w) AS total_words, i - 1 AS pos, n, w[i:i + n - 1] AS gram
+  FROM texts, lengths, unnest(range(1, len(w) - n + 2)) AS r(i)),
+met AS (
+  SELECT doc_id, item_id, part, s.gram, pos, n, size, size // 2 AS stride,
+         greatest(0, ceil((total_words - size) / (size // 2)))::BIGINT AS last_passage
+  FROM starts s JOIN wanted USING (n, gram), longest),
+placed AS (
+  SELECT DISTINCT doc_id, item_id, k, part, gram FROM (
+    SELECT *, least(pos // stride, last_passage) AS k FROM met UNION ALL
+    SELECT *, least(pos // stride, last_passage) - 1 AS k FROM met)
+  WHERE k >= 0 AND pos >= k * stride AND pos + n <= k * stride + size)
+SELECT DISTINCT doc_id, item_id FROM (
+  SELECT doc_id, item_id, k, count(*) AS shared FROM placed GROUP BY ALL) JOIN whole USING (item_id)
+WHERE shared >= 0.75 * total
+"""
