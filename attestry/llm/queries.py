@@ -12,6 +12,7 @@ from attestry.llm.langid import identify
 from attestry.llm.leaks import PARTS, item_parts, leaked_items
 from attestry.llm.lines import dedup_lines
 from attestry.llm.near_dedup import near_duplicates
+from attestry.llm.secret_scan import KINDS, joined, secrets_in
 from attestry.llm.suffixes import remove_repeats
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", secrets_in(F.col("text")).alias("found"))
+    spans = F.col("found.spans")
+    base = F.filter(spans, lambda s: s["depth"] == 0)
+    counts = [
+        F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+        F.col("found.n_layers").cast("bigint").alias("n_layers"),
+        F.col("found.n_refused").cast("bigint").alias("n_refused"),
+    )
+
+
 @register
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
