@@ -12,6 +12,7 @@ from attestry.llm.langid import identify
 from attestry.llm.leaks import PARTS, item_parts, leaked_items
 from attestry.llm.lines import dedup_lines
 from attestry.llm.near_dedup import near_duplicates
+from attestry.llm.pages import main_text
 from attestry.llm.secret_scan import KINDS, joined, secrets_in
 from attestry.llm.suffixes import remove_repeats
 
@@ -132,3 +133,14 @@ SELECT DISTINCT doc_id, item_id FROM (
   SELECT doc_id, item_id, k, count(*) AS shared FROM placed GROUP BY ALL) JOIN whole USING (item_id)
 WHERE shared >= 0.75 * total
 """
+
+
+@register
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_text(table(spark, sf_dir, "pages"))
+    return pages.select(
+        "page_id",
+        "url",
+        F.col("main_text").alias("text"),
+        F.length("main_text").cast("bigint").alias("n_chars"),
+    )
