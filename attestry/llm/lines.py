@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.llm.graph import link_groups
-from attestry.llm.hashing import mix, run_hashes, row_slices, seeded, signed
+from attestry.llm.hashing import long_lists, mix, powers, row_slices, seeded, signed, text_buffer
 from attestry.llm.membership import Membership, may_hold_column, membership
 from attestry.session import cut_lineage
 
@@ -51,6 +52,13 @@ def probe_starts(length: int, other: int, edits: int) -> list[tuple[int, int, in
     return out
 
 
+def cuts(length: np.ndarray, tau: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of segment i, for many lengths: `segments` over arrays."""
+    size, longer = np.divmod(length, tau + 1)
+    plain = tau + 1 - longer
+    return i * size + np.maximum(0, i - plain), size + (i >= plain)
+
+
 class Lines:
     """The lines of some texts as code points, with their hashes."""
 
@@ -69,54 +77,64 @@ class Lines:
         self.end = np.cumsum(self.length)
         self.start = self.end - self.length
         flat = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.values = mix(flat.astype(np.uint64) + np.uint64(1))
-        self.id = run_hashes(self.values, self.start, self.end)
-        self.second = run_hashes(self.values ^ np.uint64(0x5851F42D4C957F2D), self.start, self.end)
+        up, self.down = powers(len(flat) + 1)
+        self.sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=self.sums[1:])
+        self.id = signed(mix(self.hashes(self.start, self.length) ^ self.length.astype(np.uint64)))
         self.most, self.per_edit = edits, per_edit
 
-    def keys(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, number: int, other: np.ndarray) -> np.ndarray:
-        """The key of a substring that stands for segment `number` of lines of length `other`."""
-        order = np.argsort(self.start[line] + at, kind="stable")
-        begin = (self.start[line] + at)[order]
-        got = np.empty(len(line), np.uint64)
-        got[order] = run_hashes(self.values, begin, begin + size[order])
-        return mix(got + other.astype(np.uint64) * seeded(1, 3)[0] + np.uint64(number + 1))
-
-    def _emit(self, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        # the shorter line's length says how it is cut, so both sides use its number of edits
-        plans: dict[int, list] = {}
-        for length in np.unique(self.length).tolist():
-            lines = np.flatnonzero(self.length == length)
-            for other in [length] if own else range(length - self.most, length + 1):
-                tau = min(self.most, other // self.per_edit)
-                if tau < max(1, length - other):
-                    continue
-                if own:
-                    spots = [(i, p, n) for i, (p, n) in enumerate(segments(other, tau))]
-                else:
-                    spots = probe_starts(length, other, tau)
-                for i, at, size in spots:
-                    plans.setdefault(100 * tau + i, []).append((lines, at, size, other))
-        for number, spots in plans.items():
-            line = np.concatenate([x[0] for x in spots])
-            count = [len(x[0]) for x in spots]
-            at, size, other = (np.repeat([x[k] for x in spots], count) for k in (1, 2, 3))
-            yield line, self.keys(line, at, size, number, other)
-
-    def index_entries(self):
-        """(line, key) for each segment of each line."""
-        return self._emit(True)
-
-    def probe_entries(self):
-        """(line, key) for each substring that may equal a segment of a line no longer."""
-        return self._emit(False)
+    def hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[start + size] - self.sums[start]) * self.down[start]
+
+    def digests(self) -> np.ndarray:
+        """A second hash of each line."""
+        return np.array(
+            [int.from_bytes(blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for p in self.parts],
+            np.int64,
+        )
+
+    def _key(self, lines: np.ndarray, at: np.ndarray, size: np.ndarray, other: np.ndarray, tau: int, i: int) -> np.ndarray:
+        """The key of a substring that stands for segment i of lines of length `other`."""
+        got = self.hashes(self.start[lines] + at, size)
+        return signed(mix(mix(got) + other.astype(np.uint64) * seeded(1, 3)[0] + np.uint64(64 * tau + i)))
+
+    def index_keys(self) -> np.ndarray:
+        """A row for each line, a key for each of its segments; unused places hold 0."""
+        out = np.zeros((len(self.length), self.most + 1), np.int64)
+        taus = allowed_edits(self.length, self.most, self.per_edit)
+        for tau in np.unique(taus).tolist():
+            lines = np.flatnonzero(taus == tau)
+            for i in range(tau + 1):
+                at, size = cuts(self.length[lines], tau, i)
+                out[lines, i] = self._key(lines, at, size, self.length[lines], tau, i)
+        return out
+
+    def probes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(line, key) for each substring that may equal a segment of another, no longer line.
+
+        The shorter line's length says how it is cut, so both sides use its number of edits.
+        A line's own segments are no probes: as index keys they meet already.
+        """
+        for diff in range(self.most + 1):
+            other = self.length - diff
+            taus = allowed_edits(other, self.most, self.per_edit)
+            for tau in range(max(1, diff), self.most + 1):
+                lines = np.flatnonzero(taus == tau)
+                length, short = self.length[lines], other[lines]
+                for i in range(tau + 1):
+                    p, size = cuts(short, tau, i)
+                    lo = np.maximum(0, np.maximum(p - i, p + diff - (tau - i)))
+                    hi = np.minimum(length - size, np.minimum(p + i, p + diff + (tau - i)))
+                    for k in range(int((hi - lo).max(initial=-1)) + 1):
+                        fits = (lo + k <= hi) & ((diff > 0) | (lo + k != p))
+                        chosen = lines[fits]
+                        yield chosen, self._key(chosen, (lo + k)[fits], size[fits], short[fits], tau, i)
 
 
 def _line_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-    texts = batch.column(1).to_pylist()
-    texts = [t or "" for t in texts]
-    for lo, hi in row_slices(np.array([len(t) for t in texts], np.int64), SLICE_CHARS):
-        yield lo, texts[lo:hi]
+    _, off = text_buffer(batch.column(1))
+    for lo, hi in row_slices(np.diff(off), SLICE_CHARS):
+        yield lo, [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
 
 
 def _line_rows(edits: int, per_edit: int):
@@ -127,36 +145,32 @@ def _line_rows(edits: int, per_edit: int):
                 x = Lines(texts, edits, per_edit)
                 if not len(x.row):
                     continue
+                keys = x.index_keys()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(x.id)),
-                        pa.array(signed(x.second)),
+                        pa.array(x.id),
+                        pa.array(x.digests()),
                         pa.array(ids[lo + x.row].astype(np.int64)),
                         pa.array(x.number),
+                        long_lists(list(keys)),
                     ],
-                    ["id", "second", "doc", "line"],
+                    ["id", "second", "doc", "line", "keys"],
                 )
 
     return run
 
 
-def _entries(edits: int, per_edit: int, probes: Membership | None):
+def _probe_entries(edits: int, per_edit: int, index: Membership):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _line_slices(batch):
                 x = Lines(texts, edits, per_edit)
-                if not len(x.row):
-                    continue
                 keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for line, key in x.index_entries() if probes is None else x.probe_entries():
-                    key = signed(key)
-                    if probes is not None:
-                        hit = probes.may_hold(key)
-                        line, key = line[hit], key[hit]
-                    keys.append(key)
-                    ids.append(signed(x.id[line]))
-                pair = np.unique(np.stack([np.concatenate(keys), np.concatenate(ids)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["key", "id"])
+                for line, key in x.probes():
+                    hit = index.may_hold(key)
+                    keys.append(key[hit])
+                    ids.append(x.id[line[hit]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
 
     return run
 
@@ -168,7 +182,7 @@ def _texts_of(edits: int, per_edit: int, wanted: Membership):
                 x = Lines(texts, edits, per_edit)
                 if not len(x.row):
                     continue
-                ids, first = np.unique(signed(x.id), return_index=True)
+                ids, first = np.unique(x.id, return_index=True)
                 hit = wanted.may_hold(ids)
                 parts = [x.parts[k] for k in first[hit]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(parts, pa.string())], ["id", "text"])
@@ -277,16 +291,22 @@ def repeated_lines(
     plain = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
     )
-    rows = plain.mapInArrow(_line_rows(edits, per_edit), "id bigint, second bigint, doc bigint, line bigint")
-    rows = cut_lineage(rows)
-    firsts = cut_lineage(rows.groupBy("id", "second").agg(F.min(F.struct("doc", "line")).alias("first")))
-    own = plain.mapInArrow(_entries(edits, per_edit, None), "key bigint, id bigint").distinct()
-    own = cut_lineage(own)
-    probe = membership(own.select("key").distinct())
-    probes = plain.mapInArrow(_entries(edits, per_edit, probe), "key bigint, id bigint").distinct()
+    lines = "id bigint, second bigint, doc bigint, line bigint, keys array<bigint>"
+    rows = cut_lineage(plain.mapInArrow(_line_rows(edits, per_edit), lines))
+    firsts = rows.groupBy("id", "second").agg(F.min(F.struct("doc", "line")).alias("first"))
+    firsts = cut_lineage(firsts)
+    # equal lines have equal keys: any one of them speaks for all
+    own = rows.groupBy("id").agg(F.expr("any_value(keys)").alias("keys"))
+    own = own.select("id", F.explode("keys").alias("key")).where("key <> 0")
+    lists = cut_lineage(own.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
+    index = membership(lists)
+    probes = plain.mapInArrow(_probe_entries(edits, per_edit, index), "key bigint, id bigint").distinct()
     # a probe that meets no segment has nothing to say
-    probes = probes.join(own.select("key").distinct(), "key", "left_semi")
-    entries = own.union(probes).distinct().withColumn("rank", F.lit(0))
+    probes = cut_lineage(probes.join(lists.select("key"), "key", "left_semi"))
+    useful = lists.where("lo <> hi").select("key").union(probes.select("key")).distinct()
+    useful = cut_lineage(useful)
+    own = own.where(may_hold_column(membership(useful), F.col("key"))).join(useful, "key", "left_semi")
+    entries = own.select("key", "id").union(probes).distinct().withColumn("rank", F.lit(0))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())

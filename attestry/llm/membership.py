@@ -15,21 +15,25 @@ from pyspark.sql import functions as F
 MAX_BITS = 27  # 16 MB
 
 
+SHIFTS = (34, 40, 46)
+
+
 class Membership:
-    """Which 64-bit hashes may be among the keys.  Keys must be spread evenly over 64 bits."""
+    """Which 64-bit hashes may be among the keys.  Keys must be spread evenly over 64 bits.
+
+    Each key owns three bits of one 64-bit word.
+    """
 
     def __init__(self, bits: int, words, count: int):
         self.bits, self._words, self.count = bits, words, count
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         """For int64 keys: False only where the key is surely none of the filter's."""
-        words = self._words.value
         keys = keys.view(np.uint64)
-        mask, out = np.uint64((1 << self.bits) - 1), None
-        for shift in (0, 64 - self.bits):
-            at = (keys >> np.uint64(shift)) & mask
-            hit = (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-            out = hit if out is None else out & hit
+        words = self._words.value[keys & np.uint64((1 << (self.bits - 6)) - 1)]
+        out = np.uint64(1)
+        for shift in SHIFTS:
+            out = out & (words >> ((keys >> np.uint64(shift)) & np.uint64(63)))
         return out.astype(bool)
 
 
@@ -38,18 +42,12 @@ def membership(keys: DataFrame, column: str = "key", max_bits: int = MAX_BITS) -
     spark: SparkSession = keys.sparkSession
     count = keys.count()
     bits = min(max_bits, max(12, int(count * 16).bit_length()))
-    key, mask = F.col(column), (1 << bits) - 1
-
-    def at(shift: int) -> Column:
-        return F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(mask).cast("bigint"))
-
-    marks = keys.select(F.explode(F.array(at(0), at(64 - bits))).alias("at"))
-    set_words = marks.groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("mask")
-    )
+    word = f"{column} & {(1 << (bits - 6)) - 1}L"
+    mask = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({column}, {s}) & 63L as int))" for s in SHIFTS)
+    marks = keys.select(F.expr(word).alias("word"), F.expr(mask).alias("mask"))
     words = np.zeros(1 << (bits - 6), np.uint64)
     # at most 2**(max_bits - 6) rows, whatever the number of keys
-    rows = set_words.toArrow()
+    rows = marks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     words[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
     return Membership(bits, spark.sparkContext.broadcast(words), count)
 

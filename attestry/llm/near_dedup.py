@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.graph import link_groups
 from attestry.llm.hashing import long_lists, mix, shingle_sets, signed, text_slices
-from attestry.llm.membership import may_hold_column, membership
+from attestry.llm.membership import Membership, membership
 from attestry.session import cut_lineage
 
 WIDTH = 5
@@ -59,9 +59,11 @@ def _features(width: int, k: int):
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(width: int, wanted: Membership):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # what is surely not asked for is neither hashed nor shuffled
+            batch = batch.filter(pa.array(wanted.may_hold(batch.column(2).to_numpy(zero_copy_only=False))))
             for lo, hi, raw, off in text_slices(batch.column(1)):
                 sets = long_lists(list(shingle_sets(raw, off, width)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["id", "members"])
@@ -116,29 +118,28 @@ def near_duplicates(
         .groupBy("n", "h1", "h2")
         .agg(F.min("id").alias("rep"), F.expr("min_by(sketch, id)").alias("sketch"))
     )
-    values = classes.select("rep", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("key"))
-    common = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = (
-        values.join(common, "key")
-        .groupBy("rep", "n", "held")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    values = classes.select("rep", F.explode("sketch").alias("key"))
+    found = values.groupBy("key").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
+    # what only one document has ranks first, so most documents have no room for anything else
+    alone = found.where("df = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    own, held = F.coalesce("own", F.lit(0)), F.size("sketch")
+    room = held - _required(F.col("n"), k, threshold) + 1 - own
+    open_ = classes.join(alone, "rep", "left").select("rep", "sketch", own.alias("own"), room.alias("room")).where("room > 0")
+    shared = open_.select("rep", "own", "room", F.explode("sketch").alias("key")).join(
+        found.where("df > 1").select("key", "df"), "key"
     )
-    # what only one document has ranks first and is gone already
-    room = F.col("held") - _required(F.col("n"), k, threshold) + 1 - (F.col("held") - F.size("shared"))
-    entries = (
-        ranked.withColumn("room", room)
-        .where("room > 0")
-        .select("rep", (F.col("held") - F.size("shared")).alias("own"), F.expr("slice(shared, 1, room)").alias("s"))
-        .select(F.col("rep").alias("id"), F.col("own").alias("rank"), F.explode("s.key").alias("key"))
+    ranked = shared.groupBy("rep", "own", "room").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
+    entries = ranked.select(
+        F.col("rep").alias("id"), F.col("own").alias("rank"), F.explode(F.expr("slice(s, 1, room)").getField("key")).alias("key")
     )
     sketches = classes.select(F.col("rep").alias("id"), "n", "sketch")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = cut_lineage(ids)
-        holds = membership(ids.select(F.xxhash64("id").alias("key")))
-        # the filter keeps the other texts out of the shuffle
-        wanted = plain.where(may_hold_column(holds, F.xxhash64("id"))).join(ids, "id", "left_semi")
-        return wanted.mapInArrow(_full_sets(width), "id bigint, members array<bigint>")
+        wanted = membership(ids.select(F.xxhash64("id").alias("key")))
+        keyed = plain.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("key"))
+        sets = keyed.mapInArrow(_full_sets(width, wanted), "id bigint, members array<bigint>")
+        return sets.join(ids, "id", "left_semi")
 
     # of two sets that link, the first member both have, rarest first, is at most so far down
     # each that enough members follow

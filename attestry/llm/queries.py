@@ -11,8 +11,10 @@ from attestry.llm.covertree import near_vectors
 from attestry.llm.langid import identify
 from attestry.llm.leaks import PARTS, item_parts, leaked_items
 from attestry.llm.lines import dedup_lines
+from attestry.llm.mixing import mix_to_targets
 from attestry.llm.near_dedup import near_duplicates
 from attestry.llm.pages import main_text
+from attestry.llm.preferences import pair_by_opening, preference_examples, turns_of
 from attestry.llm.secret_scan import KINDS, joined, secrets_in
 from attestry.llm.suffixes import remove_repeats
 
@@ -144,3 +146,109 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("main_text").alias("text"),
         F.length("main_text").cast("bigint").alias("n_chars"),
     )
+
+
+@register
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turns_of(table(spark, sf_dir, "conversations"))
+    return preference_examples(turns, pair_by_opening(turns))
+
+
+LLM_ORACLES["op4_preference_formatting"] = """
+WITH turns AS (
+  SELECT conv_id, turn, said.role AS role, said.text AS text FROM (
+    SELECT conv_id, coalesce(turn, -1) AS turn,
+           min({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}) AS said
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL)),
+opening AS (
+  SELECT conv_id, first.role AS role, first.text AS text FROM (
+    SELECT conv_id, min({'turn': turn, 'role': role, 'text': text}) AS first FROM turns GROUP BY conv_id)),
+pairs AS (
+  SELECT chosen, rejected FROM (
+    SELECT conv_id AS chosen, lead(conv_id) OVER w AS rejected, row_number() OVER w AS place FROM opening
+    WINDOW w AS (PARTITION BY role, text, conv_id // 1024 ORDER BY conv_id)) WHERE place % 2 = 1),
+a AS (SELECT chosen, rejected, turn, role, text FROM pairs JOIN turns ON conv_id = chosen),
+b AS (SELECT chosen, rejected, turn, role, text FROM pairs JOIN turns ON conv_id = rejected),
+split AS (
+  SELECT coalesce(a.chosen, b.chosen) AS chosen, min(coalesce(a.turn, b.turn)) AS split
+  FROM a FULL JOIN b ON a.chosen = b.chosen AND a.turn = b.turn
+  WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY 1),
+parts AS (
+  SELECT a.*, CASE WHEN rejected IS NULL THEN 'unpaired' WHEN split IS NULL OR turn < split THEN 'prompt'
+                   ELSE 'chosen' END AS part FROM a LEFT JOIN split USING (chosen)
+  UNION ALL
+  SELECT b.*, 'rejected' AS part FROM b JOIN split USING (chosen) WHERE turn >= split),
+rendered AS (
+  SELECT *, length(role) + 13 AS head, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+  FROM parts),
+placed AS (
+  SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY chosen, part ORDER BY turn
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at FROM rendered)
+SELECT chosen, rejected, part, turn, role, rendered, begin_at AS begin,
+       CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN begin_at + head END AS loss_begin,
+       CASE WHEN part IN ('chosen', 'rejected') AND role = 'assistant' THEN begin_at + length(rendered) END AS loss_end
+FROM placed
+"""
+
+
+@register
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_to_targets(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        "mixing.source",
+        "mixing.lang",
+        "mixing.topic",
+        "mixing.n_tokens",
+        F.round("mixing.weight", 8).alias("weight"),
+        F.round("mixing.prob", 8).alias("prob"),
+        "mixing.sampled",
+    )
+
+
+# Raking and the scale of the probabilities as recursions; both have converged long before
+# their last step.
+MIXED_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT *, coalesce(source, '(none)') AS m_source, coalesce(lang, '(none)') AS m_lang,
+         CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN contains(text, ' | ') THEN 'table'
+              WHEN contains(text, '###') OR contains(text, '%%%') THEN 'symbols'
+              WHEN contains(text, chr(10)) THEN 'prose' ELSE 'line' END AS m_topic,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+'))::BIGINT AS n_tokens,
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+  FROM {docs}),
+cells AS (
+  SELECT m_source, m_lang, m_topic, sum(n_tokens)::DOUBLE AS tokens FROM keyed GROUP BY ALL HAVING sum(n_tokens) > 0),
+goal_source AS (SELECT m_source, sum(tokens) ** 0.5 / sum(sum(tokens) ** 0.5) OVER () AS gs FROM cells GROUP BY 1),
+goal_lang AS (SELECT m_lang, sum(tokens) ** 0.7 / sum(sum(tokens) ** 0.7) OVER () AS gl FROM cells GROUP BY 1),
+goal_topic AS (SELECT m_topic, sum(tokens) ** 0.8 / sum(sum(tokens) ** 0.8) OVER () AS gt FROM cells GROUP BY 1),
+rake AS (
+  SELECT 0 AS step, m_source, m_lang, m_topic, tokens, gs, gl, gt, tokens AS weight
+  FROM cells JOIN goal_source USING (m_source) JOIN goal_lang USING (m_lang) JOIN goal_topic USING (m_topic)
+  UNION ALL
+  SELECT step + 1, m_source, m_lang, m_topic, tokens, gs, gl, gt, w2 * gt / sum(w2) OVER (PARTITION BY m_topic) FROM (
+    SELECT *, w1 * gl / sum(w1) OVER (PARTITION BY m_lang) AS w2 FROM (
+      SELECT *, weight * gs / sum(weight) OVER (PARTITION BY m_source) AS w1 FROM rake WHERE step < 120))),
+raked AS (SELECT * FROM rake WHERE step = 120),
+scales AS (
+  SELECT 0 AS step, 0.5 * sum(tokens) AS goal, 0.5 * sum(tokens) AS scale FROM raked
+  UNION ALL
+  SELECT step + 1, goal, greatest(scale, (goal - held) / free) FROM (
+    SELECT s.step, s.goal, s.scale,
+           sum(CASE WHEN s.scale * weight >= tokens THEN tokens ELSE 0 END) AS held,
+           sum(CASE WHEN s.scale * weight >= tokens THEN 0 ELSE weight END) AS free
+    FROM scales s, raked WHERE s.step < 60 GROUP BY ALL)),
+final AS (
+  SELECT m_source, m_lang, m_topic, weight, least(1.0, scale * weight / tokens) AS prob
+  FROM raked, (SELECT max(scale) AS scale FROM scales)),
+mixed AS (
+  SELECT keyed.*, CASE WHEN n_tokens > 0 THEN weight / (SELECT sum(weight) FROM final) ELSE 0 END AS weight,
+         CASE WHEN n_tokens > 0 THEN prob ELSE 0 END AS prob
+  FROM keyed LEFT JOIN final USING (m_source, m_lang, m_topic))
+"""
+
+LLM_ORACLES["op6_source_mixing"] = (
+    MIXED_SQL.replace("{docs}", "documents")
+    + """SELECT doc_id, m_source AS source, m_lang AS lang, m_topic AS topic, n_tokens, round(weight, 8) AS weight,
+       round(prob, 8) AS prob, draw < prob AS sampled FROM mixed"""
+)
