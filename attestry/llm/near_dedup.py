@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from attestry.llm.graph import link_groups
 from attestry.llm.hashing import long_lists, mix, shingle_sets, signed, text_slices
-from attestry.llm.membership import Membership, membership
+from attestry.llm.membership import Membership, may_hold_column, membership
 from attestry.session import cut_lineage
 
 WIDTH = 5
@@ -191,3 +191,19 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows and columns of `docs` without near-duplicates: of each group the smallest id.
+
+    Rows that repeat an id are one document, of which one row stays; rows without id stay.
+    """
+    judged = near_duplicates(docs.select(id_col, text_col), id_col, text_col, **options)
+    judged = cut_lineage(judged.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")))
+    dropped = judged.where("NOT kept").select(id_col)
+    doubtful = judged.where("NOT kept OR n > 1").select(F.xxhash64(id_col).alias("key"))
+    maybe = may_hold_column(membership(doubtful), F.xxhash64(F.col(id_col)))
+    marked = docs.withColumn("_maybe", F.col(id_col).isNotNull() & maybe)
+    # most rows are surely unique and need no shuffle
+    some = marked.where("_maybe").join(dropped, id_col, "left_anti").dropDuplicates([id_col])
+    return marked.where("NOT _maybe").select(docs.columns).union(some.select(docs.columns))
