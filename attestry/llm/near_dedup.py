@@ -202,8 +202,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     judged = cut_lineage(judged.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")))
     dropped = judged.where("NOT kept").select(id_col)
     doubtful = judged.where("NOT kept OR n > 1").select(F.xxhash64(id_col).alias("key"))
-    maybe = may_hold_column(membership(doubtful), F.xxhash64(F.col(id_col)))
-    marked = docs.withColumn("_maybe", F.col(id_col).isNotNull() & maybe)
+    maybe = F.col(id_col).isNotNull() & may_hold_column(membership(doubtful), F.xxhash64(F.col(id_col)))
     # most rows are surely unique and need no shuffle
-    some = marked.where("_maybe").join(dropped, id_col, "left_anti").dropDuplicates([id_col])
-    return marked.where("NOT _maybe").select(docs.columns).union(some.select(docs.columns))
+    some = docs.where(maybe).join(dropped, id_col, "left_anti").dropDuplicates([id_col])
+    return docs.where(~maybe).union(some.select(docs.columns))
