@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 RADIX = np.uint64(0x9E3779B97F4A7C55)
 RADIX_INVERSE = np.uint64(pow(int(RADIX), -1, 1 << 64))
-PIECE = 1 << 19
+PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

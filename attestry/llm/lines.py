@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm.columns import boxed, unboxed
 from attestry.llm.graph import link_groups
 from attestry.llm.hashing import long_lists, mix, powers, row_slices, seeded, signed, text_buffer
 from attestry.llm.membership import Membership, may_hold_column, membership
@@ -18,7 +19,7 @@ from attestry.session import cut_lineage
 EDITS = 2
 # a line may differ by one character for each so many of its own
 CHARS_PER_EDIT = 20
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def allowed_edits(length: np.ndarray, edits: int, per_edit: int) -> np.ndarray:
@@ -347,8 +348,9 @@ def dedup_lines(
     text_col: str = "text",
     edits: int = EDITS,
     per_edit: int = CHARS_PER_EDIT,
+    into: str = "lines",
 ) -> DataFrame:
-    """All rows and columns of `docs` with a struct `lines`: text (the lines that stay),
+    """All rows and columns of `docs` with a struct `into`: text (the lines that stay),
     n_lines, n_removed and n_near.
 
     A null text counts as empty and has no lines.  See `repeated_lines` for what repeats.
@@ -360,16 +362,16 @@ def dedup_lines(
         )
     )
     holds = membership(gone.select(F.xxhash64("id").alias("key")))
-    boxed = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+    rows = docs.select(
+        boxed(docs),
         F.col(id_col).cast("bigint").alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     total = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("n_lines")
-    boxed = boxed.withColumn("maybe", may_hold_column(holds, F.xxhash64("id"))).withColumn("n_lines", total)
+    rows = rows.withColumn("maybe", may_hold_column(holds, F.xxhash64("id"))).withColumn("n_lines", total)
     # most texts need no shuffle: the filter says which documents surely lose no line
-    sure = boxed.where(~F.col("maybe")).select("row", "text", "n_lines", F.lit(0).alias("n_removed"), F.lit(0).alias("near"))
-    some = boxed.where("maybe").join(gone, "id", "left")
+    sure = rows.where(~F.col("maybe")).select("row", "text", "n_lines", F.lit(0).alias("n_removed"), F.lit(0).alias("near"))
+    some = rows.where("maybe").join(gone, "id", "left")
     some = some.select("row", "text", "n_lines", F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"), F.coalesce("near", F.lit(0)).alias("near"))
     cut = some.mapInArrow(_without, some.schema)
     cut = cut.select("row", "text", "n_lines", F.size("gone").alias("n_removed"), "near")
@@ -377,4 +379,4 @@ def dedup_lines(
     info = F.struct(
         "text", "n_lines", F.col("n_removed").cast("bigint").alias("n_removed"), F.col("near").cast("bigint").alias("n_near")
     )
-    return whole.select("row.*", info.alias("lines"))
+    return unboxed(whole, docs.columns, **{into: info})
