@@ -179,15 +179,18 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def taught(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Column:
+    """The language of each text of `docs`, by a model of its rows outside the held-out fold."""
+    model = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+    return language(model, F.col(text_col), docs)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All rows and columns of `docs` with a struct `language` (lang, score) and `held_out`.
+    """All rows and columns of `docs` with a struct `language` (lang, score) and `held_out`,
+    which replace columns of these names.
 
     The model learns from the rows outside the held-out fold; predictions see only the text.
     """
-    fold = held_out(F.col(id_col))
-    model = fit(docs.where(~fold), text_col, lang_col)
-    return docs.select(
-        *[docs[c] for c in docs.columns],
-        language(model, F.col(text_col), docs).alias("language"),
-        fold.alias("held_out"),
-    )
+    own = [docs[c] for c in docs.columns if c.lower() not in ("language", "held_out")]
+    found = taught(docs, id_col, text_col, lang_col)
+    return docs.select(*own, found.alias("language"), held_out(F.col(id_col)).alias("held_out"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm.columns import boxed, unboxed
 from attestry.session import cut_lineage
 
 # A margin's target share is its token share to this power, scaled to sum 1: below 1 the small
@@ -104,8 +105,9 @@ def mix_to_targets(
     powers: dict[str, float] = POWERS,
     rate: float = RATE,
     seed: str = "mix",
+    into: str = "mixing",
 ) -> DataFrame:
-    """All rows and columns of `docs` with a struct `mixing`: source, lang, topic, n_tokens,
+    """All rows and columns of `docs` with a struct `into`: source, lang, topic, n_tokens,
     weight (of the cell), prob and sampled.
 
     A cell is a combination of source, language and topic; null is the value `(none)`.  Cells
@@ -120,7 +122,7 @@ def mix_to_targets(
         "topic": F.coalesce(topic, F.lit(NONE)) if topic is not None else topic_of(text),
     }
     keyed = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        boxed(docs),
         *[c.alias(f"m_{k}") for k, c in margins.items()],
         tokens_of(text).alias("n_tokens"),
         drawn(F.col(id_col), seed).alias("draw"),
@@ -132,13 +134,11 @@ def mix_to_targets(
     met = keyed.join(cells, [f"m_{k}" for k in margins], "left")
     weight = F.when(F.col("n_tokens") > 0, F.col("weight") / F.lit(total)).otherwise(0.0)
     prob = F.when(F.col("n_tokens") > 0, F.col("prob")).otherwise(0.0)
-    return met.select(
-        "row.*",
-        F.struct(
-            *[F.col(f"m_{k}").alias(k) for k in margins],
-            "n_tokens",
-            weight.alias("weight"),
-            prob.alias("prob"),
-            (F.col("draw") < prob).alias("sampled"),
-        ).alias("mixing"),
+    mixing = F.struct(
+        *[F.col(f"m_{k}").alias(k) for k in margins],
+        "n_tokens",
+        weight.alias("weight"),
+        prob.alias("prob"),
+        (F.col("draw") < prob).alias("sampled"),
     )
+    return unboxed(met, docs.columns, **{into: mixing})

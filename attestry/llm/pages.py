@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm.columns import boxed, unboxed
 from attestry.llm.hashing import mix, seeded, signed
 from attestry.session import cut_lineage
 
@@ -204,8 +205,10 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
-    """All rows and columns of `pages` with `main_text`, empty if there is none.
+def main_text(
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", run: int = RUN, into: str = "main_text"
+) -> DataFrame:
+    """All rows and columns of `pages` with the text `into`, empty if there is none.
 
     Scripts, styles, menus, headers, footers, sidebars, forms, notices, adverts, comments and
     hidden parts go by tag, role, class and id.  If the page has an article or main element,
@@ -220,8 +223,8 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ru
     evidence against itself.  Null html is empty; a null url is the host "".  Blocks are
     joined by two line ends, in page order.
     """
-    boxed = pages.select(
-        F.struct(*[pages[c] for c in pages.columns]).alias("row"),
+    rows = pages.select(
+        boxed(pages),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
         F.xxhash64(host_of(F.col(url_col))).alias("host"),
     )
@@ -243,17 +246,18 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", ru
                 ["key", "stream", "page"],
             )
 
-    streams = boxed.select("html", "host", page).mapInArrow(read, "key bigint, stream bigint, page bigint")
+    streams = rows.select("html", "host", page).mapInArrow(read, "key bigint, stream bigint, page bigint")
     streams = cut_lineage(streams)
     seen = streams.groupBy("key").agg(F.min("stream").alias("lo"), F.max("stream").alias("hi"))
     repeated = seen.where("lo <> hi").select("key")
     asked = streams.where("page IS NOT NULL").select("page", "key").distinct()
     found = asked.join(repeated, "key").groupBy("page").agg(F.collect_list("key").alias("keys"))
     found = cut_lineage(found)
-    return _assembled(boxed, page, found, run)
+    whole = rows.withColumn("page", page).join(found, "page", "left")
+    return unboxed(whole, pages.columns, **{into: _assembled(run)(F.col("html"), F.col("host"), F.col("keys"))})
 
 
-def _assembled(boxed: DataFrame, page: Column, found: DataFrame, run: int) -> DataFrame:
+def _assembled(run: int):
     @F.arrow_udf("string")
     def text(pages: pa.Array, hosts: pa.Array, keys: pa.Array) -> pa.Array:
         out = []
@@ -262,5 +266,4 @@ def _assembled(boxed: DataFrame, page: Column, found: DataFrame, run: int) -> Da
             out.append(_kept_runs(got["blocks"], set(k.as_py() or ()), h.as_py(), run))
         return pa.array(out, pa.string())
 
-    whole = boxed.withColumn("page", page).join(found, "page", "left")
-    return whole.select("row.*", text("html", "host", "keys").alias("main_text"))
+    return text

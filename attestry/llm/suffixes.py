@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.llm.columns import boxed, unboxed
 from attestry.llm.hashing import byte_table, mix, powers, signed, text_slices
 from attestry.llm.membership import Membership, may_hold_column, membership
 from attestry.session import cut_lineage
@@ -316,8 +317,9 @@ def remove_repeats(
     length: int = LENGTH,
     gram: int = GRAM,
     hot_places: int = HOT_PLACES,
+    into: str = "cut",
 ) -> DataFrame:
-    """All rows and columns of `docs` with a struct `cut`: n_bytes, spans (maximal removed
+    """All rows and columns of `docs` with a struct `into`: n_bytes, spans (maximal removed
     ranges of bytes) and kept (the other bytes).
 
     Texts are UTF-8 bytes, null is empty.  A byte goes if a string of `length` bytes covers it
@@ -330,15 +332,15 @@ def remove_repeats(
     their suffixes are sorted; only anchors that occur again are dealt at all.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    boxed = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+    rows = docs.select(
+        boxed(docs),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"),
         F.xxhash64(text).alias("tie"),
         F.xxhash64(text, F.lit(1)).alias("tie2"),
         F.octet_length(text).cast("bigint").alias("n_bytes"),
         text.alias("text"),
     )
-    known = boxed.where(F.col("n_bytes") >= length).select("doc", "tie", "tie2", "n_bytes")
+    known = rows.where(F.col("n_bytes") >= length).select("doc", "tie", "tie2", "n_bytes")
     known = cut_lineage(known.distinct())
     firsts = known.groupBy("tie", "tie2", "n_bytes").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     copies = known.join(firsts.where("first <> last"), ["tie", "tie2", "n_bytes"]).where("doc <> first")
@@ -348,7 +350,7 @@ def remove_repeats(
         return F.xxhash64("doc", "tie")
 
     copied = membership(copies.select(pair().alias("key")))
-    plain = boxed.where(F.col("n_bytes") >= length).select("doc", "tie", "text")
+    plain = rows.where(F.col("n_bytes") >= length).select("doc", "tie", "text")
     sure = ~may_hold_column(copied, pair())
     # only what may be a copy is shuffled to make certain
     doubtful = plain.where(~sure).join(copies, ["doc", "tie"], "left_anti").select("doc", "tie", "text")
@@ -357,12 +359,12 @@ def remove_repeats(
     whole = known.join(copies, ["doc", "tie"], "left_semi").select("doc", "tie", F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n_bytes").alias("hi"))).alias("gone"))
     gone = cut_lineage(gone.union(whole))
     holds = membership(gone.select(pair().alias("key")))
-    boxed = boxed.drop("tie2").withColumn("maybe", may_hold_column(holds, pair()))
+    rows = rows.drop("tie2").withColumn("maybe", may_hold_column(holds, pair()))
     span = "array<struct<lo:bigint,hi:bigint>>"
-    clean = boxed.where(~F.col("maybe")).select("row", "n_bytes", F.array().cast(span).alias("spans"), F.col("text").cast("binary").alias("kept"))
-    some = boxed.where("maybe").join(gone, ["doc", "tie"], "left")
+    clean = rows.where(~F.col("maybe")).select("row", "n_bytes", F.array().cast(span).alias("spans"), F.col("text").cast("binary").alias("kept"))
+    some = rows.where("maybe").join(gone, ["doc", "tie"], "left")
     some = some.select("row", "n_bytes", "text", F.coalesce("gone", F.array().cast(span)).alias("gone"))
     row_type = some.schema["row"].dataType.simpleString()
     cut = some.mapInArrow(_cut, f"row {row_type}, n_bytes bigint, spans {span}, kept binary")
     done = clean.union(cut)
-    return done.select("row.*", F.struct("n_bytes", "spans", "kept").alias("cut"))
+    return unboxed(done, docs.columns, **{into: F.struct("n_bytes", "spans", "kept")})

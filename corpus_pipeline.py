@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm.langid import UNKNOWN, identify
+from attestry.llm.columns import free_name
+from attestry.llm.langid import UNKNOWN, taught
 from attestry.llm.leaks import item_parts, leaked_items
 from attestry.llm.lines import dedup_lines
 from attestry.llm.mixing import mix_to_targets
@@ -21,18 +22,18 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model is sure of; those without letters go, too."""
-    known = identify(docs)
-    sure = (F.col("language.lang") != UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)
-    # a model without any labelled row rejects nothing but texts without letters
-    return known.where(sure).select(docs.columns)
+    found = taught(docs)
+    return docs.where((found["lang"] != UNKNOWN) & (found["score"] >= LEAST_SCORE))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; what loses all its text goes."""
-    lines = dedup_lines(docs)
-    left = lines.where((F.col("lines.n_removed") == 0) | (F.trim("lines.text") != ""))
-    text = F.when(F.col("lines.n_removed") == 0, F.col("text")).otherwise(F.col("lines.text"))
-    new = {"text": text, "n_chars": F.length(text).cast("bigint")}
+    name = free_name(docs, "lines")
+    lines = F.col(name)
+    changed = lines["n_removed"] > 0
+    left = dedup_lines(docs, into=name).where(~changed | (F.trim(lines["text"]) != ""))
+    text = F.when(changed, lines["text"]).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(changed, F.length(lines["text"]).cast("bigint")).otherwise(F.col("n_chars"))}
     return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
@@ -51,8 +52,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the targets, with what their probability was made of."""
-    mixed = mix_to_targets(docs).where("mixing.sampled")
-    return mixed.select(*docs.columns, "mixing.topic", "mixing.n_tokens", "mixing.weight", "mixing.prob")
+    name = free_name(docs, "mixing")
+    return mix_to_targets(docs, into=name).where(F.col(name)["sampled"])
 
 
 STAGES: list[tuple[str, Stage]] = [
