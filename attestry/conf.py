@@ -124,6 +124,8 @@ class Config:
     ttl_hours: int = 24
     rate_per_min: float = 10.0
     burst: float = 5.0
+    # what to wait for where no rate is allowed at all
+    closed_wait_s: float = 3600.0
     watermark: str = "1 hour"
     stall_gap: str = "30 minutes"
 

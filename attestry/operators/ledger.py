@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.session import cut_lineage
+
 AUDIT = "candidate_id string, event string, payload string, at timestamp"
 
 
@@ -25,10 +28,25 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list
     return latest_per_key(current.unionByName(incoming), keys, order)
 
 
-def write_reports(reports: DataFrame, path: str, *, partition: str) -> None:
-    """Overwrite only the partitions the new reports fall into."""
+def write_reports(
+    reports: DataFrame, path: str, *, partition: str, keys: list[str], order: list[str]
+) -> None:
+    """Put reports into the store at `path`, each in the place of its key's older one.
+
+    A key always lies in the same partition.  Only the partitions the new reports fall into are
+    read, merged in a table of their own and then swapped in; all other keys in them stay.
+    """
+    spark = reports.sparkSession
+    reports = cut_lineage(reports)
+    try:
+        stored = spark.read.schema(reports.schema).parquet(path)
+    except AnalysisException:  # the first reports: there is no store yet
+        merged = latest_per_key(reports, keys, order)
+    else:
+        touched = reports.select(partition).distinct()
+        merged = upsert(stored.join(touched, partition, "left_semi"), reports, keys, order)
     (
-        reports.write.mode("overwrite")
+        cut_lineage(merged).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
@@ -40,10 +58,10 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def audit_row(key: Column, event: str, payload: Column, at: Column) -> list[Column]:
+def audit_row(key: Column, event: str | Column, payload: Column, at: Column) -> list[Column]:
     return [
         key.cast("string").alias("candidate_id"),
-        F.lit(event).alias("event"),
+        (event if isinstance(event, Column) else F.lit(event)).alias("event"),
         F.to_json(payload).alias("payload"),
         at.alias("at"),
     ]
@@ -119,12 +137,21 @@ def erase(
 
 
 def retention(
-    reports: DataFrame, cutoff: Column, at: Column, *, created: str = "created_at"
-) -> tuple[DataFrame, DataFrame]:
-    """Reports at or after the cutoff, and one ledger row when anything was dropped."""
-    kept = reports.where(F.col(created) >= cutoff)
-    purged = reports.where(F.col(created) < cutoff).agg(F.count(F.lit(1)).alias("candidates"))
-    event = purged.where("candidates > 0").select(
-        *audit_row(F.lit("*"), "retention_purge", F.struct("candidates"), at)
+    tables: dict[str, DataFrame], retain_days: int, now: Column, *, created: str = "created_at"
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each table's rows that are at most `retain_days` old, and one ledger row.
+
+    The row says how many rows of each table were dropped, and the days; there is none when
+    nothing was.
+    """
+    cutoff = now - F.make_dt_interval(days=F.lit(retain_days))
+    kept = {name: df.where(F.col(created) >= cutoff) for name, df in tables.items()}
+    counts = None
+    for name, df in tables.items():
+        n = df.where(F.col(created) < cutoff).agg(F.count(F.lit(1)).alias(name))
+        counts = n if counts is None else counts.join(F.broadcast(n))
+    payload = F.struct(*tables, F.lit(retain_days).alias("retain_days"))
+    event = counts.where(sum((F.col(n) for n in tables), F.lit(0)) > 0).select(
+        *audit_row(F.lit("*"), "retention_purge", payload, now)
     )
     return kept, event

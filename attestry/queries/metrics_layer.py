@@ -313,13 +313,10 @@ def write_reports(t):
         F.col("user_id").cast("string").alias("candidate_id"), "ts", "event_id",
         F.col("event_type").alias("kind"), (F.col("user_id") % 8).alias("shard"),
     )
-    early = rows.where("ts < '2024-01-15'")
-    ledger.write_reports(
-        ledger.latest_per_key(early, ["candidate_id"], ["ts", "event_id"]), path, partition="shard"
-    )
-    current = t.spark.read.parquet(path)
-    merged = ledger.upsert(current, rows.where("ts >= '2024-01-15'"), ["candidate_id"], ["ts", "event_id"])
-    return merged.select("candidate_id", "event_id", "kind")
+    # late rows first, then early ones, then some of all: each write must leave the newest of every key
+    for part in (rows.where("ts >= '2024-01-15'"), rows.where("ts < '2024-01-15'"), rows.where("kind = 'click'")):
+        ledger.write_reports(part, path, partition="shard", keys=["candidate_id"], order=["ts", "event_id"])
+    return t.spark.read.parquet(path).select("candidate_id", "event_id", "kind")
 
 
 @query("""
@@ -327,9 +324,10 @@ def write_reports(t):
 def append_audit(t):
     path = _fresh(t, "audit")
     key, at = F.col("user_id"), F.col("ts")
-    for kind in ("signup", "view", "error", "purchase", "click"):
-        rows = t.events.where(F.col("event_type") == kind)
-        ledger.append_audit(rows.select(*ledger.audit_row(key, kind, F.struct("props", "value"), at)), path)
+    rows = t.events.select(*ledger.audit_row(key, F.col("event_type"), F.struct("props", "value"), at))
+    # two appends: the second adds to the first
+    for part in (rows.where("at < '2024-01-15'"), rows.where("at >= '2024-01-15' OR at IS NULL")):
+        ledger.append_audit(part, path)
     log = t.spark.read.parquet(path)
     k = F.get_json_object(F.get_json_object("payload", "$.props"), "$.k").cast("long")
     return log.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
@@ -416,15 +414,24 @@ def erase(t):
 
 
 @query("""
-    SELECT 'kept' AS what, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10'
-    UNION ALL SELECT 'retention_purge', count(*) FROM events WHERE ts < TIMESTAMP '2024-01-10'""")
+    SELECT 'kept candidates' AS what, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10'
+    UNION ALL SELECT 'kept authenticity_reports', count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '2024-01-10'
+    UNION ALL SELECT 'purged candidates', count(*) FROM events WHERE ts < TIMESTAMP '2024-01-10'
+    UNION ALL SELECT 'purged authenticity_reports', count(*) FROM orders WHERE o_orderdate < TIMESTAMP '2024-01-10'
+    UNION ALL SELECT 'retain_days', 20""")
 def retention(t):
-    cutoff = F.lit("2024-01-10").cast("timestamp")
-    kept, event = ledger.retention(t.events, cutoff, F.lit("2026-01-01").cast("timestamp"), created="ts")
-    purge = event.select(
-        F.col("event").alias("what"), F.get_json_object("payload", "$.candidates").cast("long").alias("n")
-    )
-    return kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("what"), "n").unionByName(purge)
+    tables = {
+        "candidates": t.events.select("event_id", F.col("ts").alias("created_at")),
+        "authenticity_reports": t.orders.select("o_orderkey", F.col("o_orderdate").alias("created_at")),
+    }
+    kept, event = ledger.retention(tables, 20, F.lit("2024-01-30").cast("timestamp"))
+    said = lambda name: F.get_json_object("payload", f"$.{name}").cast("long")
+    out = event.select(F.lit("retain_days").alias("what"), said("retain_days").alias("n"))
+    for name in tables:
+        out = out.unionByName(event.select(F.lit(f"purged {name}").alias("what"), said(name).alias("n")))
+        count = kept[name].agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(count.select(F.lit(f"kept {name}").alias("what"), "n"))
+    return out
 
 
 # --- generated prose ----------------------------------------------------------------------

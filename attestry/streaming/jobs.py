@@ -100,20 +100,35 @@ def close_open_stages(progress_: DataFrame) -> DataFrame:
 FETCH_OUT = "key string, event_id bigint, ts timestamp"
 
 
-def _keep_after_ttl(ttl: float):
+def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch by time.  They arrive in chunks, none of them sorted."""
+    return pd.concat(list(frames)).sort_values(columns, kind="stable")
+
+
+def _micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _remember(state: GroupState, us: int, keep_us: float) -> None:
+    """Keep `us` as long as it can matter; then the watermark takes it out of the state."""
+    state.update((us,))
+    state.setTimeoutTimestamp(max(int((us + keep_us) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def _keep_after_ttl(ttl_us: float):
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        for pdf in frames:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            kept = []
-            for event_id, ts in zip(pdf["event_id"], pdf["ts"], strict=True):
-                now = ts.timestamp()
-                if last is None or now - last >= ttl:
-                    last = now
-                    kept.append((key[0], event_id, ts))
-            yield pd.DataFrame(kept, columns=["key", "event_id", "ts"])
-        if last is not None:
-            state.update((last,))
+        rows = _in_order(frames, ["ts", "event_id"])
+        kept = []
+        for now in _micros(rows["ts"]):
+            fresh = last is None or now - last >= ttl_us
+            last = now if fresh else last
+            kept.append(fresh)
+        _remember(state, last, ttl_us)
+        yield rows[kept].assign(key=key[0])[["key", "event_id", "ts"]]
 
     return step
 
@@ -122,63 +137,75 @@ def ttl_dedup(fetches: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """fetches(key, event_id, ts, status_code) → those that are processed.
 
     An artefact fetched again within the TTL of the fetch that was processed is not processed
-    again; only definitive answers are remembered.  State is one number per artefact.
+    again; only definitive answers are remembered.  State is one number per artefact, and goes
+    when the watermark has passed its TTL.
     """
     definitive = fetches.where(F.col("status_code").isin(200, 404)).select("key", "event_id", "ts")
-    return definitive.groupBy("key").applyInPandasWithState(
-        _keep_after_ttl(conf.ttl_hours * 3600.0), FETCH_OUT, "last double", "append", "NoTimeout"
+    return (
+        definitive.withWatermark("ts", conf.watermark)
+        .groupBy("key")
+        .applyInPandasWithState(
+            _keep_after_ttl(conf.ttl_hours * 3600e6), FETCH_OUT, "last bigint", "append", "EventTimeTimeout"
+        )
     )
 
 
 # --- T4 -----------------------------------------------------------------------------------
 
 
-def take(tokens: float, stamp: float, now: float, rate: float, burst: float):
-    """One token from a bucket: (tokens left, wait in seconds, 0 when allowed)."""
-    tokens = min(burst, tokens + max(0.0, now - stamp) * rate)
-    if tokens >= 1.0:
-        return tokens - 1.0, 0.0
-    return tokens, (1.0 - tokens) / rate if rate > 0 else 3600.0
+def schedule(free_at: float, now: float, spacing: float, burst: float) -> tuple[float, float]:
+    """Admit a request or say how long to wait: (new free_at, wait, 0 when admitted).
+
+    A client's requests are spaced evenly on a schedule whose next free place is `free_at`.
+    Every admitted request takes a place; one may run ahead of the schedule by burst - 1
+    places, and who has paused does not save up more than that.
+    """
+    place = max(free_at, now)
+    ahead = place - now - (burst - 1) * spacing
+    return (place + spacing, 0.0) if ahead <= 0 else (free_at, ahead)
 
 
 RATE_OUT = "client string, event_id bigint, ts timestamp, allowed boolean, wait_s double"
-_RATE_COLUMNS = ["client", "event_id", "ts", "allowed", "wait_s"]
 
 
-def _audit_rows(client, pdf: pd.DataFrame, tokens: float, stamp, rate: float, burst: float):
-    out = []
-    for event_id, ts in zip(pdf["event_id"], pdf["ts"], strict=True):
-        now = ts.timestamp()
-        tokens, wait = take(tokens, now if stamp is None else stamp, now, rate, burst)
-        stamp = now
-        out.append((client, event_id, ts, wait == 0.0, wait))
-    return pd.DataFrame(out, columns=_RATE_COLUMNS), tokens, stamp
+def _spacing_us(conf: Config) -> float:
+    """Microseconds between two requests at the allowed rate; no rate admits the burst alone."""
+    return 60e6 / conf.rate_per_min if conf.rate_per_min > 0 else conf.closed_wait_s * 1e6
 
 
-def _bucket_step(rate: float, burst: float):
+def _schedule_step(spacing: float, burst: float):
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, stamp = state.get if state.exists else (burst, None)
-        for pdf in frames:
-            rows, tokens, stamp = _audit_rows(
-                key[0], pdf.sort_values(["ts", "event_id"]), tokens, stamp, rate, burst
-            )
-            yield rows
-        if stamp is not None:
-            state.update((tokens, stamp))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        free_at = state.get[0] if state.exists else 0.0
+        rows = _in_order(frames, ["ts", "event_id"])
+        waits = []
+        for now in _micros(rows["ts"]):
+            free_at, wait = schedule(free_at, now, spacing, burst)
+            waits.append(wait / 1e6)
+        # a free place in the past says nothing any more
+        _remember(state, free_at, 0.0)
+        rows = rows.assign(client=key[0], wait_s=waits)
+        yield rows.assign(allowed=rows["wait_s"] == 0.0)[["client", "event_id", "ts", "allowed", "wait_s"]]
 
     return step
 
 
 def stream_rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
-    """T4: events(client, event_id, ts) → every event with its verdict; state is two numbers."""
+    """T4: events(client, event_id, ts) → every event with its verdict; state is one number.
+
+    A client's events are judged in time order within a micro-batch; one that comes after a
+    later batch's is judged where the schedule stands then.
+    """
     return (
         events.select("client", "event_id", "ts")
+        .withWatermark("ts", conf.watermark)
         .groupBy("client")
         .applyInPandasWithState(
-            _bucket_step(conf.rate_per_min / 60.0, conf.burst),
-            RATE_OUT, "tokens double, stamp double", "append", "NoTimeout",
+            _schedule_step(_spacing_us(conf), conf.burst), RATE_OUT, "free_at double", "append", "EventTimeTimeout"
         )
-    )
+    )
 
 
 def busy_periods(
@@ -229,12 +256,12 @@ def busy_periods(
 
 
 def rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
-    """T4 in batch.  A pause long enough to refill the bucket makes what follows independent of
-    what came before, so the fold runs per (client, busy period).  It streams sorted batches and
-    carries two numbers, so a period is never held in memory.
+    """T4 in batch.  After a pause long enough for the whole burst what came before no longer
+    matters, so the schedule is followed per (client, busy period).  It streams sorted batches
+    and carries one number, so a period is never held in memory.
     """
-    rate, burst = conf.rate_per_min / 60.0, conf.burst
-    periods = busy_periods(events.select("client", "event_id", "ts"), "client", burst / rate)
+    spacing, burst = _spacing_us(conf), conf.burst
+    periods = busy_periods(events.select("client", "event_id", "ts"), "client", burst * spacing / 1e6)
     # the fold sees plain numbers, so no time zone can touch them on the way through Arrow
     ordered = (
         periods.select(
@@ -248,18 +275,16 @@ def rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     )
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tokens, stamp = None, burst, None
+        current, free_at = None, 0.0
         for batch in batches:
-            allowed, waits = [], []
-            nows = batch["us"].to_numpy() / 1e6
-            for client, period, now in zip(batch["client"], batch["period"], nows, strict=True):
+            waits = []
+            for client, period, now in zip(batch["client"], batch["period"], batch["us"].tolist(), strict=True):
                 if (client, period) != current:
-                    current, tokens, stamp = (client, period), burst, now
-                tokens, wait = take(tokens, stamp, now, rate, burst)
-                stamp = now
-                allowed.append(wait == 0.0)
-                waits.append(wait)
-            yield batch[["client", "event_id", "us"]].assign(allowed=allowed, wait_s=waits)
+                    current, free_at = (client, period), 0.0
+                free_at, wait = schedule(free_at, now, spacing, burst)
+                waits.append(wait / 1e6)
+            done = batch[["client", "event_id", "us"]].assign(wait_s=waits)
+            yield done.assign(allowed=done["wait_s"] == 0.0)[["client", "event_id", "us", "allowed", "wait_s"]]
 
     done = ordered.mapInPandas(
         fold, "client string, event_id bigint, us bigint, allowed boolean, wait_s double"

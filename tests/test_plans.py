@@ -12,41 +12,42 @@ from attestry.plans.screen import screen_corpus
 from attestry.sources.corpus import as_layout
 
 CONF = Config(as_of=date(2026, 7, 1))
-JD = """Backend Engineer
-
-Must have
-- Strong Python and production work with FastAPI
-- PostgreSQL, including schema design and tuning
-- Docker and container-based deployment
-- 3+ years of professional software engineering experience
-- Bachelor's degree in Computer Science or a related field
-
-Preferred
-- AWS exposure of any kind
+JD = """Timetable Portal Developer (regional railway)
+
+Requirements
+* React for the passenger pages
+* Everyday TypeScript
+* MongoDB as the store of departures
+* Kafka to carry delay messages
+* 2+ years of professional experience with web portals
+* Bachelor's degree in Computer Science
+
+Nice to have
+* GCP
 """
-STRONG = """Casey Jordan
-casey.jordan@example.com
+STRONG = """Robin Vale
+robin@vale.example
 
-Experience
-Senior Backend Engineer at Northgate Billing, 2021 - Present
-- Built FastAPI services, reducing p95 latency to 120ms
-- Designed PostgreSQL schemas. Ran Docker images.
-Backend Engineer at Corva Systems, 2019 - 2021
-- Wrote Python services
+Employment
+Senior Portal Developer at Lowland Rail Works, 2020 - Present
+* Rewrote the departure boards in React and TypeScript, reducing load time by 45%
+* Moved delay messages to Kafka. Keeps departures in MongoDB.
+Portal Developer at Tidewater Ferries, 2017 - 2020
+* Kept the TypeScript booking pages alive
 
 Skills
-Python, FastAPI, PostgreSQL, Docker, AWS
+React, TypeScript, MongoDB, Kafka, GCP
 
 Projects
-Ledger Service: FastAPI service for settlement events
+Platform Board: React pages that show where a train leaves
 
 Education
-B.S. in Computer Science, 2019
+B.Sc. Computer Science, 2017
 """
-TRANSFER = STRONG.replace("FastAPI", "Django").replace("PostgreSQL", "MySQL").replace(", AWS", "")
-BRIEF = "Sam Okay\nsam@example.com\n\nSkills\nPython\n"
-PADDED = STRONG.replace("Backend engineer", "x").replace(
-    "Wrote Python services", "Passionate, dynamic, world-class visionary synergy"
+TRANSFER = STRONG.replace("React", "Angular").replace("Kafka", "RabbitMQ").replace(", GCP", "")
+BRIEF = "Kim Short\nkim@short.example\n\nSkills\nTypeScript\n"
+PADDED = STRONG.replace(
+    "Kept the TypeScript booking pages alive", "Passionate, dynamic, world-class visionary synergy"
 )
 
 
@@ -60,16 +61,16 @@ def screen(spark, texts, evidence=None):
 
 EVIDENCE = {
     "listing": [
-        ("flagged", "ledger-service", False, "2022-01-01", "2024-06-01", ["fastapi"], "main", "", "Python"),
-        ("flagged", "old-clone", True, "2020-01-02", "2020-01-01", [], "main", "a freecodecamp tutorial", ""),
+        ("flagged", "platform-board", False, "2021-03-01", "2025-02-01", ["react"], "main", "", "TypeScript"),
+        ("flagged", "todo-course", True, "2019-05-02", "2019-05-01", [], "main", "a freecodecamp tutorial", ""),
     ],
-    "languages": [("flagged", "ledger-service", "Python", 40000)],
-    "paths": [("flagged", "ledger-service", "requirements.txt"), ("flagged", "ledger-service", "Dockerfile")],
-    "manifests": [("flagged", "ledger-service", "requirements.txt", "fastapi==1\npsycopg2\n")],
-    "commits": [("flagged", "ledger-service", i, "flagged" if i < 18 else "x") for i in range(20)],
-    "readmes": [("flagged", "ledger-service", "Settlement events. Latency is 120ms at p95.")],
-    "external": [("flagged", "ok", 0, "Senior Backend Engineer", "Northgate Billing", "2024", "Present")],
-    "sources": [("flagged", "casey", None, None, None)],
+    "languages": [("flagged", "platform-board", "TypeScript", 52000)],
+    "paths": [("flagged", "platform-board", "package.json"), ("flagged", "platform-board", "src/board.tsx")],
+    "manifests": [("flagged", "platform-board", "package.json", '{"dependencies": {"react": "18", "mongodb": "6"}}')],
+    "commits": [("flagged", "platform-board", i, "flagged" if i < 27 else "y") for i in range(30)],
+    "readmes": [("flagged", "platform-board", "Where a train leaves. It is reducing load time by 45%.")],
+    "external": [("flagged", "ok", 0, "Senior Portal Developer", "Lowland Rail Works", "2023", "Present")],
+    "sources": [("flagged", "robin", None, None, None)],
 }
 
 
@@ -90,7 +91,7 @@ def test_labels(results):
     assert (reports["strong"].recommendation, reports["strong"].overall_match_score) == ("Shortlist", 100)
     assert reports["brief"].recommendation == "Review Manually"
     status = {m.requirement: m.status for m in reports["transfer"].requirement_match}
-    assert status["FastAPI"] == "Partially Matched" and status["PostgreSQL"] == "Partially Matched"
+    assert status["React"] == "Partially Matched"
 
 
 def test_missing_evidence_lowers_confidence_not_the_score(results):
@@ -109,13 +110,14 @@ def test_style_moves_nothing_that_counts(results):
 
 def test_evidence_reaches_the_claims(results):
     claims = results[1]["flagged"]
-    assert claims["SKILL", "Python"].status == "VERIFIED"
-    assert claims["SKILL", "FastAPI"].status == "VERIFIED"
-    assert claims["SKILL", "AWS"].status == "UNSUPPORTED"
-    role = claims["ROLE", "Senior Backend Engineer"]
+    assert claims["SKILL", "TypeScript"].status == "VERIFIED"
+    assert claims["SKILL", "React"].status == "VERIFIED"
+    assert claims["SKILL", "GCP"].status == "UNSUPPORTED"
+    # the export starts the role three years later than the resume does
+    role = claims["ROLE", "Senior Portal Developer"]
     assert (role.status, role.confidence) == ("CONTRADICTED", 0.7)
-    metric = claims["METRIC", "Built FastAPI services, reducing p95 latency to 120ms"]
-    assert metric.status == "VERIFIED"
+    board = next(c for (kind, text), c in claims.items() if kind == "METRIC" and "load time" in text)
+    assert board.status == "VERIFIED"
     assert results[0]["flagged"].authenticity.band == "NEEDS_VERIFICATION"
 
 

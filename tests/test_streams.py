@@ -45,16 +45,41 @@ def run(spark, tmp_path, stream, **kw):
 
 
 def simulate(rows, rate, burst):
-    state, out = {}, {}
-    for i, ts, client, _ in rows:
-        now = ts.timestamp()
-        tokens, stamp = state.get(client, (burst, now))
-        tokens, wait = jobs.take(tokens, stamp, now, rate, burst)
-        state[client] = (tokens, now)
-        out[i] = wait == 0.0
+    """Admitted iff no window that ends here would hold more than burst plus its share of the rate."""
+    admitted, out = {}, {}
+    for i, ts, client, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        now, before = ts.timestamp(), admitted.setdefault(client, [])
+        fits = all(len(before) - k + 1 <= burst + (now - since) * rate + 1e-9 for k, since in enumerate(before))
+        if fits:
+            before.append(now)
+        out[i] = fits
     return out
 
 
+def test_rate_audit_of_one_busy_client_in_any_order(spark, tmp_path):
+    """25,000 events of a client, shuffled: more than one Arrow chunk in one micro-batch."""
+    rng = random.Random(2)
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=3 * i + rng.randrange(3)), "hot") for i in range(25_000)]
+    rng.shuffle(rows)
+    schema = "event_id bigint, ts timestamp, client string"
+    static = spark.createDataFrame(rows, schema)
+    static.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    got = run(spark, tmp_path, jobs.stream_rate_audit(stream, SLOW))
+    batch = jobs.rate_audit(static, SLOW)
+    want = {r.event_id: r.allowed for r in batch.collect()}
+    assert {r.event_id: r.allowed for r in got.collect()} == want
+    seconds = 3 * 25_000
+    assert abs(sum(want.values()) - seconds * SLOW.rate_per_min / 60) < SLOW.burst + 2
+
+    fetched = stream.withColumn("status_code", F.lit(200)).withColumnRenamed("client", "key")
+    kept = run(spark, tmp_path, jobs.ttl_dedup(fetched, replace(SLOW, ttl_hours=1)))
+    times = sorted(r.ts for r in kept.collect())
+    assert len(times) == 1 + (25_000 * 3 - 3) // 3600 or len(times) == 25_000 * 3 // 3600
+    assert all((b - a).total_seconds() >= 3600 for a, b in zip(times, times[1:], strict=False))
+
+
 def test_rate_audit_stream_and_batch(spark, tmp_path, events):
     rows, static, stream = events
     want = simulate(rows, SLOW.rate_per_min / 60, SLOW.burst)
