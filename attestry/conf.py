@@ -12,10 +12,10 @@ class Config:
     as_of: date = date(2026, 1, 1)
 
     # --- intake limits -------------------------------------------------------------------
-    max_bytes: int = 10 * 1024 * 1024
-    jd_max_chars: int = 50_000
-    pasted_max_chars: int = 200_000
-    max_inputs: int = 25
+    max_bytes: int | None = None
+    jd_max_chars: int | None = None
+    pasted_max_chars: int | None = None
+    max_inputs: int | None = None
     file_types: tuple[str, ...] = (".txt", ".md")
 
     # --- integrity -----------------------------------------------------------------------
@@ -86,9 +86,9 @@ class Config:
     band_min_confidence: float = 0.40
     band_high: float = 0.75
     band_moderate: float = 0.50
-    max_repos: int = 30
-    max_repos_analyzed: int = 8
-    max_commits: int = 100
+    max_repos: int | None = None
+    max_repos_analyzed: int | None = None
+    max_commits: int | None = None
     bulk_import_ratio: float = 0.80
     bulk_import_commits: int = 2
     authorship_min: float = 0.30
@@ -106,18 +106,18 @@ class Config:
     conflict_confidence: float = 0.7
     style_low: float = 0.33
     style_medium: float = 0.66
-    readme_chars: int = 2000
-    page_chars: int = 5000
-    max_links: int = 30
-    max_demo_links: int = 3
-    max_headings: int = 10
-    heading_chars: int = 120
+    readme_chars: int | None = None
+    page_chars: int | None = None
+    max_links: int | None = None
+    max_demo_links: int | None = None
+    max_headings: int | None = None
+    heading_chars: int | None = None
 
     # --- job description / questions -------------------------------------------------------
-    max_unrecognised: int = 20
-    line_chars: int = 200
-    max_gaps: int = 10
-    max_internal_gaps: int = 5
+    max_unrecognised: int | None = None
+    line_chars: int | None = None
+    max_gaps: int | None = None
+    max_internal_gaps: int | None = None
 
     # --- ledger and streams ----------------------------------------------------------------
     retain_days: int = 30

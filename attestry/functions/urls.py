@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestry import lexicons as L
+from attestry.functions.limits import first_items
 from attestry.functions.text import col, let, raw_lines, strip
 
 
@@ -147,9 +148,9 @@ def absolute(base: Column, link: Column) -> Column:
     )
 
 
-def demo_links(links: Column, limit: int) -> Column:
+def demo_links(links: Column, limit: int | None = None) -> Column:
     marked = F.filter(links, lambda x: F.lower(x).rlike(_demo_pattern()))
-    return F.slice(marked, 1, limit)
+    return first_items(marked, limit)
 
 
 def _demo_pattern() -> str:

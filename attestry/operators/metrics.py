@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from attestry import lexicons as L
+from attestry.functions.limits import first_chars, first_rows
 from attestry.functions.rounding import round_even
 from attestry.functions.text import lookup
 
@@ -351,12 +352,12 @@ def citation_validity(citations: DataFrame, artefacts: DataFrame, keys: list[str
 
 def producer_tally(
     calls: DataFrame, task: str, producer: str, fell_back: Column, reason: Column, *,
-    reason_chars: int = 300,
+    reason_chars: int | None = None,
 ) -> DataFrame:
-    """Per task the modal producer, calls, whether any fell back, and distinct reasons.
+    """Per task the modal producer, calls, whether any fell back, and its distinct reasons.
 
-    A reason takes at least three characters of the joined text, so only the first few distinct
-    reasons per task can show and no more are gathered.
+    The reasons are one text per task, in order of the producer that gave them first; with
+    `reason_chars` only its beginning is gathered.
     """
     per = calls.groupBy(task, producer).agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or(fell_back).alias("_fell")
@@ -373,16 +374,15 @@ def producer_tally(
         .agg(F.min(producer).alias("_by"))
     )
     w = Window.partitionBy(task).orderBy("_by", "_why")
+    # a reason takes three characters of the joined text or more
+    most = None if reason_chars is None else reason_chars // 3 + 1
     reasons = (
-        first.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= reason_chars // 3 + 1)
+        first_rows(first, w, most)
         .groupBy(task)
-        .agg(F.array_sort(F.collect_list(F.struct("_rn", "_why"))).alias("_r"))
+        .agg(F.array_sort(F.collect_list(F.struct("_by", "_why"))).alias("_r"))
         .select(
             task,
-            F.substring(
-                F.array_join(F.transform("_r", lambda r: r["_why"]), "; "), 1, reason_chars
-            ).alias("reason"),
+            first_chars(F.array_join(F.transform("_r", lambda r: r["_why"]), "; "), reason_chars).alias("reason"),
         )
     )
     return tally.join(reasons, task, "left")

@@ -221,7 +221,7 @@ def citation_validity(t):
     n AS (SELECT event_type, producer, count(*) AS n FROM c GROUP BY 1, 2),
     m AS (SELECT event_type, producer, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, producer) AS rn FROM n),
     f AS (SELECT event_type, why, min(producer) AS p FROM c WHERE why IS NOT NULL GROUP BY 1, 2),
-    g AS (SELECT event_type, left(string_agg(why, '; ' ORDER BY p, why), 300) AS reason FROM f GROUP BY 1)
+    g AS (SELECT event_type, string_agg(why, '; ' ORDER BY p, why) AS reason FROM f GROUP BY 1)
     SELECT c.event_type, any_value(m.producer) AS producer, count(*) AS calls, bool_or(fell) AS fell_back, any_value(reason) AS reason
     FROM c JOIN m ON m.event_type = c.event_type AND rn = 1 LEFT JOIN g ON g.event_type = c.event_type GROUP BY c.event_type""")
 def producer_tally(t):
@@ -440,7 +440,7 @@ _LIST = ("Python", "Kafka", "Django", "React", "Docker", "MongoDB", "Java")
 
 
 @query("""
-    WITH n AS (SELECT l_orderkey AS k, CAST(least(count(*), 7) AS INT) AS n FROM lineitem GROUP BY l_orderkey)
+    WITH n AS (SELECT l_orderkey AS k, CAST(count(*) % 8 AS INT) AS n FROM lineitem GROUP BY l_orderkey)
     SELECT k AS doc_id, 'count_mismatch' AS type FROM n WHERE k % 5 = 0 AND n + 1 NOT IN (7, 7 - n)
     UNION ALL SELECT k, 'score_mismatch' FROM n WHERE k % 3 = 0
     UNION ALL SELECT k, 'risk_contradicts_facts' FROM n WHERE k % 4 = 0 AND n >= 2
@@ -451,7 +451,8 @@ _LIST = ("Python", "Kafka", "Django", "React", "Docker", "MongoDB", "Java")
 def check_narratives_query(t):
     n, k = F.col("n"), F.col("doc_id")
     base = t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(
-        F.least(F.count(F.lit(1)), F.lit(7)).cast("int").alias("n")
+        # how many of the seven requirements an order stands for
+        (F.count(F.lit(1)) % 8).cast("int").alias("n")
     )
     names = F.array(*map(F.lit, _LIST))
     facts = base.select(

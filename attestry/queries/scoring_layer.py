@@ -183,18 +183,10 @@ def search_results(t):
 
 @query("""
     SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place
-    FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25""")
+    FROM customer""")
 def rank_candidates(t):
-    # a top-k report: the sort is a bounded heap per task, numbering happens on 25 rows
-    top = scoring.rank_candidates(
-        t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey"
-    ).limit(25)
-    gathered = top.agg(
-        F.collect_list(F.struct((-F.col("c_acctbal")).alias("neg"), "c_custkey", "c_acctbal")).alias("rows")
-    )
-    return gathered.select(F.posexplode(F.array_sort("rows")).alias("i", "r")).select(
-        "r.c_custkey", "r.c_acctbal", (F.col("i") + 1).cast("long").alias("place")
-    )
+    rows = t.customer.select("c_custkey", "c_acctbal")
+    return scoring.rank_candidates(rows, "c_acctbal", "c_custkey", place="place")
 
 
 @query(f"""
@@ -255,7 +247,7 @@ def question_plan(t):
     WITH l AS (SELECT doc_id, source, {lines("text")} AS ls FROM documents),
     c AS (SELECT doc_id, CASE WHEN contains(lower(source || ': ' || coalesce(ls[1], '')), 'rest') THEN source || ': ' || coalesce(ls[1], '') END AS p,
                  list_filter(ls[2:], lambda x: contains(lower(x), 'rest'))[1] AS q FROM l)
-    SELECT doc_id, coalesce(left(p, 200), left(q, 200), '') AS evidence FROM c""")
+    SELECT doc_id, coalesce(p, q, '') AS evidence FROM c""")
 def evidence_for(t):
     rows = t.spread("documents").select(
         "doc_id", "source", F.filter(F.transform(raw_lines("text"), strip), lambda x: x != "").alias("ls")

@@ -24,20 +24,17 @@ from attestry.queries.oracle import ALIASES, LINE_BREAK, WS, lines, listed, norm
 from attestry.queries.registry import query
 from attestry.sources import corpus, pages, profiles, repos
 
-SMALL = replace(DEFAULT, max_bytes=20_000)
-
 # --- intake -------------------------------------------------------------------------------
 
 
 @query(f"""
     SELECT doc_id,
-           CASE WHEN strlen(text) > 20000 THEN 'too_large'
-                WHEN {strip("text")} = '' THEN 'no_text' ELSE 'ok' END AS status,
+           CASE WHEN {strip("text")} = '' THEN 'no_text' ELSE 'ok' END AS status,
            CAST(len({lines("text")}) AS BIGINT) AS n_spans,
            CAST(length({strip("text")}) AS BIGINT) AS n_visible
     FROM documents""")
 def read_corpus(t):
-    taken = corpus.with_intake(t.spread("documents"), SMALL)
+    taken = corpus.with_intake(t.spread("documents"))
     laid = corpus.as_layout(taken)
     return laid.select(
         "doc_id",
@@ -483,15 +480,15 @@ def _plain(expr: str) -> str:
 
 @query(f"""
     WITH b AS (SELECT page_id, url, {_plain("html")} AS full_text,
-        list_transform(regexp_extract_all(html, '<h[1-3][^>]*>(.*?)</h[1-3]>', 1, 'is')[1:10],
-                       lambda h: left({_plain("h")}, 120)) AS hs,
-        list_sort(list_distinct(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1, 'i')))[1:30] AS ls FROM pages),
+        list_transform(regexp_extract_all(html, '<h[1-3][^>]*>(.*?)</h[1-3]>', 1, 'is'),
+                       lambda h: {_plain("h")}) AS hs,
+        list_sort(list_distinct(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1, 'i'))) AS ls FROM pages),
     w AS (SELECT page_id, unnest(list_distinct({norm_words("full_text")})) AS word FROM b),
     c AS (SELECT page_id, word, min_by(skill, CASE WHEN word = alias THEN -1 ELSE ord END) AS skill
           FROM w JOIN {ALIASES} ON word = alias OR regexp_matches(word, '\\b' || regexp_escape(alias) || '\\b')
           GROUP BY page_id, word),
     s AS (SELECT page_id, string_agg(DISTINCT skill, ',' ORDER BY skill) AS tech FROM c GROUP BY page_id)
-    SELECT page_id, left(full_text, 5000) AS text, coalesce(array_to_string(hs, '|'), '') AS headings,
+    SELECT page_id, full_text AS text, coalesce(array_to_string(hs, '|'), '') AS headings,
            coalesce(array_to_string(ls, '|'), '') AS links, coalesce(tech, '') AS tech
     FROM b LEFT JOIN s USING (page_id)""")
 def read_pages(t):
@@ -608,7 +605,7 @@ def parse_profile_export(t):
     WITH r AS (SELECT o_custkey AS candidate_id, 'repo-' || o_orderkey AS name, o_orderstatus = 'F' AS fork,
                       strftime(o_orderdate, '%Y-%m-%d') AS pushed_at, o_orderkey % 4 = 0 AS same FROM orders)
     SELECT candidate_id, name, fork, NOT fork AS owned, pushed_at, fork AND same AS untouched
-    FROM r QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY pushed_at DESC, name) <= 5""")
+    FROM r""")
 def read_repo_listing(t):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     raw = t.orders.select(
@@ -621,7 +618,7 @@ def read_repo_listing(t):
             day,
         ).alias("json"),
     )
-    listing = repos.read_listing(repos.parse_listing(raw), replace(DEFAULT, max_repos=5))
+    listing = repos.read_listing(repos.parse_listing(raw))
     return listing.select(
         "candidate_id", "name", "fork", "owned", "pushed_at",
         F.array_contains("listing_flags", "fork_claimed_as_own").alias("untouched"),

@@ -28,13 +28,16 @@ def local_session(app: str = "attestry", cpus: str | None = None) -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir` where the cluster names one.
 
-    Only where it is unset (tests, a laptop) is a fresh local folder used.
+    Only a local session (tests, a laptop) may leave it unset and gets a fresh local folder;
+    on a cluster executors would write to disks that nobody else reads, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         named = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="attestry-")
         _LOCAL[app] = named
@@ -52,5 +55,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGES: dict[str, list[str]] = {}
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove the tables `cut_lineage` has written in this application.
+
+    For when a job's result is written: what was read from the tables can't be read again.
+    """
+    jvm = spark._jvm
+    for path in _STAGES.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

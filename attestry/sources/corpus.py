@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.conf import DEFAULT, Config
+from attestry.functions.limits import too_many
 from attestry.functions.text import raw_lines, strip
 
 SPAN = (
@@ -57,7 +58,7 @@ def with_intake(docs: DataFrame, conf: Config = DEFAULT) -> DataFrame:
         ]
     )
     reason = (
-        F.when(size > conf.max_bytes, "too_large")
+        F.when(too_many(size, conf.max_bytes), "too_large")
         .when(~known, "unsupported")
         .when(F.coalesce(strip("text"), F.lit("")) == "", "no_text")
     )
@@ -127,9 +128,9 @@ def input_gate(
     """
     counts = inputs.groupBy(group).agg(F.count(F.lit(1)).alias("n_inputs"))
     code = (
-        F.when(F.length(jd_text) > conf.jd_max_chars, "JD_TOO_LARGE")
-        .when(F.col("n_inputs") > conf.max_inputs, "TOO_MANY_INPUTS")
-        .when(F.length(text) > conf.pasted_max_chars, "TEXT_TOO_LARGE")
+        F.when(too_many(F.length(jd_text), conf.jd_max_chars), "JD_TOO_LARGE")
+        .when(too_many(F.col("n_inputs"), conf.max_inputs), "TOO_MANY_INPUTS")
+        .when(too_many(F.length(text), conf.pasted_max_chars), "TEXT_TOO_LARGE")
     )
     return inputs.join(counts, group).withColumn("reject_code", code)
 

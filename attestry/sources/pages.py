@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry import lexicons as L
 from attestry.conf import DEFAULT, Config
+from attestry.functions.limits import first_chars, first_items
 from attestry.functions.skills import GRAPH, SkillGraph, canonical
 from attestry.functions.text import S, col, extract_all, norm_words, rx
 from attestry.functions.urls import absolute, demo_links
@@ -21,14 +22,14 @@ def html_text(c: Column | str) -> Column:
 
 
 def headings(c: Column | str, conf: Config = DEFAULT) -> Column:
-    found = F.slice(extract_all(c, "(?si)" + L.HTML_HEADING, 1), 1, conf.max_headings)
-    return F.transform(found, lambda h: F.substring(html_text(h), 1, conf.heading_chars))
+    found = first_items(extract_all(c, "(?si)" + L.HTML_HEADING, 1), conf.max_headings)
+    return F.transform(found, lambda h: first_chars(html_text(h), conf.heading_chars))
 
 
 def links(c: Column | str, conf: Config = DEFAULT) -> Column:
-    """Distinct link targets in byte order, at most `max_links`."""
+    """Distinct link targets in byte order."""
     found = F.array_sort(F.array_distinct(extract_all(c, rx(L.HTML_HREF), 1)))
-    return F.slice(found, 1, conf.max_links)
+    return first_items(found, conf.max_links)
 
 
 def read_pages(
@@ -57,7 +58,7 @@ def read_pages(
     )
     return staged.select(
         *keep,
-        F.substring("full_text", 1, conf.page_chars).alias("text"),
+        first_chars("full_text", conf.page_chars).alias("text"),
         "headings",
         "links",
         tech.alias("tech"),

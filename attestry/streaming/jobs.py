@@ -142,7 +142,8 @@ def ttl_dedup(fetches: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """
     definitive = fetches.where(F.col("status_code").isin(200, 404)).select("key", "event_id", "ts")
     return (
-        definitive.withWatermark("ts", conf.watermark)
+        definitive.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", conf.watermark)
         .groupBy("key")
         .applyInPandasWithState(
             _keep_after_ttl(conf.ttl_hours * 3600e6), FETCH_OUT, "last bigint", "append", "EventTimeTimeout"
@@ -199,7 +200,7 @@ def stream_rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     later batch's is judged where the schedule stands then.
     """
     return (
-        events.select("client", "event_id", "ts")
+        events.select("client", "event_id", F.col("ts").cast("timestamp").alias("ts"))
         .withWatermark("ts", conf.watermark)
         .groupBy("client")
         .applyInPandasWithState(
