@@ -238,15 +238,17 @@ def normalise(c: Column | str) -> Column:
 def injection_match(
     normalised: Column,
     patterns: Iterable[str] = L.INJECTION_PATTERNS,
-    hints: Iterable[str] = L.INJECTION_HINTS,
+    hints: Iterable[str] | None = None,
 ) -> Column:
     """the first instruction-like phrase in already normalised text, or NULL.
 
     `hints` are words at least one of which stands in every possible match.  Looking for them
     is a plain byte search, so the long alternation only ever runs on the few texts that hold
-    one.  Own patterns come with their own hints, or with none.
+    one.  The built-in patterns have theirs; own patterns come with their own hints, or with none.
     """
     x = normalised
+    if hints is None:
+        hints = L.INJECTION_HINTS if patterns is L.INJECTION_PATTERNS else ()
     match = by_script(x, lambda u: extract(x, rx(any_of(patterns), unicode=u)))
     if not hints:
         return match

@@ -19,6 +19,7 @@ from attestry.plans.assess import SCHEMAS, Evidence, assess
 from attestry.queries.oracle import exact_round, lines
 from attestry.queries.registry import query
 from attestry.sources.repos import read_listing
+from attestry.session import cut_lineage
 
 CONF = replace(DEFAULT, as_of=date(2026, 7, 1))
 
@@ -562,7 +563,8 @@ def judge_metric(t):
         F.concat(F.lit("Cut deploy time by "), F.col("l_quantity").cast("int"), F.lit(" percent")).alias("text"),
         F.concat(F.lit("A tool. Reduced deploy time by "), "p_size", F.lit(" percent. Used by 5 users.")).alias("readme"),
     )
-    rows = rows.repartition(t.spark.sparkContext.defaultParallelism)
+    # claims, repositories and accounts all come from these rows: they are made once
+    rows = cut_lineage(rows)
     claims = rows.select("candidate_id", F.lit(1).alias("claim_no"), "text")
     repos = rows.select(
         "candidate_id", F.lit("r").alias("name"), F.lit(False).alias("fork"), F.lit(True).alias("authored"),
@@ -581,29 +583,29 @@ def judge_metric(t):
 
 
 @query("""
-    SELECT 'github' AS source, count(*) AS n, count(DISTINCT s_nationkey) AS candidates FROM supplier
-    UNION ALL SELECT 'linkedin', count(*), count(DISTINCT c_nationkey) FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)
-    UNION ALL SELECT 'portfolio', count(*), count(*) FROM nation WHERE n_nationkey % 2 = 0""")
+    SELECT CAST(s_nationkey AS VARCHAR) AS candidate_id, 'github.com/u/' || s_name AS citation, 'github' AS source,
+           CAST(s_suppkey % 10 / 10.0 AS DOUBLE) AS authorship, s_name AS artefact FROM supplier
+    UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'linkedin_export:role:' || c_mktsegment, 'linkedin', NULL, min(c_name)
+              FROM customer GROUP BY c_nationkey, c_mktsegment
+    UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, 'portfolio', NULL, 'page' FROM nation WHERE n_nationkey % 2 = 0""")
 def evidence_index(t):
     key = lambda c: F.col(c).cast("string").alias("candidate_id")
     repos = t.supplier.select(
-        key("s_nationkey"), F.col("s_name").alias("name"), F.lit(0.5).alias("authorship")
+        key("s_nationkey"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 10 / 10.0).cast("double").alias("authorship")
     )
     accounts = t.nation.select(
         key("n_nationkey"), F.lit("u").alias("username"), F.lit("ok").alias("account")
     )
     external = t.customer.select(
         key("c_nationkey"), F.lit("ok").alias("status"), F.lit(1).alias("role_no"),
-        F.col("c_mktsegment").alias("title"), F.lit("c").alias("company"),
+        F.col("c_mktsegment").alias("title"), F.col("c_name").alias("company"),
     )
     pages = t.nation.select(
         key("n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, "ok").otherwise("error").alias("status"),
         F.col("n_name").alias("url"),
     )
-    index = J.evidence_index(repos, accounts, external, pages)
-    return index.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("candidate_id").alias("candidates")
-    )
+    # what is collected twice is one artefact
+    return J.evidence_index(repos.union(repos), accounts, external, pages)
 
 
 @query("""

@@ -688,20 +688,27 @@ def analyze_skills(t):
     )
 
 
+_LISTED = ("Python", "Kafka", "Docker", "React", "MongoDB")
+
+
 @query(f"""
-    WITH w AS (SELECT doc_id, unnest({norm_words("text")}) AS token FROM documents),
-    c AS (SELECT DISTINCT doc_id, token FROM w JOIN {ALIASES} ON token = alias)
-    SELECT doc_id, string_agg(token, ',' ORDER BY token) AS skills FROM c GROUP BY doc_id""")
+    WITH p AS (SELECT p_partkey, p_size, unnest(range(0, 5)) AS i FROM part),
+    s AS (SELECT p_partkey, (ARRAY{list(_LISTED)})[i + 1] AS skill FROM p WHERE (p_size >> i) & 1 = 1
+          UNION SELECT p_partkey, 'Java' FROM part
+          UNION SELECT p_partkey, 'MySQL' FROM part WHERE p_partkey % 2 = 0
+          UNION SELECT p_partkey, 'Kafka' FROM part WHERE p_partkey % 3 = 0)
+    SELECT p_partkey, string_agg(skill, ',' ORDER BY skill) AS skills FROM s GROUP BY p_partkey""")
 def skill_union(t):
-    words = t.spread("documents").select(
-        "doc_id", F.array_distinct(extract_all(F.lower("text"), "[a-z0-9+#.]+")).alias("ws")
-    )
-    known = F.array(*[F.lit(a) for a, _, _ in GRAPH.aliases()])
-    return (
-        words.select("doc_id", F.array_sort(F.array_intersect("ws", known)).alias("s"))
-        .where(F.size("s") > 0)
-        .select("doc_id", F.array_join("s", ",").alias("skills"))
-    )
+    bits = [F.when(F.expr(f"shiftright(p_size, {i}) & 1") == 1, F.lit(n)) for i, n in enumerate(_LISTED)]
+    key = F.col("p_partkey")
+    # listed, and in running text; what is named in both is one skill
+    text = F.concat(
+        F.lit("Skills\n"), F.array_join(F.array_compact(F.array(F.lit("Java"), *bits)), ", "),
+        F.lit("\n\nExperience\nClerk at Mill, 2019 - 2021\n- Kept the ledgers"),
+        F.when(key % 2 == 0, " with MySQL").otherwise(""), F.when(key % 3 == 0, " next to Kafka").otherwise(""), F.lit(" every day\n"),
+    )
+    found = t.part.select("p_partkey", resume.profile_skills(resume.resume_sections(text)).alias("s"))
+    return found.select("p_partkey", F.array_join(F.array_sort("s"), ",").alias("skills"))
 
 
 @query("""

@@ -70,21 +70,25 @@ def input_gate(t):
 
 
 @query("""
-    SELECT l_orderkey AS screening_id, l_linenumber AS pos, l_partkey AS part, l_suppkey AS supp,
-           s_name AS username
-    FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0""")
+    WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n
+               FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))
+    SELECT l_orderkey AS screening_id, CAST(pos AS INT) AS pos, CAST(l_partkey AS VARCHAR) AS file,
+           CASE WHEN pos < n - 1 THEN 'u' || l_suppkey END AS username, CASE WHEN pos < 2 THEN 'http://x/' || l_suppkey END AS url,
+           l_returnflag AS export, n > 2 AS github FROM l""")
 def align_inputs(t):
-    left = t.lineitem.select(
-        F.col("l_orderkey").alias("screening_id"),
-        F.col("l_linenumber").alias("pos"),
-        F.col("l_partkey").alias("part"),
-        F.col("l_suppkey").alias("supp"),
-    )
-    names = t.supplier.where("s_acctbal > 0").select(
-        F.col("s_suppkey").alias("supp"), F.col("s_name").alias("username")
-    )
-    return corpus.align_by_position(left, names, ["supp"]).select(
-        "screening_id", "pos", "part", "supp", "username"
+    # a request per order: a file for each line, user names for all but the last, two addresses
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    orders = t.lineitem.groupBy(F.col("l_orderkey").alias("screening_id")).agg(F.sort_array(F.collect_list(line)).alias("ls"))
+    requests = orders.select(
+        "screening_id",
+        F.transform("ls", lambda x: x["l_partkey"].cast("string")).alias("files"),
+        F.transform(F.slice("ls", F.lit(1), F.size("ls") - 1), lambda x: F.concat(F.lit("u"), x["l_suppkey"])).alias("usernames"),
+        F.transform(F.slice("ls", 1, 2), lambda x: F.concat(F.lit("http://x/"), x["l_suppkey"])).alias("urls"),
+        F.transform("ls", lambda x: x["l_returnflag"]).alias("exports"),
+        F.struct((F.size("ls") > 2).alias("github")).alias("consent"),
+    )
+    return corpus.align_inputs(requests).select(
+        "screening_id", "pos", "file", "username", "url", "export", "consent.github"
     )
 
 

@@ -156,8 +156,3 @@ def align_inputs(screenings: DataFrame) -> DataFrame:
         F.col("item.exports").alias("export"),
         "consent",
     ).where(F.col("file").isNotNull())
-
-
-def align_by_position(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """S11 for long inputs: the same pairing as a join on (screening, position)."""
-    return left.join(right, keys, "left")
