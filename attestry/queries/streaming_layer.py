@@ -116,6 +116,20 @@ def stalled_work(t):
     )
 
 
+# the last sessions stay open: a session is told once the watermark, an hour behind, has passed its end
+@query("""
+    WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+    s AS (SELECT user_id, ts, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+    w AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS stalled, count(*) AS n FROM s GROUP BY user_id, sid)
+    SELECT user_id, strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(stalled, '%Y-%m-%d %H:%M:%S.%f') AS stalled, n
+    FROM w WHERE stalled <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def stream_stalled(t):
+    conf = replace(DEFAULT, stall_gap="6 hours", watermark="1 hour")
+    out = _run(t, jobs.stalled(_stream(t, "events"), "user_id", conf))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return out.select("user_id", shown("started").alias("started"), shown("stalled_at").alias("stalled"), "n")
+
+
 @query("""
     SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_audit(t):
