@@ -8,13 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.llm.columns import bounded_batches
+
 UNKNOWN = "und"
 # The model is fitted on at most so many labelled rows of each language, chosen by a hash of
 # the text.  It bounds the model's size; counts are of whole texts.
-ROWS_PER_LANGUAGE = 1000
+ROWS_PER_LANGUAGE = 400
 LONGEST = 5
 LEAST_COUNT = 2
 SMOOTHING = 0.05
@@ -67,25 +70,20 @@ class Model:
         self.langs, self.levels, self.tables = langs, levels, tables
 
     @staticmethod
-    def of(rows: list, least: int = LEAST_COUNT, smoothing: float = SMOOTHING) -> Model:
-        langs = sorted({r["lang"] for r in rows})
-        at = {lang: k for k, lang in enumerate(langs)}
-        levels: dict[int, dict[str, int]] = {}
-        found: dict[int, list] = {}
-        for r in sorted(rows, key=lambda r: (r["n"], r["unit"], r["lang"])):
-            units = levels.setdefault(r["n"], {})
-            found.setdefault(r["n"], []).append((units.setdefault(r["unit"], len(units)), at[r["lang"]], r["count"]))
-        tables = {}
-        for n, cells in found.items():
-            unit, lang, count = map(np.array, zip(*cells, strict=True))
-            table = np.zeros((len(levels[n]), len(langs)))
-            table[unit, lang] = count
-            # what is too rare to say anything counts as unseen
-            keep = table.sum(axis=1) >= least
-            place = np.cumsum(keep) - 1
-            levels[n] = {u: int(place[k]) for u, k in levels[n].items() if keep[k]}
-            table = table[keep]
+    def of(counts: pa.Table, smoothing: float = SMOOTHING) -> Model:
+        """From a table (lang, n, unit, count)."""
+        langs = sorted(set(pc.unique(counts["lang"]).to_pylist()))
+        lang = pc.index_in(counts["lang"], pa.array(langs, pa.string())).to_numpy()
+        level, count = counts["n"].to_numpy(), counts["count"].to_numpy()
+        levels, tables = {}, {}
+        for n in np.unique(level).tolist():
+            chosen = np.flatnonzero(level == n)
+            units = counts["unit"].take(pa.array(chosen)).combine_chunks().dictionary_encode()
+            units = units.combine_chunks() if isinstance(units, pa.ChunkedArray) else units
+            table = np.zeros((len(units.dictionary), len(langs)))
+            table[units.indices.to_numpy(), lang[chosen]] = count[chosen]
             total = table.sum(axis=0) + smoothing * max(1, len(table))
+            levels[n] = {u: k for k, u in enumerate(units.dictionary.to_pylist())}
             tables[n] = np.log((table + smoothing) / total).astype(np.float32)
         return Model(langs, levels, tables)
 
@@ -152,7 +150,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     counts = counts.groupBy("lang", "n", "unit").agg(F.sum("count").alias("count"))
     total = Window.partitionBy("n", "unit")
     counts = counts.withColumn("all", F.sum("count").over(total)).where(F.col("all") >= LEAST_COUNT)
-    return Model.of(counts.select("lang", "n", "unit", "count").collect())
+    # its size is bounded by the rows above
+    return Model.of(counts.select("lang", "n", "unit", "count").toArrow())
 
 
 def language(model: Model, text: Column, docs: DataFrame) -> Column:
@@ -163,6 +162,7 @@ def language(model: Model, text: Column, docs: DataFrame) -> Column:
     likelihood of up to CERTAIN_WORDS words, 0 to 1; ties go to the first language by name.
     `und` with score 0 stands for a null text, one without letters, or a model without rows.
     """
+    bounded_batches(docs.sparkSession)
     # plain values: the class itself travels with the function
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.levels, model.tables))
 
