@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.columns import boxed, unboxed
+from attestry.llm.columns import bounded_batches, boxed, unboxed
 from attestry.llm.graph import link_groups
 from attestry.llm.hashing import long_lists, mix, powers, row_slices, seeded, signed, text_buffer
 from attestry.llm.membership import Membership, may_hold_column, membership
@@ -289,6 +289,7 @@ def repeated_lines(
     are verified with a banded bit-parallel edit distance.  Lines are known by 64-bit hashes
     while they are joined, and by 128 bits where equal ones are counted as one.
     """
+    bounded_batches(docs.sparkSession)
     plain = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")
     )
@@ -331,15 +332,17 @@ def repeated_lines(
     return judged.where(here != F.col("head")).select("doc", "line", (here == F.col("first")).alias("near"))
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, gone = batch.column("text").to_pylist(), batch.column("gone").to_pylist()
+def _without():
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        """The lines of each text whose numbers are not listed."""
         kept = []
         for text, numbers in zip(texts, gone, strict=True):
-            drop = set(numbers)
-            kept.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop))
-        place = batch.schema.get_field_index("text")
-        yield batch.set_column(place, batch.schema.field(place), pa.array(kept, pa.string()))
+            drop = set(numbers.as_py())
+            kept.append("\n".join(x for k, x in enumerate(text.as_py().split("\n")) if k not in drop))
+        return pa.array(kept, pa.string())
+
+    return without
 
 
 def dedup_lines(
@@ -362,21 +365,25 @@ def dedup_lines(
         )
     )
     holds = membership(gone.select(F.xxhash64("id").alias("key")))
-    rows = docs.select(
-        boxed(docs),
-        F.col(id_col).cast("bigint").alias("id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    total = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("bigint").alias("n_lines")
-    rows = rows.withColumn("maybe", may_hold_column(holds, F.xxhash64("id"))).withColumn("n_lines", total)
+    rows = docs.select(boxed(docs), F.col(id_col).cast("bigint").alias("id"))
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     # most texts need no shuffle: the filter says which documents surely lose no line
-    sure = rows.where(~F.col("maybe")).select("row", "text", "n_lines", F.lit(0).alias("n_removed"), F.lit(0).alias("near"))
-    some = rows.where("maybe").join(gone, "id", "left")
-    some = some.select("row", "text", "n_lines", F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"), F.coalesce("near", F.lit(0)).alias("near"))
-    cut = some.mapInArrow(_without, some.schema)
-    cut = cut.select("row", "text", "n_lines", F.size("gone").alias("n_removed"), "near")
-    whole = sure.union(cut)
+    maybe = may_hold_column(holds, F.xxhash64("id"))
+    sure = rows.where(~maybe).select("row", text.alias("text"), F.lit(0).alias("n_removed"), F.lit(0).alias("near"))
+    some = rows.where(maybe).join(gone, "id", "left")
+    some = some.select(
+        "row",
+        F.when(F.col("gone").isNull(), text).otherwise(_without()(text, F.coalesce("gone", F.array().cast("array<bigint>")))).alias("text"),
+        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce("near", F.lit(0)).alias("near"),
+    )
+    whole = sure.union(some)
+    whole_text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    total = F.when(whole_text == "", 0).otherwise(F.regexp_count(whole_text, F.lit("\n")) + 1).cast("bigint")
     info = F.struct(
-        "text", "n_lines", F.col("n_removed").cast("bigint").alias("n_removed"), F.col("near").cast("bigint").alias("n_near")
+        "text",
+        total.alias("n_lines"),
+        F.greatest(F.col("n_removed"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.col("near").cast("bigint").alias("n_near"),
     )
     return unboxed(whole, docs.columns, **{into: info})

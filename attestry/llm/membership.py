@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BITS = 27  # 16 MB
+MAX_BITS = 26  # 8 MB
 
 
 SHIFTS = (34, 40, 46)
