@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.columns import boxed, unboxed
+from attestry.llm.columns import bounded_batches, boxed, unboxed
 from attestry.llm.hashing import byte_table, mix, powers, signed, text_slices
 from attestry.llm.membership import Membership, may_hold_column, membership
 from attestry.session import cut_lineage
@@ -19,8 +19,9 @@ GRAM = 32
 PIECE_BITS = 21
 SHALLOW_WORDS = 3
 CHUNK_BYTES = 2 << 20
-# an anchor with more places than this, and than a ten-thousandth of all, is dealt by window
-HOT_PLACES = 4096
+# an anchor with more places than this, and than a ten-thousandth of all, is dealt by window:
+# so many contexts, of some 150 bytes each, are what one group may hold in memory
+HOT_PLACES = 1 << 15
 HOT_SHARE = 10_000
 LAST = (1 << 63) - 1
 
@@ -290,24 +291,27 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[head], hi[np.concatenate((head[1:], [True]))]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "n_bytes", "spans", "kept"]
-    span = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
-    for batch in batches:
-        texts, gone = batch.column("text").to_pylist(), batch.column("gone").to_pylist()
+CUT = "struct<spans:array<struct<lo:bigint,hi:bigint>>,kept:binary>"
+
+
+def _cut():
+    @F.arrow_udf(CUT)
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
         spans, kept = [], []
         for text, ranges in zip(texts, gone, strict=True):
-            raw = text.encode()
-            if not ranges:
+            raw, found = text.as_py().encode(), ranges.values
+            if found is None or not len(found):
                 spans.append([])
                 kept.append(raw)
                 continue
-            lo, hi = _merged(np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges]))
+            lo, hi = _merged(found.field("lo").to_numpy(), found.field("hi").to_numpy())
             spans.append([{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
             edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-        columns = [batch.column("row"), batch.column("n_bytes"), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        span = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
+        return pa.StructArray.from_arrays([pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())], ["spans", "kept"])
+
+    return cut
 
 
 def remove_repeats(
@@ -331,14 +335,14 @@ def remove_repeats(
     by an anchor gram that their own bytes choose, so equal strings meet in one task, where
     their suffixes are sorted; only anchors that occur again are dealt at all.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(
-        boxed(docs),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"),
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    rows = docs.select(boxed(docs)).select(
+        "row",
+        F.coalesce(F.col("row")[id_col].cast("bigint"), F.lit(LAST)).alias("doc"),
         F.xxhash64(text).alias("tie"),
         F.xxhash64(text, F.lit(1)).alias("tie2"),
         F.octet_length(text).cast("bigint").alias("n_bytes"),
-        text.alias("text"),
     )
     known = rows.where(F.col("n_bytes") >= length).select("doc", "tie", "tie2", "n_bytes")
     known = cut_lineage(known.distinct())
@@ -350,7 +354,7 @@ def remove_repeats(
         return F.xxhash64("doc", "tie")
 
     copied = membership(copies.select(pair().alias("key")))
-    plain = rows.where(F.col("n_bytes") >= length).select("doc", "tie", "text")
+    plain = rows.where(F.col("n_bytes") >= length).select("doc", "tie", text.alias("text"))
     sure = ~may_hold_column(copied, pair())
     # only what may be a copy is shuffled to make certain
     doubtful = plain.where(~sure).join(copies, ["doc", "tie"], "left_anti").select("doc", "tie", "text")
@@ -359,12 +363,10 @@ def remove_repeats(
     whole = known.join(copies, ["doc", "tie"], "left_semi").select("doc", "tie", F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n_bytes").alias("hi"))).alias("gone"))
     gone = cut_lineage(gone.union(whole))
     holds = membership(gone.select(pair().alias("key")))
-    rows = rows.drop("tie2").withColumn("maybe", may_hold_column(holds, pair()))
+    maybe = may_hold_column(holds, pair())
     span = "array<struct<lo:bigint,hi:bigint>>"
-    clean = rows.where(~F.col("maybe")).select("row", "n_bytes", F.array().cast(span).alias("spans"), F.col("text").cast("binary").alias("kept"))
-    some = rows.where("maybe").join(gone, ["doc", "tie"], "left")
-    some = some.select("row", "n_bytes", "text", F.coalesce("gone", F.array().cast(span)).alias("gone"))
-    row_type = some.schema["row"].dataType.simpleString()
-    cut = some.mapInArrow(_cut, f"row {row_type}, n_bytes bigint, spans {span}, kept binary")
-    done = clean.union(cut)
+    clean = rows.where(~maybe).select("row", "n_bytes", F.array().cast(span).alias("spans"), text.cast("binary").alias("kept"))
+    some = rows.where(maybe).drop("tie2").join(gone, ["doc", "tie"], "left")
+    some = some.select("row", "n_bytes", _cut()(text, F.coalesce("gone", F.array().cast(span))).alias("c"))
+    done = clean.union(some.select("row", "n_bytes", "c.spans", "c.kept"))
     return unboxed(done, docs.columns, **{into: F.struct("n_bytes", "spans", "kept")})
