@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,18 @@ def free_name(table: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+BATCH_ROWS = 500
+
+
+def bounded_batches(spark: SparkSession | None = None, rows: int = BATCH_ROWS) -> None:
+    """Let Python workers get at most so many rows at once, in this session from now on.
+
+    Rows are whole texts here; the default of 10,000 would hold tens of megabytes several times
+    over in every worker and in the JVM's buffers.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

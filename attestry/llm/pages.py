@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.llm.columns import boxed, unboxed
+from attestry.llm.columns import bounded_batches, boxed, unboxed
 from attestry.llm.hashing import mix, seeded, signed
 from attestry.session import cut_lineage
 
@@ -223,12 +223,10 @@ def main_text(
     evidence against itself.  Null html is empty; a null url is the host "".  Blocks are
     joined by two line ends, in page order.
     """
-    rows = pages.select(
-        boxed(pages),
-        F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"),
-        F.xxhash64(host_of(F.col(url_col))).alias("host"),
-    )
-
+    bounded_batches(pages.sparkSession)
+    html_ = F.coalesce(F.col("row")[html_col].cast("string"), F.lit(""))
+    host = F.xxhash64(host_of(F.col("row")[url_col]))
+    rows = pages.select(boxed(pages)).select("row", html_.alias("html"), host.alias("host"))
     # a page is known by its html and host: equal ones share their result
     page = F.xxhash64("html", "host").alias("page")
 
@@ -253,8 +251,8 @@ def main_text(
     asked = streams.where("page IS NOT NULL").select("page", "key").distinct()
     found = asked.join(repeated, "key").groupBy("page").agg(F.collect_list("key").alias("keys"))
     found = cut_lineage(found)
-    whole = rows.withColumn("page", page).join(found, "page", "left")
-    return unboxed(whole, pages.columns, **{into: _assembled(run)(F.col("html"), F.col("host"), F.col("keys"))})
+    whole = rows.select("row", page).join(found, "page", "left")
+    return unboxed(whole, pages.columns, **{into: _assembled(run)(html_, host, F.col("keys"))})
 
 
 def _assembled(run: int):

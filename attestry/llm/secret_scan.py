@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attestry.llm.columns import bounded_batches
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
@@ -242,6 +244,8 @@ def secrets_in(text: Column, most: int = MOST_LAYER) -> Column:
     A layer that would unpack to more than `most` bytes is counted in n_refused.
     """
 
+    bounded_batches()
+
     @F.arrow_udf(FOUND)
     def scan(texts: pa.Array) -> pa.Array:
         out = []

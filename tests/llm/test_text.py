@@ -81,7 +81,7 @@ def test_layers_end_and_bombs_are_counted():
 
 
 def test_secret_column(spark):
-    rows = [(1, None), (2, ""), (3, f"{SECRET} {SECRET}"), (4, "a" * 300_000 + SECRET)]
+    rows = [(1, None), (2, ""), (3, f"{SECRET} {SECRET}"), (4, "x" * 300_000 + " " + SECRET)]
     df = spark.createDataFrame(rows, "doc_id int, text string")
     got = {r.doc_id: r.f.spans for r in df.select("doc_id", secrets_in(F.col("text")).alias("f")).collect()}
     assert [len(got[k]) for k in (1, 2, 3, 4)] == [0, 0, 2, 1]
@@ -145,17 +145,16 @@ def leaks_by_hand(docs, items, overlap=0.75):
         parts.setdefault(i, []).append([(w, min(5, len(w))) for w in (word.findall(x.lower()) for x in (q, a)) if w])
     longest = max(sum(len(w) for w, _ in p) for ps in parts.values() for p in ps)
     size = max(128, 2 * longest)
+    wanted = [(i, [(grams(w, n), n) for w, n in p]) for i, ps in parts.items() for p in ps]
     out = set()
     for d, text in docs:
         words = word.findall((text or "").lower())
         for lo in range(0, max(1, len(words) - size + size // 2), size // 2):
-            window = words[lo : lo + size]
-            for i, ps in parts.items():
-                for p in ps:
-                    want = [(g, n) for w, n in p for g in [grams(w, n)]]
-                    total = sum(len(g) for g, _ in want)
-                    if total and sum(len(g & grams(window, n)) for g, n in want) >= overlap * total:
-                        out.add((d, i))
+            window = {n: grams(words[lo : lo + size], n) for n in range(1, 6)}
+            for i, want in wanted:
+                total = sum(len(g) for g, _ in want)
+                if total and sum(len(g & window[n]) for g, n in want) >= overlap * total:
+                    out.add((d, i))
     return out
 
 
