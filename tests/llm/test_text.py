@@ -313,4 +313,3 @@ def test_pipeline_stages(spark):
             assert new.columns == columns
         docs = new
     assert 0 < docs.count()
-    assert corpus_pipeline.run(spark, ROOT).count() > 0
