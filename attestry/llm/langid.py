@@ -28,9 +28,13 @@ CACHE = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+def words_of(text: str) -> Counter:
+    """How often each run of letters occurs, lower-cased."""
+    words = Counter(LETTERS.findall(text.lower()))
+    # numbers that are no digits, such as superscripts, look like letters to the pattern
+    for word in [w for w in words if not w.isalpha() and not any(map(str.isalpha, w))]:
+        del words[word]
+    return words
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -46,7 +50,7 @@ def _counts(longest: int):
         for batch in batches:
             total: dict[tuple[str, int], Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = Counter(words_of(text))
+                words = words_of(text)
                 total.setdefault((lang, 0), Counter()).update(words)
                 for n in range(1, longest + 1):
                     grams = total.setdefault((lang, n), Counter())
@@ -97,13 +101,13 @@ class Model:
         return None
 
 
-def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _judge(model: Model, texts: list[str | None], cache: dict) -> tuple[list[str], list[float]]:
+    """`cache` keeps unseen words' figures from one batch to the next."""
     words0 = model.levels.get(0, {})
     table = model.tables.get(0)
-    cache: dict[str, np.ndarray | None] = {}
     labels, scores = [], []
     for text in texts:
-        words = Counter(words_of(text)) if text else {}
+        words = words_of(text) if text else {}
         if not words or not model.langs:
             labels.append(UNKNOWN)
             scores.append(0.0)
@@ -166,9 +170,11 @@ def language(model: Model, text: Column, docs: DataFrame) -> Column:
     # plain values: the class itself travels with the function
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.levels, model.tables))
 
+    cache: dict[str, np.ndarray | None] = {}
+
     @F.arrow_udf("struct<lang:string,score:double>")
     def judge(texts: pa.Array) -> pa.Array:
-        labels, scores = _judge(Model(*shared.value), texts.to_pylist())
+        labels, scores = _judge(Model(*shared.value), texts.to_pylist(), cache)
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return judge(text.cast("string"))
