@@ -17,6 +17,7 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 RATE = 0.5
 SWEEPS = 200
 TOLERANCE = 1e-13
+CELLS_PER_TASK = 100_000
 WORD = r"[^ \t\n\r\f\x0B]+"
 NONE = "(none)"
 
@@ -54,7 +55,10 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEE
         # one row: the sum of all
         goals[margin] = cut_lineage(sums.join(F.broadcast(whole)).select(margin, (goal / F.col("whole")).alias("goal")))
     now = cut_lineage(now.where("tokens > 0"))
+    # few cells in one partition need no shuffle at all, many keep their share of tasks
+    parts = 1 + now.count() // CELLS_PER_TASK
     for _ in range(sweeps):
+        now = now.coalesce(parts)
         gaps = []
         for margin in powers:
             sums = now.groupBy(margin).agg(F.sum("weight").alias("held")).join(goals[margin], margin)
