@@ -80,10 +80,11 @@ class Index:
             terms, tf = np.unique(np.array(r["words"], np.int64), return_counts=True)
             norm = K1 * (1 - B + B * len(r["words"]) / mean)
             w = np.array([idf[t] for t in terms.tolist()]) * tf * (K1 + 1) / (tf + norm)
-            # of an item that overlaps enough, at most so many words are missing
+            # of an item that overlaps enough, at most so many words are missing: one for each
+            # missing shingle, and n - 1 more for a part whose shingles of n words may all miss
             total = len(r["question"]) + len(r["answer"])
-            short = sum(3 for n in (r["question_n"], r["answer_n"]) if 0 < n < WIDTH)
-            missing = math.floor((1 - overlap) * total + 1e-9) + short
+            missing = math.floor((1 - overlap) * total + 1e-9)
+            missing += sum(r[f"{c}_n"] - 1 for c in ("question", "answer") if 0 < len(r[c]) <= missing)
             least = w.sum() - np.sort(w)[::-1][:missing].sum()
             weights.append((least, r, terms, w))
         weights.sort(key=lambda x: (x[0], x[1]["item"]))

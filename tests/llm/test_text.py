@@ -185,6 +185,24 @@ def test_leaks(spark, most):
     assert df.where(F.size(none) > 0).count() == 0
 
 
+def test_leaks_of_one_part_only(spark):
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    sizes = [(13, 5), (30, 9), (30, 3), (5, 13), (3, 30), (8, 8)]
+    items = [(i, f"{words(f'q{i}x', q)}. {words(f'a{i}x', a)}.") for i, (q, a) in enumerate(sizes)]
+    docs = []
+    for i, (q, a) in enumerate(sizes):
+        question = words(f"q{i}x", q).split()
+        held = [question, question[1:-1], question[1:], words(f"a{i}x", a).split()]
+        docs += [(10 * i + k, f"before it {' '.join(w)} after it") for k, w in enumerate(held)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    question, answer = item_parts(F.col("text"))
+    column = leaked_items(df, spark.createDataFrame(items, "item_id int, text string"), question=question, answer=answer)
+    got = {(r.doc_id, h.item) for r in df.select("doc_id", column.alias("h")).collect() for h in r.h}
+    assert got == leaks_by_hand(docs, items) and {(0, 0), (10, 1), (11, 1), (33, 3), (43, 4)} <= got
+
+
 # --- pages --------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="home">
