@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm.covertree import near_vectors
@@ -36,9 +36,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", secrets_in(F.col("text")).alias("found"))
     spans = F.col("found.spans")
     base = F.filter(spans, lambda s: s["depth"] == 0)
-    counts = [
-        F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in KINDS
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
     return found.select(
         "doc_id",
         *counts,

@@ -62,12 +62,14 @@ class Layer:
     """A decoded text and where each of its characters came from, down to the original.
 
     `steps` are (start, end, source start, source end) of the pieces of the text that were
-    decoded as one; between them characters moved without change.
+    decoded as one; between them characters moved without change.  `run` is the original range
+    of the innermost base64 run the layer descends from, None if there is none.
     """
 
     def __init__(self, text: str, parent: Layer | None, steps: list[tuple[int, int, int, int]], depth: int):
         self.text, self.parent, self.steps, self.depth = text, parent, steps, depth
         self.starts = [s[0] for s in steps]
+        self.run: tuple[int, int] | None = parent.run if parent else None
 
     def _edge(self, at: int, right: bool) -> int:
         """Where in the parent the character at `at` begins, or ends."""
@@ -198,11 +200,12 @@ def find_secrets(text: str, most: int = MOST_LAYER) -> tuple[list[tuple[str, int
 
     A worklist holds the layers still to scan.  Each is scanned as a text, then decoded: the
     URL escapes of the whole layer, its Unicode escapes, and each base64 run by itself, which
-    may be compressed.  A layer whose text was seen before is not taken again, so the list
-    ends even where layers decode into each other.  Spans are mapped back to the original.
+    may be compressed.  A layer whose text was seen before in the same run of the original is
+    not taken again, so the list ends even where layers decode into each other.  Spans are
+    mapped back to the original.
     """
     spans: dict[tuple[str, int, int], int] = {}
-    work, seen, refused = [Layer(text, None, [], 0)], {hash(text): [text]}, 0
+    work, seen, refused = [Layer(text, None, [], 0)], {(None, text)}, 0
     layers = -1
     while work:
         layer = work.pop()
@@ -222,15 +225,13 @@ def find_secrets(text: str, most: int = MOST_LAYER) -> tuple[list[tuple[str, int
                 refused += 1
                 continue
             if inner is not None:
-                made.append(Layer(inner, layer, [(0, len(inner), start, start + len(run))], layer.depth + 1))
+                new = Layer(inner, layer, [(0, len(inner), start, start + len(run))], layer.depth + 1)
+                new.run = new.original(0, len(inner))
+                made.append(new)
         for new in made:
-            # a layer is its text and its place: equal runs elsewhere are layers of their own
-            if new is None:
-                continue
-            name = new.text if len(new.steps) != 1 else f"{new.original(0, len(new.text))}:{new.text}"
-            known = seen.setdefault(hash(name), [])
-            if name not in known:
-                known.append(name)
+            # a layer is its text and its run: equal runs elsewhere are layers of their own
+            if new is not None and (new.run, new.text) not in seen:
+                seen.add((new.run, new.text))
                 work.append(new)
     order = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return [(*s, spans[s]) for s in order], layers, refused

@@ -73,6 +73,29 @@ def test_layers(wrap):
         assert layers > 0 and refused == 0
 
 
+@pytest.mark.parametrize("inner", [urllib.parse.quote, lambda s: "".join(f"\\u{ord(c):04x}" for c in s)])
+def test_equal_runs_are_layers_of_their_own(inner):
+    one = base64.b64encode(inner("password = hunter22").encode()).decode()
+    two = base64.b64encode(one.encode()).decode()
+    for code in (one, two):
+        text = f"first {code} then {code} and {urllib.parse.quote(code + '==')} end"
+        spans = {(k, a, b) for k, a, b, _ in find_secrets(text)[0]}
+        places = [m.start() for m in re.finditer(code.rstrip("="), text)]
+        assert len(places) == 3
+        for at in places:
+            assert any(k == "assign" and at <= a < at + len(code) for k, a, b in spans)
+
+
+def test_secret_query_counts_its_kinds(spark, tmp_path):
+    code = base64.b64encode(urllib.parse.quote("password = hunter22").encode()).decode()
+    text = f"{SECRET} {KEY} {KEY} {'0af9' * 6} {code} and {code}"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    one, two = LLM_QUERIES["op1_secret_scan"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert (one.n_assign, one.n_access, one.n_hex) == (1, 2, 1) and (two.n_assign, two.spans) == (0, "")
+    for m in re.finditer(code.rstrip("="), text):
+        assert f"assign:{m.start()}:{m.start() + len(code)}" in one.spans.split(",")
+
+
 def test_layers_end_and_bombs_are_counted():
     bomb = base64.b64encode(zlib.compress(b"a" * 200_000)).decode()
     assert find_secrets(f"{bomb} {SECRET}", most=1000)[2] == 1
