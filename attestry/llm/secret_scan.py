@@ -35,6 +35,9 @@ ESCAPE = re.compile(
 )
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 STANDARD = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
+# a run goes on in the next line; a run too short for BASE64 ends the line before
+NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+LINE_BEFORE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{1,15})[ \t]*\r?\n[ \t]*\Z")
 DIGITS = re.compile(r"[0-9A-Fa-f]+")
 
 SPAN = "struct<kind:string,start:bigint,end:bigint,depth:int>"
@@ -139,36 +142,49 @@ class TooLarge(Exception):
     pass
 
 
-def _unpacked(raw: bytes, most: int) -> bytes | None:
-    """What a compressed stream holds, or None; never more than `most` bytes at once."""
+def _stream(raw: bytes):
+    """A decompressor for the stream that `raw` begins with, or None."""
     if raw[:2] == b"\x1f\x8b":
-        stream = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        stream = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        stream = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        stream = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = stream.decompress(raw, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(out) > most:
-        raise TooLarge
-    return out
+        return zlib.decompressobj(31)
+    if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
 
+def _unpacked(raw: bytes, most: int) -> bytes | None:
+    """What the streams that follow each other in `raw` hold, or None; never more than `most` bytes.
 
-def _readable(raw: bytes) -> str | None:
-    for coding in ("utf-8", "utf-16") if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf-8",):
+    Streams before a faulty one stay.
+    """
+    out, size = [], 0
+    while (stream := _stream(raw)) is not None:
         try:
-            text = raw.decode(coding)
-        except UnicodeDecodeError:
-            continue
-        if text and sum(c.isprintable() or c in "\t\r\n" for c in text) == len(text):
-            return text
-    return None
+            got = stream.decompress(raw, most + 1 - size)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        out.append(got)
+        size += len(got)
+        if size > most:
+            raise TooLarge
+        if not stream.eof:
+            break
+        # streams may be padded with zeros
+        raw = stream.unused_data.lstrip(b"\0")
+    return b"".join(out) if out else None
+
+
+def _readable(raw: bytes) -> str:
+    """Bytes as text: UTF-16 by its mark, UTF-8, or else a character for each byte."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return raw.decode("utf-16", "replace")
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
 
 
 def _opened(run: str, most: int) -> str | None:
@@ -182,17 +198,56 @@ def _opened(run: str, most: int) -> str | None:
         return None
     while (inner := _unpacked(raw, most)) is not None:
         raw = inner
-    return _readable(raw)
+    return _readable(raw) or None
+
+
+def _wrapped(text: str, m: re.Match) -> tuple[list[tuple[int, str]], int]:
+    """The runs that go on from a match over line ends, as (start, run), and where the last ends.
+
+    Lines after the first have one width; a shorter one, padding or other text ends the run.
+    The first may follow other text in its line, and a shorter run that ends the line before
+    may belong to it.
+    """
+    parts = [(m.start(), m.group())]
+    at, width = m.end(), 0
+    while not parts[-1][1].endswith("=") and (n := NEXT_LINE.match(text, at)):
+        size = len(n[1].rstrip("="))
+        if width and size > width:
+            break
+        parts.append((n.start(1), n[1]))
+        at, more, width = n.end(), size == (width or size), width or size
+        if not more:
+            break
+    if (n := LINE_BEFORE.search(text, max(0, m.start() - 64), m.start())) and len(parts) + len(n[1]) > 1:
+        parts.insert(0, (n.start(1), n[1]))
+    return parts, at
 
 
 def _runs(text: str):
-    """(start, run) of what may be base64: whole runs of both alphabets, and parts between - and _."""
+    """(start, end, run) of what may be base64.
+
+    Whole runs of both alphabets, the parts between - and _, and runs that are wrapped over
+    lines: with and without a first and a last piece of another width, as these may be other
+    words.  The lines of a wrapped run are runs of their own, too.
+    """
+    upto = 0
     for m in BASE64.finditer(text):
         run = m.group()
-        yield m.start(), run
+        yield m.start(), m.end(), run
         if "-" in run or "_" in run:
             for part in STANDARD.finditer(run):
-                yield m.start() + part.start(), part.group()
+                yield m.start() + part.start(), m.start() + part.end(), part.group()
+        if m.start() < upto:
+            continue
+        parts, upto = _wrapped(text, m)
+        count, padded = len(parts), parts[-1][1].endswith("=")
+        firsts = (0, 1) if count > 2 and len(parts[0][1]) != len(parts[1][1]) else (0,)
+        lasts = (count, count - 1) if not padded and len(parts[-1][1]) != len(parts[-2:][0][1]) else (count,)
+        for first in firsts:
+            for last in lasts:
+                if last - first > 1:
+                    end = parts[last - 1][0] + len(parts[last - 1][1])
+                    yield parts[first][0], end, "".join(p[1] for p in parts[first:last])
 
 
 def find_secrets(text: str, most: int = MOST_LAYER) -> tuple[list[tuple[str, int, int, int]], int, int]:
@@ -218,14 +273,14 @@ def find_secrets(text: str, most: int = MOST_LAYER) -> tuple[list[tuple[str, int
             made.append(_replaced(layer, PERCENT, _percent))
         if "\\" in layer.text or "&#" in layer.text or "U+" in layer.text or "%u" in layer.text:
             made.append(_replaced(layer, ESCAPE, _escape))
-        for start, run in _runs(layer.text):
+        for start, end, run in _runs(layer.text):
             try:
                 inner = _opened(run, most)
             except TooLarge:
                 refused += 1
                 continue
             if inner is not None:
-                new = Layer(inner, layer, [(0, len(inner), start, start + len(run))], layer.depth + 1)
+                new = Layer(inner, layer, [(0, len(inner), start, end)], layer.depth + 1)
                 new.run = new.original(0, len(inner))
                 made.append(new)
         for new in made:

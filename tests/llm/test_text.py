@@ -1,8 +1,10 @@
 """Secrets, languages, leaks, pages, preferences, mixing and the pipeline on small inputs."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -86,6 +88,40 @@ def test_equal_runs_are_layers_of_their_own(inner):
             assert any(k == "assign" and at <= a < at + len(code) for k, a, b in spans)
 
 
+@pytest.mark.parametrize("odd", ["\u00a0", "\u3000", "\u200b", "\ufeff", "\f", "\0", "\x1b"])
+def test_layers_with_odd_characters(odd):
+    for raw in (f"{odd}{SECRET}{odd}".encode(), f"caf\xe9 {SECRET}".encode("latin-1") + b"\xff", f"{odd}{SECRET}".encode("utf-16")):
+        for packed in (raw, gzip.compress(raw), bz2.compress(raw)):
+            code = base64.b64encode(packed).decode()
+            spans = find_secrets(f"before {code} after")[0]
+            assert [s for s in spans if s[0] == "assign"] == [("assign", 7, 7 + len(code), 1)]
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+def test_wrapped_base64(width, end):
+    rnd = random.Random(3)
+    noise = " ".join(f"{rnd.random()}" for _ in range(30))
+    # the text's secret stands across a line end; a stream only opens as a whole
+    text = noise[: width * 3 // 4 - 5] + SECRET + noise
+    for raw in (text.encode(), *(pack(f"{noise}{SECRET}".encode()) for pack in (gzip.compress, bz2.compress, lzma.compress))):
+        code = base64.b64encode(raw).decode()
+        lines = [code[k : k + width] for k in range(0, len(code), width)]
+        for before, after in (("see:\n", "\nthe end"), ("key: ", ""), ("word\n", "\nword")):
+            whole = f"{before}{end.join(lines)}{after}"
+            lo, hi = len(before), len(whole) - len(after)
+            spans = [s for s in find_secrets(whole)[0] if s[0] == "assign"]
+            assert any(lo <= a + 1 and b <= hi + 5 and a < lo + width and b > hi - width for _, a, b, _ in spans), (before, spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_every_member_of_a_stream(pack):
+    code = base64.b64encode(pack(b"first") + pack(b"second") + pack(SECRET.encode())).decode()
+    assert ("assign", 0, len(code), 1) in find_secrets(code)[0]
+    broken = base64.b64encode(pack(SECRET.encode()) + pack(b"second" * 9)[:8]).decode()
+    assert ("assign", 0, len(broken), 1) in find_secrets(broken)[0]
+
+
 def test_secret_query_counts_its_kinds(spark, tmp_path):
     code = base64.b64encode(urllib.parse.quote("password = hunter22").encode()).decode()
     text = f"{SECRET} {KEY} {KEY} {'0af9' * 6} {code} and {code}"
