@@ -325,6 +325,18 @@ def test_preferences(spark):
     assert preference_examples(turns.where("false"), pair_by_opening(turns.where("false"))).count() == 0
 
 
+def test_pairs_of_the_whole_table(spark):
+    # one common opening, and rare ones whose ids lie far apart
+    ids = [(k, "common") for k in range(0, 90_001, 30)] + [(5, "rare"), (5000, "rare"), (7, "three"), (2_000, "three"), (70_001, "three"), (8, "one")]
+    turns = turns_of(spark.createDataFrame([(c, 0, "user", t) for c, t in ids], "conv_id int, turn int, role string, text string"))
+    got = {(r.chosen, r.rejected) for r in pair_by_opening(turns, None).collect()}
+    want = set()
+    for name in {t for _, t in ids}:
+        own = sorted(c for c, t in ids if t == name)
+        want |= set(zip(own[::2], [*own[1::2], None][: len(own[::2])], strict=True))
+    assert got == want and {(5, 5000), (7, 2_000), (70_001, None), (8, None)} <= got
+
+
 def test_long_conversation(spark):
     turns = spark.range(2000).selectExpr("id % 2 AS conv_id", "id div 2 AS turn", "'assistant' AS role", "IF(id = 1501, 'x', 'text') AS text")
     out = preference_examples(turns, spark.createDataFrame([(0, 1)], "chosen bigint, rejected bigint"))
