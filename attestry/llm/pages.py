@@ -32,6 +32,7 @@ BLOCKS = frozenset(
     "hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 MAIN = frozenset(("article", "main"))
+HOLDERS = frozenset(("html", "body", "main"))
 # an open <p> ends where a block starts; these end their own kind
 ENDS_P = BLOCKS - frozenset(("body", "html"))
 SIBLINGS = {
@@ -58,8 +59,12 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(source)}
 
 
-def _named(source: str) -> bool:
-    """Whether a tag's attributes say that it holds no main text."""
+def _named(source: str, holder: str = "") -> bool:
+    """Whether a tag's attributes say that it holds no main text.
+
+    Classes and ids of what holds a whole page or article (its tag is `holder`) tell of its
+    layout: those of an article count where they are such a name, the others' never do.
+    """
     if "=" not in source and "hidden" not in source.lower():
         return False
     found = _attributes(source)
@@ -68,6 +73,8 @@ def _named(source: str) -> bool:
     if found.get("role", "").lower() in ROLES or HIDDEN.search(found.get("style", "")):
         return True
     names = f"{found.get('class', '')} {found.get('id', '')}"
+    if holder:
+        return holder not in HOLDERS and any(name in NAMED for name in names.lower().split())
     return any(part.lower() in NAMED for part in NAME_PARTS.findall(names))
 
 
@@ -122,7 +129,8 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        bad = name in SKIPPED or _named(m[3])
+        holds = name in HOLDERS or name in MAIN and not main
+        bad = name in SKIPPED or _named(m[3], name if holds else "")
         if name in BLOCKS or bad:
             flush()
         if name in ENDS_P:

@@ -280,6 +280,20 @@ def test_blocks():
     assert blocks_of("a < b <p x='>'>c</p") == [("a < b", "open"), ("c", "open")]
 
 
+def test_layout_names_of_a_page_hide_nothing():
+    def place(page):
+        return dict(blocks_of(page))
+
+    for name in ("no-sidebar", "hasCookies", "post has-comments", "page-with-ads"):
+        for tag in ("html", "body", "main", "article"):
+            found = place(f"<{tag} class='{name}' id='nav-1'><p>text</p><div class='ad'>buy</div></{tag}>")
+            assert found == {"text": "main" if tag in ("main", "article") else "open", "buy": "out"}
+    # an article that is named as something else is none, nor is a part of one
+    assert place("<p>text</p><article class='comment'>nice</article>") == {"text": "open", "nice": "out"}
+    assert place("<main>text<article class='user-comment'>nice</article></main>") == {"text": "main", "nice": "out"}
+    assert place("<body hidden>text</body>") == {"text": "out"}
+
+
 def test_main_text(spark):
     def plain(host, k):
         menu = "Home News About us Contact and more of the same on every page"
