@@ -14,8 +14,10 @@ from attestry.llm.lines import dedup_lines
 from attestry.llm.mixing import mix_to_targets
 from attestry.llm.near_dedup import near_duplicates
 from attestry.llm.pages import main_text
+from attestry.llm.phrases import collocations, frequent_phrases
 from attestry.llm.preferences import pair_by_opening, preference_examples, turns_of
 from attestry.llm.secret_scan import KINDS, joined, secrets_in
+from attestry.llm.sharding import interleave, measured
 from attestry.llm.suffixes import remove_repeats
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +256,76 @@ LLM_ORACLES["op6_source_mixing"] = (
     + """SELECT doc_id, m_source AS source, m_lang AS lang, m_topic AS topic, n_tokens, round(weight, 8) AS weight,
        round(prob, 8) AS prob, draw < prob AS sampled FROM mixed"""
 )
+
+
+@register
+def op13_interleaved_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = interleave(measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return placed.select(
+        "doc_id",
+        "content.size",
+        "content.text_crc32",
+        F.lit("rows").alias("law"),
+        "place.shard",
+        "place.slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# The checksum byte by byte from its table; DuckDB has no function for it.
+LLM_ORACLES["op13_interleaved_sharding"] = """
+WITH RECURSIVE crc_steps AS (
+  SELECT i::UBIGINT AS i, i::UBIGINT AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8),
+keyed AS (
+  SELECT doc_id, source, strlen(coalesce(text, ''))::BIGINT + 8 AS size,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT,
+               list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32,
+         ('0x' || substr(md5('shard' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS draw
+  FROM documents, crc_table),
+ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, text_crc32, size) - 1)
+            / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS fraction FROM keyed),
+merged AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 24 // n)::INT AS shard,
+       (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM merged
+"""
+
+
+@register
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(frequent_phrases(table(spark, sf_dir, "documents")))
+
+
+LLM_ORACLES["op12_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM words, range(1, 4) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i)),
+counts AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+parts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS first,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM counts, range(1, 3) AS s(k) WHERE size > k),
+cuts AS (
+  SELECT p.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = p.first JOIN counts y ON y.lang = p.lang AND y.phrase = p.rest),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+cover AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(string_split(phrase, ' ')[:2], ' ') AS phrase, f FROM counts WHERE size = 3 UNION ALL
+    SELECT lang, array_to_string(string_split(phrase, ' ')[2:], ' ') AS phrase, f FROM counts WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN cover c USING (lang, phrase) WHERE c.f IS NULL OR 100 * c.f < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
