@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.llm.alignment import align_tokens
 from attestry.llm.covertree import near_vectors
 from attestry.llm.langid import identify
 from attestry.llm.leaks import PARTS, item_parts, leaked_items
@@ -329,3 +330,8 @@ kept AS (SELECT b.* FROM best b LEFT JOIN cover c USING (lang, phrase) WHERE c.f
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@register
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
