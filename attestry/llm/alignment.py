@@ -1,7 +1,8 @@
 """Which tokens of one tokenizer stand where another's do, and how usual that is.
 
-Both tokenizers cut a text at every space that follows a letter, digit or mark (`WALL`), so a
-text's tokens are those of its segments, and a segment is encoded once for all its places.
+Both tokenizers cut a text at every space that follows a visible character (`_walls`), so a text's
+tokens are those of its segments, and a segment is encoded once for all its places in a block.
+Equal segments of a block are known by a 64-bit hash.
 
 Scores go through an inverted index.  Documents are dealt into blocks of about BLOCK_BYTES; for
 every pair of an A and a B id a block has one posting: a compressed bitmap of the documents that
@@ -24,6 +25,8 @@ count are all best; an empty table gives no rows.  A very long text is a block o
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +44,7 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 PIECE_BPE = f"{TOKENIZERS}/piece_bpe_32k.model"
 BLOCK_BYTES = 1 << 21
-KEPT_SEGMENTS = 100_000  # encoded segments that a worker remembers
+CHUNK = 1 << 12  # bytes of segments that are encoded in one go
 MARK = "▁"  # the piece model's space
 PAIR = 32  # bits of an id in a pair
 
@@ -54,74 +57,139 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Segment:
-    """A stretch of text that both tokenizers know as a whole."""
-
-    __slots__ = ("good", "groups", "n_a", "n_b", "n_groups", "n_links", "pairs", "times")
-
-    def __init__(self, good: bool, a: list[int], a_ends: np.ndarray, b: list[int], b_ends: np.ndarray):
-        self.good = good
-        if not good:
-            return
-        self.n_a, self.n_b = len(a), len(b)
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        ends = np.intersect1d(a_ends, b_ends)
-        self.n_groups = len(ends)
-        cut_a, cut_b = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
-        parts, i, j = [], 0, 0
-        for p, q in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-            parts.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-            i, j = p, q
-        self.groups = ";".join(parts).encode()
-        # token i of A meets those of B that end after its start and start before its end
-        first = np.searchsorted(b_ends, np.concatenate(([0], a_ends[:-1])), "right")
-        last = np.searchsorted(b_ends, a_ends, "left") + 1
-        sizes = last - first
-        self.n_links = int(sizes.sum())
-        at = np.arange(self.n_links) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
-        self.pairs, self.times = np.unique((np.repeat(ids_a, sizes) << PAIR) | ids_b[at], return_counts=True)
+class Side:
+    """One tokenizer: ids of texts, and the bytes and digits of every id."""
+
+    def __init__(self, encode, spelled: list[bytes]):
+        self.encode = encode
+        self.sizes = np.array([len(t) for t in spelled], np.int64)
+        self._places = np.concatenate(([0], np.cumsum(self.sizes)))
+        self._bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        digits = [str(i).encode() for i in range(len(spelled))]
+        self.n_digits = np.array([len(d) for d in digits], np.int64)
+        self.digits_at = np.concatenate(([0], np.cumsum(self.n_digits)))[:-1]
+        self.digits = np.frombuffer(b"".join(digits), np.uint8)
+
+    def spells(self, ids: np.ndarray, raw: np.ndarray) -> bool:
+        sizes = self.sizes[ids]
+        return int(sizes.sum()) == len(raw) and bool(np.array_equal(_gather(self._bytes, self._places[ids], sizes), raw))
+
+    def tokens(self, chunks: list[tuple[int, int]], raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all segments, how many each has, and which segments their tokens give back.
+
+        `chunks` are ranges of segments that are encoded together.
+        """
+        whole = raw.tobytes()
+        found = self.encode([whole[bounds[i] : bounds[j]] for i, j in chunks])
+        ids, counts = [], np.zeros(len(bounds) - 1, np.int64)
+        good = np.ones(len(counts), bool)
+        for (i, j), own in zip(chunks, found, strict=True):
+            ends = np.cumsum(self.sizes[own])
+            inner = bounds[i + 1 : j + 1] - bounds[i]
+            at = np.searchsorted(ends, inner)
+            if self.spells(own, raw[bounds[i] : bounds[j]]) and np.array_equal(ends[at], inner):
+                ids.append(own)
+                counts[i:j] = np.diff(at, prepend=-1)
+                continue
+            # some segment here isn't given back: one by one
+            for k in range(i, j):
+                own = self.encode([whole[bounds[k] : bounds[k + 1]]])[0]
+                good[k] = self.spells(own, raw[bounds[k] : bounds[k + 1]])
+                if good[k]:
+                    ids.append(own)
+                    counts[k] = len(own)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int64), counts, good
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[starts[i]:starts[i] + sizes[i]], one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
 class Aligner:
-    """Encodes segments with both tokenizers and remembers the last ones."""
+    """Both tokenizers."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str):
+        # a task has one core; the library would start a thread for each
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self._a = Tokenizer.from_file(byte_bpe)
-        self._a.encode_special_tokens = True
-        self._b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
+        a = Tokenizer.from_file(byte_bpe)
+        a.encode_special_tokens = True
         letters = _byte_letters()
-        self._a_bytes = [b""] * self._a.get_vocab_size()
-        for token, i in self._a.get_vocab().items():
+        spelled_a = [b""] * a.get_vocab_size()
+        for token, i in a.get_vocab().items():
             # a special token's own letters; it never occurs
-            self._a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self._b_bytes = [
-            bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace(MARK, " ").encode()
-            for i, piece in ((i, self._b.id_to_piece(i)) for i in range(self._b.get_piece_size()))
+            spelled_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+
+        b = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        spelled_b = [
+            bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace(MARK, " ").encode() for i, piece in enumerate(pieces)
         ]
-        self._space = self._b.piece_to_id(MARK)
-        self._known: dict[bytes, Segment] = {}
-
-    def segments(self, wanted: list[bytes]) -> list[Segment]:
-        """Those of `wanted`, each of which starts with a space."""
-        new = [s for s in wanted if s not in self._known]
-        if len(self._known) + len(new) > KEPT_SEGMENTS:
-            self._known.clear()
-            new = wanted
-        if new:
-            texts = [s.decode() for s in new]
-            in_a = self._a.encode_batch(texts, add_special_tokens=False)
-            # the piece model puts the space before a text itself, but says nothing of an empty one
-            in_b = self._b.encode([t[1:] for t in texts], num_threads=1)
-            for raw, x, b in zip(new, in_a, in_b, strict=True):
-                a, b = x.ids, b if len(raw) > 1 else [self._space]
-                spelled_a, spelled_b = [self._a_bytes[i] for i in a], [self._b_bytes[i] for i in b]
-                good = b"".join(spelled_a) == raw and b"".join(spelled_b) == raw
-                ends = (np.cumsum([len(t) for t in spelled]) for spelled in (spelled_a, spelled_b))
-                self._known[raw] = Segment(good, a, next(ends), b, next(ends))
-        return [self._known[s] for s in wanted]
+        space = b.piece_to_id(MARK)
+
+        def encode_a(texts: list[bytes]) -> list[np.ndarray]:
+            return [np.array(x.ids, np.int64) for x in a.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+
+        def encode_b(texts: list[bytes]) -> list[np.ndarray]:
+            # the model puts the space before a text itself, but says nothing of an empty one
+            found = b.encode([t[1:].decode() for t in texts], num_threads=1)
+            return [np.array(x if len(t) > 1 else [space], np.int64) for t, x in zip(texts, found, strict=True)]
+
+        self.a, self.b = Side(encode_a, spelled_a), Side(encode_b, spelled_b)
+
+
+class Aligned:
+    """Different segments, encoded and aligned: figures, groups as text, and links of each."""
+
+    def __init__(self, aligner: Aligner, raw: np.ndarray, bounds: np.ndarray, walled: int):
+        """Segment i is raw[bounds[i]:bounds[i + 1]]; the first `walled` ones end in a wall."""
+        n = len(bounds) - 1
+        cuts = np.unique(np.searchsorted(bounds[: walled + 1], np.arange(0, bounds[walled] + CHUNK, CHUNK)).clip(0, walled)).tolist()
+        chunks = [*itertools.pairwise(cuts), *((k, k + 1) for k in range(walled, n))]
+        ids_a, n_a, good_a = aligner.a.tokens(chunks, raw, bounds)
+        ids_b, n_b, good_b = aligner.b.tokens(chunks, raw, bounds)
+        self.good = good_a & good_b
+        ids_a, ids_b = ids_a[np.repeat(self.good, n_a)], ids_b[np.repeat(self.good, n_b)]
+        self.n_a, self.n_b = n_a * self.good, n_b * self.good
+        of_a, of_b = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
+        # segments that are not good take no room: all tokens on one line
+        ends_a, ends_b = np.cumsum(aligner.a.sizes[ids_a]), np.cumsum(aligner.b.sizes[ids_b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        self.n_groups = np.bincount(of_a[np.searchsorted(ends_a, both)], minlength=n)
+
+        # the tokens of A and B of a group one after the other, each with the mark that follows it
+        group, side = np.concatenate((group_a, group_b)), np.repeat([0, 1], [len(ids_a), len(ids_b)])
+        order = np.argsort(2 * group + side, kind="stable")
+        group, side = group[order], side[order]
+        digits = np.concatenate((aligner.a.digits, aligner.b.digits))
+        at = np.concatenate((aligner.a.digits_at[ids_a], aligner.b.digits_at[ids_b] + len(aligner.a.digits)))[order]
+        sizes = np.concatenate((aligner.a.n_digits[ids_a], aligner.b.n_digits[ids_b]))[order]
+        marks = np.full(len(order), ord(","), np.uint8)
+        if len(order):
+            last = np.concatenate((group[1:] != group[:-1], [True]))
+            marks[np.concatenate((side[1:] != side[:-1], [False]))] = ord("|")
+            marks[last] = ord(";")
+        ends = np.cumsum(sizes + 1)
+        text = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+        is_mark = np.zeros(len(text), bool)
+        is_mark[ends - 1] = True
+        text[is_mark] = marks
+        text[~is_mark] = _gather(digits, at, sizes)
+        total = np.bincount(np.concatenate((of_a, of_b))[order], weights=sizes + 1, minlength=n).astype(np.int64)
+        cut = np.concatenate(([0], np.cumsum(total))).tolist()
+        whole = text.tobytes()
+        self.groups = [whole[i:j] for i, j in itertools.pairwise(cut)]
+
+        # token i of A meets those of B that end after its start and start before its end
+        first = np.searchsorted(ends_b, ends_a - aligner.a.sizes[ids_a], "right")
+        sizes = np.searchsorted(ends_b, ends_a, "left") + 1 - first
+        self.pairs = (np.repeat(ids_a, sizes) << PAIR) | _gather(ids_b, first, sizes)
+        self.n_links = np.bincount(of_a, weights=sizes, minlength=n).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -140,15 +208,20 @@ _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
 
 
+def _walls(raw: np.ndarray) -> np.ndarray:
+    """Which bytes surely end a word."""
+    walls = _VISIBLE[raw]
+    walls[1:] |= _SECOND[raw[1:]] & _LEAD[raw[:-1]]
+    return walls
+
+
 def segment_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where segments start in rows that each start with a space: at the row's own start and
     at every space after a byte that surely ends a word."""
     if not len(raw):
         return np.zeros(0, np.int64)
-    ends_word = _VISIBLE[raw]
-    ends_word[1:] |= _SECOND[raw[1:]] & _LEAD[raw[:-1]]
     starts = np.zeros(len(raw), bool)
-    starts[1:] = (raw[1:] == 0x20) & ends_word[:-1]
+    starts[1:] = (raw[1:] == 0x20) & _walls(raw)[:-1]
     starts[off[:-1][np.diff(off) > 0]] = True
     return np.flatnonzero(starts)
 
@@ -240,42 +313,35 @@ def _index(aligner: Aligner, raw: np.ndarray, off: np.ndarray) -> tuple[dict[str
     ends = np.concatenate((starts[1:], [len(raw)]))[: len(starts)]
     hashes = run_hashes(byte_table(False)[raw], starts, ends)
     _, where, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    whole = raw.tobytes()
-    known = aligner.segments([whole[starts[i] : ends[i]] for i in where.tolist()])
-    good = np.array([s.good for s in known], bool)
-    figures = {n: np.array([getattr(s, n) if s.good else 0 for s in known], np.int64) for n in ("n_a", "n_b", "n_groups", "n_links")}
+    # those that end in a wall first: they can be encoded in one go
+    ends_in_wall = _walls(raw)[ends[where] - 1] if len(where) else np.zeros(0, bool)
+    order = np.argsort(~ends_in_wall, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    where, kind = where[order], place[kind]
+    sizes = ends[where] - starts[where]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    known = Aligned(aligner, _gather(raw, starts[where], sizes), bounds, int(ends_in_wall.sum()))
+
     n = len(off) - 1
     first = np.searchsorted(starts, off)
     row = np.repeat(np.arange(n), np.diff(first))
-    bad = np.zeros(n, bool)
-    if len(starts):
-        bad[row[~good[kind]]] = True
+    bad = np.bincount(row[~known.good[kind]], minlength=n) > 0
+    kept = ~bad[row]
     digests: dict[str, pa.Array] = {"row": pa.array(np.arange(n, dtype=np.int32))}
-    kept = ~bad[row] if len(row) else np.zeros(0, bool)
-    for name, figure in figures.items():
-        sums = np.zeros(n, np.int64)
-        np.add.at(sums, row[kept], figure[kind[kept]])
-        digests[name] = pa.array(sums)
-    groups = [s.groups if s.good else b"" for s in known]
-    listed = kind.tolist()
-    digests["groups_sha256"] = pa.array(
-        [
-            "" if bad[r] or first[r] == first[r + 1] else hashlib.sha256(b";".join([groups[k] for k in listed[first[r] : first[r + 1]]])).hexdigest()
-            for r in range(n)
-        ],
-        pa.string(),
-    )
+    for name in ("n_a", "n_b", "n_groups", "n_links"):
+        sums = np.bincount(row[kept], weights=getattr(known, name)[kind[kept]], minlength=n)
+        digests[name] = pa.array(sums.astype(np.int64))
+    listed, rows = kind.tolist(), first.tolist()
+    texts = (b"" if bad[r] else b"".join([known.groups[k] for k in listed[rows[r] : rows[r + 1]]])[:-1] for r in range(n))
+    digests["groups_sha256"] = pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in texts], pa.string())
     if not kept.any():
         return digests, _no_postings()
-    held, often = np.unique(row[kept] * len(known) + kind[kept], return_counts=True)
-    docs, kinds = held // len(known), held % len(known)
-    sizes = np.array([len(s.pairs) if s.good else 0 for s in known], np.int64)
-    starts_of = np.concatenate(([0], np.cumsum(sizes)))
-    pairs = np.concatenate([s.pairs for s in known if s.good])
-    times = np.concatenate([s.times for s in known if s.good])
-    each = sizes[kinds]
-    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts_of[kinds], each)
-    return digests, _postings(pairs[at], np.repeat(docs, each), times[at] * np.repeat(often, each))
+    held, often = np.unique(row[kept] * len(where) + kind[kept], return_counts=True)
+    docs, kinds = np.divmod(held, len(where))
+    each = known.n_links[kinds]
+    pairs = _gather(known.pairs, (np.cumsum(known.n_links) - known.n_links)[kinds], each)
+    return digests, _postings(pairs, np.repeat(docs, each), np.repeat(often, each))
 
 
 def _no_postings() -> pa.Array:
