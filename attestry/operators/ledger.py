@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.session import cut_lineage
+from attestry.operators import store
 
 AUDIT = "candidate_id string, event string, payload string, at timestamp"
 
@@ -28,29 +27,19 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: list
     return latest_per_key(current.unionByName(incoming), keys, order)
 
 
-def write_reports(
-    reports: DataFrame, path: str, *, partition: str, keys: list[str], order: list[str]
-) -> None:
-    """Put reports into the store at `path`, each in the place of its key's older one.
+def write_reports(reports: DataFrame, path: str, *, number: int | None = None, writer: str = "batch") -> bool:
+    """Add reports to the store at `path` as one commit; False if it is already there.
 
-    A key always lies in the same partition.  Only the partitions the new reports fall into are
-    read, merged in a table of their own and then swapped in; all other keys in them stay.
+    Without a number it is the writer's next one.  `stored_reports` reads the newest of each key.
     """
-    spark = reports.sparkSession
-    reports = cut_lineage(reports)
-    try:
-        stored = spark.read.schema(reports.schema).parquet(path)
-    except AnalysisException:  # the first reports: there is no store yet
-        merged = latest_per_key(reports, keys, order)
-    else:
-        touched = reports.select(partition).distinct()
-        merged = upsert(stored.join(touched, partition, "left_semi"), reports, keys, order)
-    (
-        cut_lineage(merged).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    if number is None:
+        number = store.next_number(reports.sparkSession, path, writer)
+    return store.commit(reports, path, number, writer)
+
+
+def stored_reports(spark: SparkSession, path: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Of each key the report that is last by `order`, else by commit."""
+    return store.current(spark, path, store.newest(keys, order))
 
 
 def append_audit(events: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestry.conf import DEFAULT
 from attestry.functions.text import clean_lines
-from attestry.operators import ledger
+from attestry.operators import ledger, store
 from attestry.operators import metrics as M
 from attestry.operators.narrative import check_narratives
 from attestry.plans import invariance
@@ -311,12 +311,16 @@ def write_reports(t):
     path = _fresh(t, "reports")
     rows = t.events.select(
         F.col("user_id").cast("string").alias("candidate_id"), "ts", "event_id",
-        F.col("event_type").alias("kind"), (F.col("user_id") % 8).alias("shard"),
+        F.col("event_type").alias("kind"),
     )
     # late rows first, then early ones, then some of all: each write must leave the newest of every key
+    newest = store.newest(["candidate_id"], ["ts", "event_id"])
     for part in (rows.where("ts >= '2024-01-15'"), rows.where("ts < '2024-01-15'"), rows.where("kind = 'click'")):
-        ledger.write_reports(part, path, partition="shard", keys=["candidate_id"], order=["ts", "event_id"])
-    return t.spark.read.parquet(path).select("candidate_id", "event_id", "kind")
+        ledger.write_reports(part, path)
+        # the second write starts from a merged state, and a replay of the first one adds nothing
+        store.compact(t.spark, path, newest)
+        ledger.write_reports(rows, path, number=0)
+    return store.current(t.spark, path, newest).select("candidate_id", "event_id", "kind")
 
 
 @query("""
@@ -538,12 +542,15 @@ _SCREEN = """
     s AS (SELECT *, 100.0 * (2 * must::INT + 2 * (years >= need)::INT + pref::INT) / 5 AS base, (NOT must)::INT + (years < need)::INT AS miss FROM b)"""
 
 
-@query(f"""
-    WITH {_SCREEN}
-    SELECT CAST(c_custkey AS VARCHAR) AS candidate_id, CAST(round(base) AS INT) AS overall_match_score, 1.0::DOUBLE AS score_confidence,
+_SCREEN_RESULT = """SELECT CAST(c_custkey AS VARCHAR) AS candidate_id, CAST(round(base) AS INT) AS overall_match_score, 1.0::DOUBLE AS score_confidence,
            CASE WHEN base < 40 THEN 'Not Recommended' WHEN miss >= 2 THEN 'Not Recommended' WHEN base >= 75 AND miss = 0 THEN 'Shortlist' ELSE 'Review Manually' END AS recommendation,
            'INSUFFICIENT_EVIDENCE' AS authenticity_band, 'proceed' AS integrity_action
-    FROM s""", name="screen_corpus")
+    FROM s"""
+
+
+@query(f"""
+    WITH {_SCREEN}
+    {_SCREEN_RESULT}""", name="screen_corpus")
 def screen_corpus_query(t):
     apps, docs, jds = _screening_inputs(t)
     s = screen_corpus(apps, as_layout(docs), jds, Evidence.of(t.spark), CONF)

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from attestry.conf import DEFAULT
 from attestry.operators import copies
+from attestry.plans.assess import Evidence
+from attestry.plans.screen import results_rows, screen_corpus
+from attestry.queries.metrics_layer import _SCREEN, _SCREEN_RESULT, CONF, _screening_inputs
 from attestry.queries.registry import Tables, query
 from attestry.queries.text_layer import _SHINGLES
 from attestry.session import shared_dir
+from attestry.sources.corpus import as_layout
 from attestry.streaming import jobs
 
 
@@ -44,6 +48,28 @@ def stream_screen(t):
     return jobs.merged_reports(t.spark, f"{home}/out", ["doc_id"])
 
 
+@query(f"""
+    WITH {_SCREEN}
+    {_SCREEN_RESULT}""")
+def stream_screen_corpus(t):
+    """Documents land in two files, each a micro-batch of whole screenings; the store is read back."""
+    apps, docs, jds = _screening_inputs(t)
+    home = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    docs.repartition(2).write.parquet(f"{home}/in")
+    stream = t.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    evidence = Evidence.of(t.spark)
+
+    def screen(batch):
+        own = apps.join(batch.select("doc_id"), "doc_id", "left_semi")
+        return results_rows(screen_corpus(own, as_layout(batch), jds, evidence, CONF).reports)
+
+    jobs.stream_screen(stream, screen, f"{home}/out", f"{home}/state").awaitTermination()
+    return jobs.merged_reports(t.spark, f"{home}/out", ["candidate_id"]).select(
+        "candidate_id", "overall_match_score", "score_confidence", "recommendation",
+        "authenticity_band", "integrity_action",
+    )
+
+
 _STAGE = "CASE WHEN value < 10 THEN 'ok' WHEN value < 12 THEN 'error' ELSE 'started' END"
 
 
@@ -137,3 +163,33 @@ def stream_audit(t):
     out = _run(t, counts, mode="update")
     latest = jobs.latest_per_key(out, ["day", "event_type"], ["batch"])
     return latest.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+# Clicks arrive in a second file, after all others: those whose day had ended by then are late.
+_ARRIVAL = "event_type = 'click'"
+
+
+@query(f"""
+    WITH seen AS (SELECT max(ts) AS latest FROM events WHERE NOT ({_ARRIVAL})),
+    e AS (SELECT *, ({_ARRIVAL}) AND latest IS NOT NULL AND date_trunc('day', ts) + INTERVAL 1 DAY <= latest - INTERVAL 36 HOUR AS late FROM events, seen)
+    SELECT CASE WHEN late THEN 'late' ELSE 'counted' END AS output, strftime(ts, '%Y-%m-%d') AS day, event_type,
+           count(*) AS n, CAST(CASE WHEN late THEN sum(event_id) END AS BIGINT) AS ids
+    FROM e GROUP BY 1, 2, 3, late""")
+def stream_late_rows(t):
+    home = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows = t.events.select("event_id", "ts", "event_type")
+    for k, part in enumerate((f"NOT ({_ARRIVAL})", _ARRIVAL)):
+        rows.where(part).coalesce(1).write.parquet(f"{home}/in/{k}")
+    stream = (
+        t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(f"{home}/in")
+    )
+    conf = replace(DEFAULT, watermark="36 hours")
+    jobs.route_late(stream, "event_type", f"{home}/out", f"{home}/state", conf=conf).awaitTermination()
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    counted = jobs.routed_counts(t.spark, f"{home}/out", "event_type").select(
+        F.lit("counted").alias("output"), day("day"), "event_type", "n", F.lit(None).cast("bigint").alias("ids")
+    )
+    late = jobs.late_rows(t.spark, f"{home}/out").groupBy(day("ts"), "event_type")
+    late = late.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+    return counted.unionByName(late.select(F.lit("late").alias("output"), "day", "event_type", "n", "ids"))

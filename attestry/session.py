@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back.
+def cut_lineage(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back, in the session `reader` if given.
 
     What several branches read is computed once; a lost executor re-reads files instead of
     replaying the plan; and the readers still prune columns and know the table's size.
@@ -57,18 +59,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (reader or spark).read.schema(df.schema).parquet(path)
 
 
 _STAGES: dict[str, list[str]] = {}
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Remove the tables `cut_lineage` has written in this application.
 
     For when a job's result is written: what was read from the tables can't be read again.
     """
-    jvm = spark._jvm
-    for path in _STAGES.pop(spark.sparkContext.applicationId, []):
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _remove(spark, _STAGES.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def own_stages(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that `cut_lineage` writes inside, and only these, at the end.
+
+    For a part of a job whose result is written before the end, as a stream's batch is.
+    """
+    app = spark.sparkContext.applicationId
+    outer = _STAGES.pop(app, [])
+    try:
+        yield
+    finally:
+        inner = _STAGES.pop(app, [])
+        _STAGES[app] = outer
+        _remove(spark, inner)

@@ -30,7 +30,7 @@ robin@vale.example
 
 Employment
 Senior Portal Developer at Lowland Rail Works, 2020 - Present
-* Rewrote the departure boards in React and TypeScript, reducing load time by 45%
+* Rewrote the departure boards in React and TypeScript, reducing load time by 45 percent
 * Moved delay messages to Kafka. Keeps departures in MongoDB.
 Portal Developer at Tidewater Ferries, 2017 - 2020
 * Kept the TypeScript booking pages alive
@@ -68,7 +68,7 @@ EVIDENCE = {
     "paths": [("flagged", "platform-board", "package.json"), ("flagged", "platform-board", "src/board.tsx")],
     "manifests": [("flagged", "platform-board", "package.json", '{"dependencies": {"react": "18", "mongodb": "6"}}')],
     "commits": [("flagged", "platform-board", i, "flagged" if i < 27 else "y") for i in range(30)],
-    "readmes": [("flagged", "platform-board", "Where a train leaves. It is reducing load time by 45%.")],
+    "readmes": [("flagged", "platform-board", "Where a train leaves. It is reducing load time by 45 percent.")],
     "external": [("flagged", "ok", 0, "Senior Portal Developer", "Lowland Rail Works", "2023", "Present")],
     "sources": [("flagged", "robin", None, None, None)],
 }

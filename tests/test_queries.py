@@ -14,7 +14,7 @@ ROOT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(ROOT).exists(), reason="no test tables")
 
 # whole screenings take longest; their logic is also covered in test_plans
-SLOW = {"invariance_audit", "screen_corpus", "assess_authenticity"}
+SLOW = {"invariance_audit", "screen_corpus", "assess_authenticity", "stream_screen_corpus"}
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.conf import DEFAULT
-from attestry.operators import copies
+from attestry.operators import copies, ledger, store
 from attestry.streaming import jobs
 
 SLOW = replace(DEFAULT, rate_per_min=1.0, burst=3.0, ttl_hours=24)
@@ -139,3 +139,91 @@ def test_stream_screen_equals_batch(spark, tmp_path):
     batch = copies.copied_from_any(df, ref)
     got = jobs.merged_reports(spark, out, ["doc_id"]).select(batch.columns)
     assert sorted(got.collect()) == sorted(batch.collect())
+    assert len(store.committed(spark, out)) == 3
+
+    # a batch that comes again changes nothing, even with other rows; another stream's is its own
+    writer = jobs.writer_of(f"{tmp_path}/state")
+    again = jobs.merge_batch(spark, lambda b: b.select("doc_id", F.lit(-1).alias("copied_words")), out, writer)
+    again(df, 1)
+    assert len(store.committed(spark, out)) == 3
+    jobs.merge_batch(spark, lambda b: copies.copied_from_any(b, ref), out, jobs.writer_of("other"))(df.limit(4), 1)
+    assert len(store.committed(spark, out)) == 4
+    got = jobs.merged_reports(spark, out, ["doc_id"]).select(batch.columns)
+    assert sorted(got.collect()) == sorted(batch.collect())
+
+
+SHAPE = "k string, v int, at int"
+
+
+def contents(spark, path, **kw):
+    return {r.k: r.v for r in ledger.stored_reports(spark, path, ["k"], **kw).collect()}
+
+
+def test_report_store(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    rows = lambda *r: spark.createDataFrame(list(r), SHAPE)
+    with pytest.raises(FileNotFoundError):
+        contents(spark, path)
+    assert ledger.write_reports(rows(("a", 1, 5), ("b", 2, 5)), path, number=0)
+    assert ledger.write_reports(rows(("b", 3, 4), ("c", 4, 1)), path, number=1)
+    assert not ledger.write_reports(rows(("b", 9, 9)), path, number=1)
+    assert contents(spark, path) == {"a": 1, "b": 3, "c": 4}
+    assert contents(spark, path, order=["at"]) == {"a": 1, "b": 2, "c": 4}
+
+    # rows that no commit names are those of a writer that was lost
+    rows(("a", 99, 99)).write.parquet(f"{path}/rows/version=000000000002.batch.2")
+    assert contents(spark, path) == {"a": 1, "b": 3, "c": 4}
+    assert ledger.write_reports(rows(("d", 5, 0)), path)
+    assert contents(spark, path) == {"a": 1, "b": 3, "c": 4, "d": 5}
+
+    merge = store.newest(["k"])
+    assert store.compact(spark, path, merge) and not store.compact(spark, path, merge)
+    assert store.stored(spark, path).count() == 4
+    assert ledger.write_reports(rows(("a", 7, 0)), path) and store.next_number(spark, path) == 4
+    assert not ledger.write_reports(rows(("a", 8, 0)), path, number=0)
+    assert store.vacuum(spark, path) == 3
+    assert contents(spark, path) == {"a": 7, "b": 3, "c": 4, "d": 5}
+    # an empty commit, and names that could be mistaken for another's
+    assert store.commit(rows().limit(0), path, 0, "other") and len(contents(spark, path)) == 4
+    for name in ("base", "a.b", ""):
+        with pytest.raises(ValueError):
+            store.commit(rows(), path, 0, name)
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    """Every row is counted in its window or kept as late; which, follows from the batches before."""
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    parts, ids = [], iter(range(10_000))
+    for k in range(4):
+        times = [start + timedelta(hours=30 * k + rng.uniform(-60, 24)) for _ in range(60)]
+        parts.append([(next(ids), t, rng.choice("xy")) for t in times] + [(next(ids), None, "x")])
+    schema = "event_id bigint, ts timestamp, kind string"
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    )
+    out = f"{tmp_path}/out"
+    conf = replace(DEFAULT, watermark="6 hours")
+    jobs.route_late(stream, "kind", out, f"{tmp_path}/state", conf=conf).awaitTermination()
+
+    latest, late, counts = None, set(), {}
+    for part in parts:
+        bound = latest and latest - timedelta(hours=6)
+        for i, t, kind in part:
+            day = t and datetime(t.year, t.month, t.day)
+            if t is None or (bound and day + timedelta(days=1) <= bound):
+                late.add(i)
+            else:
+                counts[day, kind] = counts.get((day, kind), 0) + 1
+        latest = max([t for _, t, _ in part if t] + ([latest] if latest else []))
+    assert 10 < len(late) < 120
+    assert {r.event_id for r in jobs.late_rows(spark, out).collect()} == late
+    assert {(r.day, r.kind): r.n for r in jobs.routed_counts(spark, out, "kind").collect()} == counts
+    entries = jobs.late_ledger(jobs.late_rows(spark, out), "event_id", "kind", F.lit(start))
+    assert entries.columns == ["candidate_id", "event", "payload", "at"] and entries.count() == len(late)
+    # counts may be merged at any time
+    assert store.compact(spark, f"{out}/counts", store.summed(["day", "kind"], ["n"]))
+    assert {(r.day, r.kind): r.n for r in jobs.routed_counts(spark, out, "kind").collect()} == counts
