@@ -29,6 +29,28 @@ def _stream(t: Tables, name: str):
     )
 
 
+def _unordered(t: Tables, name: str, files: int = 3):
+    """A table with `ts` as a stream of small files that are not in time order, one a batch, and
+    at the end a row far behind all others, with nothing but its time: a heartbeat that moves
+    the watermark past every row."""
+    home = f"{shared_dir(t.spark)}/landing-{uuid.uuid4().hex}"
+    rows = getattr(t, name)
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+    for k in range(files):
+        rows.where(part == k).write.parquet(f"{home}/{k}")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "ts"]
+    beat = rows.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts")).select("ts", *blank)
+    beat.select(rows.columns).write.parquet(f"{home}/{files}")
+    return (
+        t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(home)
+    )
+
+
+# wide enough for files in any order
+_WIDE = replace(DEFAULT, watermark="400 days")
+
+
 def _run(t: Tables, stream, **kw):
     home = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     jobs.land(stream, f"{home}/out", f"{home}/state", **kw).awaitTermination()
@@ -78,12 +100,13 @@ _STAGE = "CASE WHEN value < 10 THEN 'ok' WHEN value < 12 THEN 'error' ELSE 'star
     SELECT user_id, event_type, coalesce(arg_min(status, ts) FILTER (status <> 'started'), 'skipped') AS status
     FROM e GROUP BY user_id, event_type""")
 def stream_progress(t):
-    stages = _stream(t, "events").select(
-        "user_id", "event_type", "ts", F.expr(_STAGE).alias("status")
-    )
-    out = _run(t, jobs.progress(stages, ["user_id", "event_type"]), mode="update")
-    latest = jobs.latest_per_key(out, ["user_id", "event_type"], ["batch"])
-    return jobs.close_open_stages(latest).select("user_id", "event_type", "status")
+    key = F.concat_ws(":", "user_id", "event_type").alias("key")
+    stages = _unordered(t, "events").where("user_id IS NOT NULL").select(key, "ts", F.expr(_STAGE).alias("status"))
+    told = jobs.progress_of(_run(t, jobs.stream_progress(stages, "key", _WIDE), mode="update"), "key")
+    return jobs.close_open_stages(told).select(
+        F.substring_index("key", ":", 1).cast("bigint").alias("user_id"),
+        F.substring_index("key", ":", -1).alias("event_type"), "status",
+    )
 
 
 @query("""
@@ -95,11 +118,12 @@ def stream_progress(t):
     SELECT key, event_id FROM w WHERE kept""")
 def stream_ttl_dedup(t):
     code = F.when(F.col("event_id") % 5 == 0, 500).when(F.col("event_id") % 5 == 1, 404).otherwise(200)
-    fetches = _stream(t, "events").select(
+    # the heartbeat has no id and counts as an answer, or the watermark would not see it
+    fetches = _unordered(t, "events").select(
         F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id", "ts",
-        code.alias("status_code"),
+        F.coalesce(code, F.lit(200)).alias("status_code"),
     )
-    out = _run(t, jobs.ttl_dedup(fetches, replace(DEFAULT, ttl_hours=48)))
+    out = _run(t, jobs.ttl_dedup(fetches, replace(_WIDE, ttl_hours=48)))
     return out.select("key", "event_id")
 
 
@@ -119,7 +143,7 @@ def _clients(events):
 @query(f"""
     WITH RECURSIVE {_BUCKET} SELECT client, event_id, allowed FROM w""")
 def stream_rate_audit(t):
-    out = _run(t, jobs.stream_rate_audit(_clients(_stream(t, "events")), _SLOW))
+    out = _run(t, jobs.stream_rate_audit(_clients(_unordered(t, "events")), replace(_SLOW, watermark=_WIDE.watermark)))
     return out.select("client", "event_id", "allowed")
 
 

@@ -7,18 +7,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from attestry.conf import DEFAULT, Config
 from attestry.operators import store
 from attestry.operators.ledger import audit_row, latest_per_key
 from attestry.session import cut_lineage, own_stages
+from attestry.streaming import ordered
 
 TERMINAL = ("ok", "error", "skipped")
 
@@ -38,13 +39,30 @@ def land(
     def write(batch: DataFrame, batch_id: int) -> None:
         change(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state_on_disk(stream.sparkSession):
+        return (
+            stream.writeStream.foreachBatch(write)
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which stateful processors need and
+    which leaves large state out of the heap.  A stream takes its settings along when it starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
@@ -121,6 +139,23 @@ def progress(stages: DataFrame, keys: list[str], *, status: str = "status", ts:
     )
 
 
+def stream_progress(stages: DataFrame, key: str, conf: Config = DEFAULT, *, keep_hours: float = 24.0) -> DataFrame:
+    """T2 over a stream: a row for each key a batch touches.  A key that has been silent for
+    `keep_hours` behind the watermark leaves the state; `progress_of` merges what was told."""
+    return ordered.progress_stream(stages, key, TERMINAL, conf.watermark, keep_hours)
+
+
+def progress_of(told: DataFrame, key: str) -> DataFrame:
+    """Of each key the first terminal status that was told, else the latest one."""
+    return told.groupBy(key).agg(
+        F.coalesce(
+            F.min(F.when(F.col("done_at").isNotNull(), F.struct("done_at", "status")))["status"],
+            F.max_by("status", F.struct("last_seen", "batch")),
+        ).alias("status"),
+        F.max("last_seen").alias("last_seen"),
+    )
+
+
 def close_open_stages(progress_: DataFrame) -> DataFrame:
     """Stages that never finished are reported as skipped once their run has ended."""
     return progress_.withColumn(
@@ -131,38 +166,10 @@ def close_open_stages(progress_: DataFrame) -> DataFrame:
 
 # --- T3 -----------------------------------------------------------------------------------
 
-FETCH_OUT = "key string, event_id bigint, ts timestamp"
-
-
-def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch by time.  They arrive in chunks, none of them sorted."""
-    return pd.concat(list(frames)).sort_values(columns, kind="stable")
-
-
-def _micros(times: pd.Series) -> list[int]:
-    return times.astype("datetime64[us]").astype("int64").tolist()
-
-
-def _remember(state: GroupState, us: int, keep_us: float) -> None:
-    """Keep `us` as long as it can matter; then the watermark takes it out of the state."""
-    state.update((us,))
-    state.setTimeoutTimestamp(max(int((us + keep_us) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
-
-
-def _keep_after_ttl(ttl_us: float):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = _in_order(frames, ["ts", "event_id"])
-        kept = []
-        for now in _micros(rows["ts"]):
-            fresh = last is None or now - last >= ttl_us
-            last = now if fresh else last
-            kept.append(fresh)
-        _remember(state, last, ttl_us)
-        yield rows[kept].assign(key=key[0])[["key", "event_id", "ts"]]
+def _after_ttl(ttl_us: float) -> Callable[[float | None, int], tuple[float, tuple]]:
+    def step(last: float | None, now: int) -> tuple[float, tuple]:
+        fresh = last is None or now - last >= ttl_us
+        return (float(now) if fresh else last), (fresh, 0.0)
 
     return step
 
@@ -171,18 +178,13 @@ def ttl_dedup(fetches: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """fetches(key, event_id, ts, status_code) → those that are processed.
 
     An artefact fetched again within the TTL of the fetch that was processed is not processed
-    again; only definitive answers are remembered.  State is one number per artefact, and goes
-    when the watermark has passed its TTL.
+    again; only definitive answers are remembered.  Fetches are told once the watermark has
+    passed them, in time order; an artefact's state is one number and goes with its TTL.
     """
     definitive = fetches.where(F.col("status_code").isin(200, 404)).select("key", "event_id", "ts")
-    return (
-        definitive.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", conf.watermark)
-        .groupBy("key")
-        .applyInPandasWithState(
-            _keep_after_ttl(conf.ttl_hours * 3600e6), FETCH_OUT, "last bigint", "append", "EventTimeTimeout"
-        )
-    )
+    ttl_us = conf.ttl_hours * 3600e6
+    told = ordered.in_order(definitive, "key", ordered.InOrder(_after_ttl(ttl_us), lambda last: last + ttl_us), conf.watermark)
+    return told.where("allowed").select("key", "event_id", "ts")
 
 
 # --- T4 -----------------------------------------------------------------------------------
@@ -200,47 +202,26 @@ def schedule(free_at: float, now: float, spacing: float, burst: float) -> tuple[
     return (place + spacing, 0.0) if ahead <= 0 else (free_at, ahead)
 
 
-RATE_OUT = "client string, event_id bigint, ts timestamp, allowed boolean, wait_s double"
-
-
 def _spacing_us(conf: Config) -> float:
     """Microseconds between two requests at the allowed rate; no rate admits the burst alone."""
     return 60e6 / conf.rate_per_min if conf.rate_per_min > 0 else conf.closed_wait_s * 1e6
 
 
-def _schedule_step(spacing: float, burst: float):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        free_at = state.get[0] if state.exists else 0.0
-        rows = _in_order(frames, ["ts", "event_id"])
-        waits = []
-        for now in _micros(rows["ts"]):
-            free_at, wait = schedule(free_at, now, spacing, burst)
-            waits.append(wait / 1e6)
-        # a free place in the past says nothing any more
-        _remember(state, free_at, 0.0)
-        rows = rows.assign(client=key[0], wait_s=waits)
-        yield rows.assign(allowed=rows["wait_s"] == 0.0)[["client", "event_id", "ts", "allowed", "wait_s"]]
-
-    return step
-
-
 def stream_rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """T4: events(client, event_id, ts) → every event with its verdict; state is one number.
 
-    A client's events are judged in time order within a micro-batch; one that comes after a
-    later batch's is judged where the schedule stands then.
+    A client's events are judged in time order whatever batch they come in, as long as they are
+    not behind the watermark; a verdict is told when the watermark has passed its event.
     """
-    return (
-        events.select("client", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-        .withWatermark("ts", conf.watermark)
-        .groupBy("client")
-        .applyInPandasWithState(
-            _schedule_step(_spacing_us(conf), conf.burst), RATE_OUT, "free_at double", "append", "EventTimeTimeout"
-        )
-    )
+    spacing, burst = _spacing_us(conf), conf.burst
+
+    def step(free_at: float | None, now: int) -> tuple[float, tuple]:
+        free_at, wait = schedule(free_at or 0.0, now, spacing, burst)
+        return free_at, (wait == 0.0, wait / 1e6)
+
+    # a free place in the past says nothing any more
+    told = ordered.in_order(events, "client", ordered.InOrder(step, lambda free_at: free_at), conf.watermark)
+    return told.select("client", "event_id", "ts", "allowed", "wait_s")
 
 
 def busy_periods(

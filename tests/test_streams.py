@@ -13,11 +13,13 @@ from attestry.operators import copies, ledger, store
 from attestry.streaming import jobs
 
 SLOW = replace(DEFAULT, rate_per_min=1.0, burst=3.0, ttl_hours=24)
+WIDE = replace(SLOW, watermark="400 days")  # files may come in any order
 
 
 @pytest.fixture
 def events(spark, tmp_path):
-    """Events in four files that arrive in time order; one client has a third of them."""
+    """Events in four files that come in any order, and one that moves the watermark past them;
+    one client has a third of the events."""
     rng = random.Random(11)
     t = datetime(2024, 1, 1)
     rows = []
@@ -26,9 +28,10 @@ def events(spark, tmp_path):
         rows.append((i, t, rng.choice(["hot", "a", "b", "c"] + ["hot"]), 200))
     schema = "event_id bigint, ts timestamp, client string, status_code int"
     path = f"{tmp_path}/in"
-    for k in range(4):
-        part = spark.createDataFrame(rows[k * 150 : (k + 1) * 150], schema)
-        part.coalesce(1).write.mode("append").parquet(f"{path}/f{k}")
+    dealt = rng.sample(rows, len(rows))
+    parts = [dealt[k * 150 : (k + 1) * 150] for k in range(4)] + [[(-1, t + timedelta(days=900), None, 200)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/f{k}")
     stream = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", 1)
@@ -66,7 +69,11 @@ def test_rate_audit_of_one_busy_client_in_any_order(spark, tmp_path):
     static = spark.createDataFrame(rows, schema)
     static.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    got = run(spark, tmp_path, jobs.stream_rate_audit(stream, SLOW))
+    # far behind all of them comes a row that only moves the watermark
+    beat = spark.createDataFrame([(-1, start + timedelta(days=900), None)], schema)
+    beat.write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = run(spark, tmp_path, jobs.stream_rate_audit(stream, WIDE))
     batch = jobs.rate_audit(static, SLOW)
     want = {r.event_id: r.allowed for r in batch.collect()}
     assert {r.event_id: r.allowed for r in got.collect()} == want
@@ -74,7 +81,7 @@ def test_rate_audit_of_one_busy_client_in_any_order(spark, tmp_path):
     assert abs(sum(want.values()) - seconds * SLOW.rate_per_min / 60) < SLOW.burst + 2
 
     fetched = stream.withColumn("status_code", F.lit(200)).withColumnRenamed("client", "key")
-    kept = run(spark, tmp_path, jobs.ttl_dedup(fetched, replace(SLOW, ttl_hours=1)))
+    kept = run(spark, tmp_path, jobs.ttl_dedup(fetched, replace(WIDE, ttl_hours=1)))
     times = sorted(r.ts for r in kept.collect())
     assert len(times) == 1 + (25_000 * 3 - 3) // 3600 or len(times) == 25_000 * 3 // 3600
     assert all((b - a).total_seconds() >= 3600 for a, b in zip(times, times[1:], strict=False))
@@ -84,7 +91,7 @@ def test_rate_audit_stream_and_batch(spark, tmp_path, events):
     rows, static, stream = events
     want = simulate(rows, SLOW.rate_per_min / 60, SLOW.burst)
     assert any(want.values()) and not all(want.values())
-    got = run(spark, tmp_path, jobs.stream_rate_audit(stream, SLOW))
+    got = run(spark, tmp_path, jobs.stream_rate_audit(stream, WIDE))
     assert {r.event_id: r.allowed for r in got.collect()} == want
     batch = jobs.rate_audit(static, SLOW)
     assert {r.event_id: r.allowed for r in batch.collect()} == want
@@ -97,7 +104,7 @@ def test_ttl_dedup(spark, tmp_path, events):
         if client not in last or (ts - last[client]).total_seconds() >= 86400:
             last[client] = ts
             want.add(i)
-    got = run(spark, tmp_path, jobs.ttl_dedup(stream.withColumnRenamed("client", "key"), SLOW))
+    got = run(spark, tmp_path, jobs.ttl_dedup(stream.withColumnRenamed("client", "key"), WIDE))
     assert {r.event_id for r in got.collect()} == want
 
 
@@ -105,17 +112,39 @@ def test_progress_and_counts(spark, tmp_path, events):
     _, static, stream = events
     status = F.when(F.col("event_id") % 50 == 7, "ok").otherwise("started")
     batch = jobs.progress(static.withColumn("status", status), ["client"])
-    got = run(
-        spark, tmp_path, jobs.progress(stream.withColumn("status", status), ["client"]), mode="update"
-    )
-    latest = jobs.latest_per_key(got, ["client"], ["batch"]).select(batch.columns)
+    stages = stream.where("client IS NOT NULL").withColumn("status", status)
+    told = run(spark, tmp_path, jobs.stream_progress(stages, "client", WIDE), mode="update")
+    latest = jobs.progress_of(told, "client").select(batch.columns)
     assert sorted(latest.collect()) == sorted(batch.collect())
 
-    daily = run(spark, tmp_path, jobs.audit_counts(stream, "client"), mode="update")
+    counted = stream.where("client IS NOT NULL")
+    daily = run(spark, tmp_path, jobs.audit_counts(counted, "client", conf=WIDE), mode="update")
     total = jobs.latest_per_key(daily, ["day", "client"], ["batch"]).agg(F.sum("n")).first()[0]
     assert total == static.count()
 
 
+def test_state_is_bounded(spark, tmp_path):
+    """Keys that come, stop and are passed by the watermark leave the state."""
+    start = datetime(2024, 1, 1)
+    schema = "event_id bigint, ts timestamp, client string, status string"
+    for k in range(6):
+        rows = [(100 * k + i, start + timedelta(days=10 * k, minutes=i), f"c{k}-{i % 20}", "started") for i in range(60)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    )
+    conf = replace(SLOW, watermark="1 hour", ttl_hours=24)
+    for made, outputs in ((jobs.stream_rate_audit(stream, conf), 5 * 60), (jobs.stream_progress(stream, "client", conf), 6 * 20)):
+        home = f"{tmp_path}/{uuid.uuid4().hex}"
+        query = jobs.land(made, f"{home}/out", f"{home}/state", mode="append" if outputs == 300 else "update")
+        query.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert jobs.landed(spark, f"{home}/out").count() >= outputs
+        # six files of as many clients each: what is held does not add up
+        assert max(held) <= 2 * max(held[:2]), held
+
+
 def test_stalled_sessions(spark, events):
     _, static, _ = events
     conf = replace(DEFAULT, stall_gap="1 hour")
