@@ -298,3 +298,38 @@ def test_weighted_factors_add_up_exactly(one):
         "tech_proximity": F.lit(0.85), "learning_curve": F.lit(0.7),
     }
     assert one(skills.weighted(factors)) == 0.292
+
+
+def test_similarity_is_bounded_before_it_is_computed(spark):
+    """2,000 employers under one key: few pairs get to Python, and the result is that of all pairs."""
+    import random
+    from difflib import SequenceMatcher
+
+    from attestry.functions.similarity import letters, most_ratio, ratio_from
+
+    rng = random.Random(8)
+    parts = ["north", "rail", "works", "\U0001f600", "ferries", "tide", "blue", "zq", "xk", "consult", "&", "co", "47", "lab"]
+    names = [" ".join(rng.choices(parts, k=rng.randint(1, 4))).title() for _ in range(2000)]
+    names[7], names[8] = "", None
+    ext = [("c", i, f"T{i}", n, "2019", "2020") for i, n in enumerate(names)]
+    ours = [("c", 0, "Dev", names[100]), ("c", 1, "Dev", "Zzyzx Quux"), ("c", 2, "Dev", names[300] + "s")]
+    roles = spark.createDataFrame(ours, "candidate_id string, role_no int, title string, company string")
+    external = spark.createDataFrame(ext, "candidate_id string, role_no int, title string, company string, start string, end string")
+    same = lambda a, b: SequenceMatcher(None, a.strip().lower(), b.lower()).ratio()
+    want = {}
+    for _, no, _, company in ours:
+        best = max(((same(company, n), -i) for i, n in enumerate(names) if n is not None), default=None)
+        if best[0] >= 0.6:
+            want[no] = (-best[1], best[0])
+    got = {r.role_no: (r.ext_no, r.employer_ratio) for r in consistency.best_employer(roles, external).collect()}
+    assert got == want and set(want) >= {0, 2}
+    met = consistency.employer_pairs(roles, external)
+    reached = {(r.role_no, r.ext_no) for r in met.collect()}
+    assert len(reached) < 0.4 * 3 * len(names)
+    assert all((no, i) in reached for _, no, _, c in ours for i, n in enumerate(names) if n is not None and same(c, n) >= 0.6)
+
+    texts = ["", "a", "aab", "baa", "abc d", "Zürich", "zürich", *[n for n in names[:60] if n]]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    for r in pairs.select("a", "b", most_ratio(letters(pairs.a), letters(pairs.b)).alias("most"), ratio_from(pairs.a, pairs.b, 0.6).alias("r")).collect():
+        true = SequenceMatcher(None, r.a, r.b).ratio()
+        assert r.most >= true and (r.r == true or r.r is None and true < 0.6), (r, true)
