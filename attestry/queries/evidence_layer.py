@@ -563,8 +563,9 @@ def judge_metric(t):
         F.concat(F.lit("Cut deploy time by "), F.col("l_quantity").cast("int"), F.lit(" percent")).alias("text"),
         F.concat(F.lit("A tool. Reduced deploy time by "), "p_size", F.lit(" percent. Used by 5 users.")).alias("readme"),
     )
-    # claims, repositories and accounts all come from these rows: they are made once
-    rows = cut_lineage(rows)
+    # claims, repositories and accounts all come from these rows: they are made once, and lie
+    # spread by their key, as the table may be a single row group and the figures are text work
+    rows = cut_lineage(rows.repartition("candidate_id"))
     claims = rows.select("candidate_id", F.lit(1).alias("claim_no"), "text")
     repos = rows.select(
         "candidate_id", F.lit("r").alias("name"), F.lit(False).alias("fork"), F.lit(True).alias("authored"),
