@@ -83,12 +83,14 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
 
     The place is `main` inside an article or main element, `open` elsewhere in the body, and
     `out` where markup says that it is no main text.  Text is decoded, its white space is one
-    space.  Tags that are not closed end where their parent, a sibling or the page ends.
+    space.  Tags that are not closed end where their parent, a sibling or the page ends.  An
+    element inside a line that is no main text (hidden words, an advert, a share link) leaves its
+    words out and the block whole.
     """
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
     pieces: list[str] = []
-    skipped = main = 0
+    skipped = main = hushed = 0
 
     def flush() -> None:
         if pieces:
@@ -98,19 +100,22 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                 out.append((text, "out" if skipped else "main" if main else "open"))
 
     def close(upto: int) -> None:
-        nonlocal skipped, main
+        nonlocal skipped, main, hushed
         while len(stack) > upto:
-            name, bad = stack.pop()
-            skipped -= bad
+            name, bad, inline = stack.pop()
+            hushed -= inline
+            skipped -= bad and not inline
             main -= name in MAIN and not bad
 
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
         if m is None:
-            pieces.append(page[at:])
+            if not hushed:
+                pieces.append(page[at:])
             break
-        pieces.append(page[at : m.start()])
+        if not hushed:
+            pieces.append(page[at : m.start()])
         at = m.end() if m.end() > m.start() else m.start() + 1
         if m[2] is None:
             continue
@@ -131,7 +136,8 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             continue
         holds = name in HOLDERS or name in MAIN and not main
         bad = name in SKIPPED or _named(m[3], name if holds else "")
-        if name in BLOCKS or bad:
+        inline = bad and name not in SKIPPED and name not in BLOCKS
+        if name in BLOCKS or bad and not inline:
             flush()
         if name in ENDS_P:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
@@ -145,8 +151,9 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                     close(k)
         if name in VOID or m[3].endswith("/"):
             continue
-        stack.append((name, bad))
-        skipped += bad
+        stack.append((name, bad, inline))
+        hushed += inline
+        skipped += bad and not inline
         main += name in MAIN and not bad
     flush()
     return out

@@ -294,6 +294,22 @@ def test_layout_names_of_a_page_hide_nothing():
     assert place("<body hidden>text</body>") == {"text": "out"}
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('Hi <span style="display:none">LEAK</span> there', "Hi there"),
+        ('Hi <span class="ad">BUY <b>NOW</b></span> there', "Hi there"),
+        ('Hi<a class="share" href="#">Share</a> there', "Hi there"),
+        ('one<span hidden>x</span>word <i>kept</i>', "oneword kept"),
+        ('Hi <span class="ad">not closed', "Hi"),
+        ('<span class="ad"><br>a</span>b', "b"),
+    ],
+)
+def test_words_hidden_inside_a_line(inner, text):
+    page = f"<html><body><article><p>{inner}</p><p>Next.</p></article></body></html>"
+    assert [t for t, place in blocks_of(page) if place == "main"] == [text, "Next."]
+
+
 def test_main_text(spark):
     def plain(host, k):
         menu = "Home News About us Contact and more of the same on every page"
