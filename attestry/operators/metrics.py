@@ -6,11 +6,12 @@ before it is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from attestry import lexicons as L
 from attestry.functions.limits import first_chars, first_rows
@@ -203,11 +204,8 @@ def _normal_quantile(u: np.ndarray) -> np.ndarray:
     return np.where(u < 0.5, -1, 1) * (t - top / low)
 
 
-@F.pandas_udf(LongType())
-def poisson_draw(seed: pd.Series, mean: pd.Series) -> pd.Series:
-    """One Poisson(mean) draw per row, a pure function of the row's seed."""
-    u = ((seed.to_numpy("int64").view("uint64") >> np.uint64(11)) + 0.5) / float(1 << 53)
-    lam = mean.to_numpy("float64")
+def _poisson(u: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """The Poisson(lam) quantiles of uniform values, element by element."""
     z = _normal_quantile(u)
     out = np.maximum(np.round(lam + np.sqrt(lam) * z + (z * z - 1) / 6), 0)
     small = lam <= 64
@@ -224,7 +222,48 @@ def poisson_draw(seed: pd.Series, mean: pd.Series) -> pd.Series:
             k = np.where(open_, k + 1, k)
             open_ = open_ & (acc < us)
         out[small] = k
-    return pd.Series(out.astype("int64"))
+    return out
+
+
+def _uniform(seeds: np.ndarray, reps: int) -> np.ndarray:
+    """A value in (0, 1) for each seed and replica, a pure function of both."""
+    x = seeds.view(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)) + 0.5) / float(1 << 53)
+
+
+DRAWN_AT_ONCE = 1 << 18  # weights
+GROUPS_AT_ONCE = 500
+
+
+def _replica_sums(reps: int):
+    """Of each group in a task the weighted sums of all replicas, as two arrays."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+
+        def told() -> pd.DataFrame:
+            done = pd.DataFrame({"k": list(sums), "a": [x[0] for x in sums.values()], "b": [x[1] for x in sums.values()]})
+            sums.clear()
+            return done
+
+        rows = max(1, DRAWN_AT_ONCE // reps)
+        for frame in frames:
+            for k, part in frame.groupby("k", sort=False):
+                total = sums.setdefault(k, np.zeros((2, reps)))
+                pair = part[["num", "den"]].to_numpy("float64").T
+                seeds, counts = part["h"].to_numpy("int64"), part["n"].to_numpy("float64")
+                for at in range(0, len(part), rows):
+                    u = _uniform(seeds[at : at + rows], reps)
+                    lam = np.repeat(counts[at : at + rows], reps)
+                    total += pair[:, at : at + rows] @ _poisson(u.ravel(), lam).reshape(u.shape)
+                if len(sums) >= GROUPS_AT_ONCE:
+                    yield told()
+        if sums:
+            yield told()
+
+    return fold
 
 
 def bootstrap_ci(
@@ -234,8 +273,9 @@ def bootstrap_ci(
     """Percentile interval of sum(numerator) / sum(denominator) over resampled units.
 
     Resampling with independent Poisson(1) weights; units that look alike are drawn together
-    (n of them have a Poisson(n) weight in total), so the work grows with the distinct pairs
-    and not with units × reps.
+    (n of them have a Poisson(n) weight in total).  A task adds up the weighted sums of all
+    replicas as one vector for each group; only these vectors cross a shuffle, so neither memory
+    nor rows grow with units × replicas, whether values repeat or not.
     """
     if not by:
         whole = bootstrap_ci(
@@ -243,23 +283,19 @@ def bootstrap_ci(
             reps=reps, seed=seed, low=low, high=high,
         )
         return whole.drop("_all")
-    alike = units.groupBy(*by, numerator, denominator).agg(F.count(F.lit(1)).alias("_n"))
-    drawn = alike.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
-        "_w",
-        poisson_draw(
-            F.xxhash64(F.lit(seed), *by, numerator, denominator, "rep"), F.col("_n").cast("double")
-        ),
-    )
+    # one text for a group's key, so that nulls and types survive the way through Python
+    key = F.to_json(F.struct(*by)).alias("k")
+    num, den = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(x) for c, x in ((numerator, "num"), (denominator, "den")))
+    alike = units.select(key, num, den).groupBy("k", "num", "den").agg(F.count(F.lit(1)).alias("n"))
+    seeded = alike.withColumn("h", F.xxhash64(F.lit(seed), "k", "num", "den"))
+    sums = seeded.mapInPandas(_replica_sums(reps), "k string, a array<double>, b array<double>")
     stats = (
-        drawn.groupBy(*by, "rep")
-        .agg(
-            F.sum(F.col("_w") * F.col(numerator)).alias("_a"),
-            F.sum(F.col("_w") * F.col(denominator)).alias("_b"),
-        )
-        .where("_b > 0")
-        .withColumn("_s", F.col("_a") / F.col("_b"))
+        sums.select("k", F.posexplode(F.arrays_zip("a", "b")).alias("rep", "s"))
+        .groupBy("k", "rep")
+        .agg(F.sum("s.a").alias("a"), F.sum("s.b").alias("b"))
+        .where("b > 0")
     )
-    ordered = stats.groupBy(*by).agg(F.array_sort(F.collect_list("_s")).alias("_v"))
+    ordered = stats.groupBy("k").agg(F.array_sort(F.collect_list(F.col("a") / F.col("b"))).alias("_v"))
 
     def at(q: float) -> Column:
         return F.get("_v", round_even((F.size("_v") - 1) * F.lit(q), 0).cast("int"))
@@ -268,8 +304,8 @@ def bootstrap_ci(
         ratio_of(F.sum(numerator), F.sum(denominator)).alias("value"),
         F.count(F.lit(1)).alias("n_units"),
     )
-    intervals = ordered.select(*by, at(low).alias("lo"), at(high).alias("hi"))
-    return point.join(intervals, by, "left")
+    intervals = ordered.select(F.col("k").alias("_key"), at(low).alias("lo"), at(high).alias("hi"))
+    return point.withColumn("_key", key).join(intervals, "_key", "left").drop("_key")
 
 
 # --- detection, fairness, errors ----------------------------------------------------------

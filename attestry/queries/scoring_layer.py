@@ -607,22 +607,16 @@ def transfer_factors(t):
 
 
 @query("""
-    WITH e AS (SELECT l_suppkey % 40 AS target, l_partkey % 40 AS source, min(l_discount) AS overlap, max(l_tax) AS proximity, min(l_quantity) / 50 AS curve
-               FROM lineitem WHERE l_discount = 0.1 AND l_quantity > 49 GROUP BY 1, 2),
+    WITH e AS (SELECT l_suppkey AS target, l_partkey AS source, min(l_discount) AS overlap, max(l_tax) AS proximity, min(l_quantity) / 50 AS curve
+               FROM lineitem GROUP BY 1, 2),
     b AS (SELECT source AS target, target AS source, overlap, proximity, least(1.0, curve + 0.1) AS curve FROM e)
     SELECT target, source, round(overlap, 4) AS overlap, round(proximity, 4) AS proximity, round(curve, 4) AS curve FROM e
     UNION ALL SELECT target, source, round(overlap, 4), round(proximity, 4), round(curve, 4) FROM b WHERE (target, source) NOT IN (SELECT (target, source) FROM e)""")
 def load_dims(t):
-    edges = (
-        t.lineitem.where("l_discount = 0.1 AND l_quantity > 49")
-        .groupBy(
-            (F.col("l_suppkey") % 40).alias("target"), (F.col("l_partkey") % 40).alias("source")
-        )
-        .agg(
-            F.min("l_discount").alias("overlap"),
-            F.max("l_tax").alias("proximity"),
-            (F.min("l_quantity") / 50).alias("curve"),
-        )
+    edges = t.lineitem.groupBy(F.col("l_suppkey").alias("target"), F.col("l_partkey").alias("source")).agg(
+        F.min("l_discount").alias("overlap"),
+        F.max("l_tax").alias("proximity"),
+        (F.min("l_quantity") / 50).alias("curve"),
     )
     s = dims.symmetric(edges)
     return s.select(

@@ -281,13 +281,40 @@ def test_bootstrap_interval_is_repeatable_and_sane(spark):
     assert first.lo < 0.2 < first.hi and 0.04 < first.hi - first.lo < 0.11
 
 
-def test_poisson_draws_have_the_right_moments(spark):
+def test_poisson_draws_have_the_right_moments():
+    import numpy as np
+
     for mean in (0.7, 9.0, 400.0):
-        df = spark.range(20000).select(
-            metrics.poisson_draw(F.xxhash64("id"), F.lit(mean)).alias("w")
-        )
-        m, v = df.select(F.avg("w"), F.var_samp("w")).first()
-        assert m == pytest.approx(mean, rel=0.03) and v == pytest.approx(mean, rel=0.06)
+        # seeds that follow one another must not show in the draws
+        u = metrics._uniform(np.arange(200, dtype=np.int64), 400)
+        w = metrics._poisson(u.ravel(), np.full(u.size, mean))
+        assert w.mean() == pytest.approx(mean, rel=0.02) and w.var() == pytest.approx(mean, rel=0.04)
+        assert abs(np.corrcoef(u[:-1].ravel(), u[1:].ravel())[0, 1]) < 0.02
+
+
+def test_bootstrap_of_continuous_values_by_groups(spark):
+    """Values that never repeat, a null group and null values; few rows cross, however many units."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.gauss(10, 2), rng.uniform(1, 3)) for _ in range(3000)] + [("a", None, 1.0), ("none", 1.0, 0.0)]
+    units = spark.createDataFrame(rows, "k string, x double, y double").repartition(6)
+    out = {r.k: r for r in metrics.bootstrap_ci(units, "x", "y", ["k"], reps=300).collect()}
+    assert set(out) == {"a", "b", None, "none"} and out["none"].value is None and out["none"].lo is None
+    for k in ("b", None):
+        mine = [(x, y) for g, x, y in rows if g == k]
+        n, value = len(mine), sum(x for x, _ in mine) / sum(y for _, y in mine)
+        mean_y = sum(y for _, y in mine) / n
+        spread = (sum((x - value * y) ** 2 for x, y in mine) / n) ** 0.5 / mean_y / n**0.5
+        assert out[k].value == pytest.approx(value) and out[k].lo < value < out[k].hi
+        assert 0.75 < (out[k].hi - out[k].lo) / (3.92 * spread) < 1.3
+    # a task tells one row for each group, not one for each replica
+    fold = metrics._replica_sums(50)
+    import numpy as np
+    import pandas as pd
+
+    frame = pd.DataFrame({"k": ["x", "y"] * 500, "num": np.arange(1000.0), "den": 1.0, "n": 1, "h": np.arange(1000)})
+    told = pd.concat(list(fold(iter([frame, frame]))))
+    assert len(told) == 2 and all(len(a) == 50 for a in told["a"])
+
 
 
 def test_weighted_factors_add_up_exactly(one):
