@@ -248,15 +248,57 @@ def worst_errors(t):
     return out.select("o_orderkey", F.round("distance", 6).alias("distance"))
 
 
-@query("""
-    WITH u AS (SELECT o_orderkey, o_orderkey % 6 AS gt, o_custkey % 6 AS st, o_totalprice > 60000 AS found FROM orders),
+_RUNS = {
+    # wording: (flagged, reliability)
+    "primary": ("c_acctbal > 5000", "0.5"),
+    "nonnative": ("c_acctbal > 4500", "0.5"),
+    "private": ("c_acctbal > 5300", "0.5"),
+    "p3": ("c_acctbal > 5000", "0.5 + c_nationkey / 1000"),
+    "nameswap": ("c_acctbal > 5000", "CASE WHEN c_acctbal > 9500 THEN 0.4 ELSE 0.5 END"),
+    "repeat": ("c_acctbal > 5000", "0.5"),
+}
+_GAP = "SELECT '{name}', abs({what}), count(*), {target} FROM pairs WHERE variant = '{variant}'"
+_GAPS = " UNION ALL ".join(
+    _GAP.format(name=name, what=what, variant=variant, target=target)
+    for name, what, variant, target in (
+        ("fairness gap, second wording (pp)", "(avg(fb) - avg(fa)) * 100", "nonnative", "-5.0"),
+        ("fairness gap, private work (pp)", "(avg(fb) - avg(fa)) * 100", "private", "-5.0"),
+        ("mean reliability change after truthful rewording", "avg(sb - sa)", "p3", "-0.05"),
+        ("name-swap invariance", "avg((fa = fb AND sa = sb)::INT)", "nameswap", "1.0"),
+        ("determinism", "avg((fa = fb AND sa = sb)::INT)", "repeat", "1.0"),
+    )
+)
+_RUN_ROWS = " UNION ALL ".join(
+    f"SELECT c_custkey, '{v}' AS variant, ({flagged})::INT AS flagged, ({rel})::DOUBLE AS reliability FROM customer"
+    for v, (flagged, rel) in _RUNS.items()
+)
+
+
+# a target below zero is one that the value must stay under
+@query(f"""
+    WITH u AS (SELECT o_orderkey, o_orderkey % 6 AS gt, o_custkey % 6 AS st, o_custkey AS who, o_totalprice > 60000 AS found,
+               0.05::DOUBLE + (o_orderkey % 10) / 10.0::DOUBLE AS conf FROM orders),
     m AS (SELECT gt, st, count(*) AS n FROM u WHERE found GROUP BY 1, 2),
-    c AS (SELECT c_custkey, c_custkey % 3 = 0 AS genuine, c_acctbal > 5000 AS flagged FROM customer)
-    SELECT 'claim extraction F1' AS metric, round((SELECT 2 * count(CASE WHEN found THEN 1 END) / (count(*) + count(CASE WHEN found THEN 1 END)) FROM u), 6) AS value
-    UNION ALL SELECT 'claim status accuracy', round((SELECT sum(CASE WHEN gt = st THEN n ELSE 0 END) / sum(n) FROM m), 6)
-    UNION ALL SELECT 'claim status macro-F1', round((SELECT avg(2 * tp / (2 * tp + w)) FROM (SELECT l, sum(CASE WHEN gt = l AND st = l THEN n ELSE 0 END) AS tp,
-               sum(CASE WHEN gt <> st AND (gt = l OR st = l) THEN n ELSE 0 END) AS w FROM m, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS l) GROUP BY l)), 6)
-    UNION ALL SELECT 'false-accusation rate', round((SELECT avg(flagged::INT) FROM c WHERE genuine), 6)""")
+    f AS (SELECT l, sum(CASE WHEN gt = l AND st = l THEN n ELSE 0 END) AS tp, sum(CASE WHEN gt <> st AND (gt = l OR st = l) THEN n ELSE 0 END) AS w
+          FROM m, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS l) GROUP BY l),
+    bins AS (SELECT least(9, floor(conf * 10)) AS bin, count(*) AS n, avg(conf) AS c, avg((gt = st)::INT) AS a FROM u WHERE found AND st <> 5 GROUP BY 1),
+    c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'genuine' WHEN 1 THEN 'P1' ELSE 'P6' END AS kind, c_acctbal FROM customer),
+    r AS (SELECT kind, c_acctbal / 10000 AS s FROM c WHERE kind <> 'P6'),
+    k AS (SELECT kind, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM r),
+    g AS (SELECT sum(CASE WHEN kind = 'genuine' THEN rk END) AS rp, count(CASE WHEN kind = 'genuine' THEN 1 END) AS np, count(CASE WHEN kind <> 'genuine' THEN 1 END) AS nn FROM k),
+    runs AS ({_RUN_ROWS}),
+    pairs AS (SELECT b.variant, a.flagged AS fa, b.flagged AS fb, a.reliability AS sa, b.reliability AS sb
+              FROM runs a JOIN runs b ON a.c_custkey = b.c_custkey AND a.variant = 'primary' AND b.variant <> 'primary' JOIN c ON c.c_custkey = a.c_custkey AND c.kind = 'genuine'),
+    rows AS (
+    SELECT 'claim extraction F1' AS metric, 2 * count(CASE WHEN found THEN 1 END) / (count(*) + count(CASE WHEN found THEN 1 END)) AS value, count(DISTINCT who) AS n, 0.85 AS target FROM u
+    UNION ALL SELECT 'claim status macro-F1', avg(2 * tp / (2 * tp + w)), 6, 0.75 FROM f
+    UNION ALL SELECT 'claim status accuracy', sum(CASE WHEN gt = st THEN n ELSE 0 END) / sum(n), sum(n), NULL FROM m
+    UNION ALL SELECT 'calibration error, judged claims', sum(n * abs(a - c)) / sum(n), sum(n), -0.10 FROM bins
+    UNION ALL SELECT 'false-accusation rate', avg((c_acctbal > 5000)::INT), count(*), -0.05 FROM c WHERE kind = 'genuine'
+    UNION ALL SELECT 'private work reported as insufficient evidence', avg((c_acctbal < 1000)::INT), count(*), 0.95 FROM c WHERE kind = 'P6'
+    UNION ALL SELECT 'AUROC, genuine against perturbed', (rp - np * (np + 1) / 2.0) / (np * nn), np + nn, 0.85 FROM g
+    UNION ALL {_GAPS})
+    SELECT metric, round(value, 6) AS value, n::BIGINT AS n, CASE WHEN target < 0 THEN value <= -target ELSE value >= target END AS met FROM rows""")
 def evaluate_corpus(t):
     names = F.array(*map(F.lit, _SIX))
     key = F.col("o_custkey").cast("string").alias("candidate_id")
@@ -265,25 +307,30 @@ def evaluate_corpus(t):
         key, F.col("o_orderkey").alias("claim_no"), F.lit("SKILL").alias("type"), claim,
         F.get(names, (F.col("o_orderkey") % 6).cast("int")).alias("gt"),
     )
+    # every claim of a cheap order is missed
     predicted = t.orders.where("o_totalprice > 60000").select(
         key, F.col("o_orderkey").alias("claim_no"), F.lit("SKILL").alias("type"), claim,
-        F.get(names, (F.col("o_custkey") % 6).cast("int")).alias("status"), F.lit(0.7).alias("confidence"),
+        F.get(names, (F.col("o_custkey") % 6).cast("int")).alias("status"),
+        (F.lit(0.05) + F.col("o_orderkey") % 10 / 10.0).alias("confidence"),
     )
     who = F.col("c_custkey").cast("string").alias("candidate_id")
-    genuine = F.col("c_custkey") % 3 == 0
-    candidates = t.customer.select(
-        who, genuine.alias("genuine"), F.when(genuine, "genuine").otherwise("P1").alias("kind")
+    kinds = F.array(*map(F.lit, ("genuine", "P1", "P6")))
+    kind = F.get(kinds, (F.col("c_custkey") % 3).cast("int"))
+    candidates = t.customer.select(who, (kind == "genuine").alias("genuine"), kind.alias("kind"))
+    renderings = F.array(
+        *[
+            F.struct(F.lit(v).alias("variant"), F.expr(flagged).alias("flagged"), F.expr(rel).cast("double").alias("reliability"))
+            for v, (flagged, rel) in _RUNS.items()
+        ]
     )
-    runs = t.customer.select(
-        who, F.lit("primary").alias("variant"),
-        F.when(F.col("c_acctbal") > 5000, "NEEDS_VERIFICATION").otherwise("MODERATE").alias("band"),
-        (F.col("c_acctbal") / 10000).alias("authenticity"), F.lit(0.5).alias("reliability"),
+    runs = t.customer.select(who, "c_acctbal", F.explode(renderings).alias("r")).select(
+        "candidate_id", "r.variant",
+        F.when(F.col("r.flagged"), "NEEDS_VERIFICATION").when(F.col("c_acctbal") < 1000, "INSUFFICIENT_EVIDENCE")
+        .otherwise("MODERATE").alias("band"),
+        (F.col("c_acctbal") / 10000).alias("authenticity"), "r.reliability",
     )
     rows = evaluate(predicted, truth, candidates, runs, reps=200)
-    wanted = (
-        "claim extraction F1", "claim status accuracy", "claim status macro-F1", "false-accusation rate",
-    )
-    return rows.where(F.col("metric").isin(*wanted)).select("metric", F.round("value", 6).alias("value"))
+    return rows.select("metric", F.round("value", 6).alias("value"), "n", "met")
 
 
 # --- ledger -------------------------------------------------------------------------------
