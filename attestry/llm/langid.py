@@ -18,12 +18,15 @@ UNKNOWN = "und"
 # The model is fitted on at most so many labelled rows of each language, chosen by a hash of
 # the text.  It bounds the model's size; counts are of whole texts.
 ROWS_PER_LANGUAGE = 400
+TASK_GROUPS = 256
 LONGEST = 5
 LEAST_COUNT = 2
 SMOOTHING = 0.05
 # more words than this add no further certainty to a score
 CERTAIN_WORDS = 40
 CACHE = 100_000
+# so many different words of texts, or one longer text, are looked up together
+WORDS_AT_ONCE = 1 << 15
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -91,65 +94,118 @@ class Model:
             tables[n] = np.log((table + smoothing) / total).astype(np.float32)
         return Model(langs, levels, tables)
 
-    def unseen(self, word: str) -> np.ndarray | None:
-        """The mean log frequency of the longest n-grams of which any is known."""
-        for n in sorted((k for k in self.levels if k > 0), reverse=True):
-            units = self.levels[n]
-            known = [units[g] for g in grams_of(word, n) if g in units]
-            if known:
-                return self.tables[n][known].mean(axis=0)
-        return None
-
-
-def _judge(model: Model, texts: list[str | None], cache: dict) -> tuple[list[str], list[float]]:
-    """`cache` keeps unseen words' figures from one batch to the next."""
-    words0 = model.levels.get(0, {})
-    table = model.tables.get(0)
-    labels, scores = [], []
-    for text in texts:
-        words = words_of(text) if text else {}
-        if not words or not model.langs:
-            labels.append(UNKNOWN)
-            scores.append(0.0)
+    def unseen(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the mean log frequency of the longest n-grams of which any is known,
+        and whether there are any."""
+        levels = sorted((n for n in self.levels if n > 0), reverse=True)
+        found: dict[int, tuple[list[int], list[int], list[int]]] = {n: ([], [], []) for n in levels}
+        for k, word in enumerate(words):
+            for n in levels:
+                units = self.levels[n]
+                known = [units[g] for g in grams_of(word, n) if g in units]
+                if known:
+                    rows, starts, grams = found[n]
+                    rows.append(k)
+                    starts.append(len(grams))
+                    grams += known
+                    break
+        mean, any_known = np.zeros((len(words), len(self.langs))), np.zeros(len(words), bool)
+        for n, (rows, starts, grams) in found.items():
+            if rows:
+                size = np.diff(starts, append=len(grams))[:, None]
+                mean[rows] = np.add.reduceat(self.tables[n][grams], starts, axis=0, dtype=np.float64) / size
+                any_known[rows] = True
+        return mean, any_known
+
+
+class Figures:
+    """The figures of words by language; those of unseen words are kept from batch to batch."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.words = model.levels.get(0, {})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.mean, self.known = np.zeros((0, len(self.model.langs))), np.zeros(0, bool)
+
+    def sums(self, bags: list[Counter]) -> tuple[np.ndarray, np.ndarray]:
+        """For each bag, none empty, the sum of its words' figures and how many words have any."""
+        times = np.concatenate([np.fromiter(bag.values(), np.float64, len(bag)) for bag in bags])
+        words = [w for bag in bags for w in bag]
+        places = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        figures = np.zeros((len(words), len(self.model.langs)))
+        seen = places >= 0
+        if 0 in self.model.tables:
+            figures[seen] = self.model.tables[0][places[seen]]
+        rest = np.flatnonzero(~seen)
+        if len(rest):
+            others = [words[k] for k in rest]
+            fresh = [w for w in dict.fromkeys(others) if w not in self.at]
+            if len(self.at) + len(fresh) > CACHE:
+                self._forget()
+                fresh = list(dict.fromkeys(others))
+            if fresh:
+                mean, known = self.model.unseen(fresh)
+                self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
+                self.mean, self.known = np.concatenate([self.mean, mean]), np.concatenate([self.known, known])
+            index = np.fromiter((self.at[w] for w in others), np.int64, len(others))
+            figures[rest] = self.mean[index]
+            seen[rest] = self.known[index]
+        starts = np.cumsum([0, *(len(bag) for bag in bags[:-1])])
+        figures *= times[:, None]
+        return np.add.reduceat(figures, starts, axis=0), np.add.reduceat(np.where(seen, times, 0), starts)
+
+
+def _judge(figures: Figures, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    langs = figures.model.langs
+    labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+
+    def settle(rows: list[int], bags: list[Counter]) -> None:
+        total, seen = figures.sums(bags)
+        total *= (np.minimum(seen, CERTAIN_WORDS) / np.maximum(seen, 1))[:, None]
+        chance = np.exp(total - total.max(axis=1, keepdims=True))
+        chance /= chance.sum(axis=1, keepdims=True)
+        best = chance.argmax(axis=1)
+        for row, k, score in zip(rows, best.tolist(), chance.max(axis=1).tolist(), strict=True):
+            labels[row], scores[row] = langs[k], score
+
+    rows, bags, size = [], [], 0
+    for row, text in enumerate(texts):
+        words = words_of(text) if text and langs else None
+        if not words:
             continue
-        known, times, total, seen = [], [], np.zeros(len(model.langs)), 0
-        for word, count in words.items():
-            at = words0.get(word)
-            if at is not None:
-                known.append(at)
-                times.append(count)
-                continue
-            if word not in cache:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[word] = model.unseen(word)
-            if cache[word] is not None:
-                total += count * cache[word]
-                seen += count
-        if known:
-            total += np.array(times, np.float64) @ table[known]
-            seen += sum(times)
-        if seen:
-            total *= min(seen, CERTAIN_WORDS) / seen
-        chance = np.exp(total - total.max())
-        chance /= chance.sum()
-        best = int(chance.argmax())
-        labels.append(model.langs[best])
-        scores.append(float(chance[best]))
+        rows.append(row)
+        bags.append(words)
+        size += len(words)
+        if size >= WORDS_AT_ONCE:
+            settle(rows, bags)
+            rows, bags, size = [], [], 0
+    if rows:
+        settle(rows, bags)
     return labels, scores
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Learn from at most `rows` texts of each language, drawn by a hash of the text.
+    """Learn from at most `rows` different texts of each language, those of the lowest hashes.
 
-    Rows without text or language teach nothing; without any rows the model knows nothing.
+    Rows without text or language teach nothing, and texts that repeat in a language teach
+    once; without any rows the model knows nothing.  A language's hashes are ranked by groups
+    of tasks first; texts move only when the bound of their language is known.
     """
     some = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    some = some.where("lang IS NOT NULL AND text IS NOT NULL")
-    # every task keeps its own first rows before anything is shuffled
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    some = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
-    some = some.select("lang", "text").repartition(F.xxhash64("text"))
+    some = some.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
+    # every task keeps its own lowest hashes before anything is shuffled
+    lowest = some.select("lang", "hash", (F.spark_partition_id() % TASK_GROUPS).alias("tasks"))
+    for groups in (["lang", "tasks"], ["lang"]):
+        order = Window.partitionBy(*groups).orderBy("hash")
+        lowest = lowest.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= rows)
+        lowest = lowest.select("lang", "hash", *groups[1:]).distinct()
+    bound = lowest.groupBy("lang").agg(F.max("hash").alias("bound"))
+    some = some.join(bound, "lang").where("hash <= bound")
+    some = some.groupBy("lang", "hash").agg(F.any_value("text").alias("text"))
+    some = some.repartition("lang", "hash").select("lang", "text")
     counts = some.mapInArrow(_counts(LONGEST), "lang string, n int, unit string, count bigint")
     counts = counts.groupBy("lang", "n", "unit").agg(F.sum("count").alias("count"))
     total = Window.partitionBy("n", "unit")
@@ -170,11 +226,13 @@ def language(model: Model, text: Column, docs: DataFrame) -> Column:
     # plain values: the class itself travels with the function
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.levels, model.tables))
 
-    cache: dict[str, np.ndarray | None] = {}
+    kept: list[Figures] = []
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def judge(texts: pa.Array) -> pa.Array:
-        labels, scores = _judge(Model(*shared.value), texts.to_pylist(), cache)
+        if not kept:
+            kept.append(Figures(Model(*shared.value)))
+        labels, scores = _judge(kept[0], texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return judge(text.cast("string"))

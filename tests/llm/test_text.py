@@ -5,6 +5,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import math
 import random
 import re
 import urllib.parse
@@ -17,7 +18,7 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attestry.llm.langid import UNKNOWN, identify
+from attestry.llm.langid import UNKNOWN, fit, grams_of, held_out, identify, words_of
 from attestry.llm.leaks import item_parts, leaked_items
 from attestry.llm.mixing import mix_to_targets, rake
 from attestry.llm.pages import blocks_of, main_text
@@ -188,6 +189,47 @@ def test_language_edges(spark):
     assert {(r.language.lang, r.language.score) for r in unlabelled} == {(UNKNOWN, 0.0)}
 
 
+def language_by_hand(model, text):
+    """Word by word: known words, else the longest n-grams of which any is known."""
+    total, seen = [0.0] * len(model.langs), 0
+    for word, count in words_of(text or "").items():
+        rows = []
+        if word in model.levels[0]:
+            rows = [model.tables[0][model.levels[0][word]]]
+        for n in range(5, 0, -1):
+            rows = rows or [model.tables[n][model.levels[n][g]] for g in grams_of(word, n) if g in model.levels[n]]
+        if rows:
+            seen += count
+            total = [t + count * sum(float(r[k]) for r in rows) / len(rows) for k, t in enumerate(total)]
+    if not words_of(text or ""):
+        return UNKNOWN, 0.0
+    total = [t * min(seen, 40) / max(seen, 1) for t in total]
+    chance = [math.exp(t - max(total)) for t in total]
+    best = chance.index(max(chance))
+    return model.langs[best], chance[best] / sum(chance)
+
+
+@pytest.mark.skipif(not Path(ROOT).exists(), reason="no test tables")
+def test_language_word_by_word(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").select("doc_id", "text", "lang")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    for r in identify(docs).collect():
+        lang, score = language_by_hand(model, r.text)
+        assert r.language.lang == lang and r.language.score == pytest.approx(score, abs=1e-6)
+
+
+def test_language_model_learns_each_text_once(spark):
+    rows = [("en", "copied words")] * 300 + [("en", f"other words {chr(97 + k)}") for k in range(20)] + [("de", "worte")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(7)
+    whole = fit(df, rows=400)
+    assert whole.langs == ["de", "en"]
+    alone = fit(df.distinct(), rows=400)
+    assert set(whole.levels[0]) == set(alone.levels[0]) and "copied" not in whole.levels[0]
+    # of fewer rows than there are, the same whatever the partitions
+    few = [fit(df.repartition(n), rows=5) for n in (1, 9)]
+    assert few[0].levels.keys() == few[1].levels.keys() and set(few[0].levels[3]) == set(few[1].levels[3])
+
+
 # --- leaks --------------------------------------------------------------------------------
 
 
