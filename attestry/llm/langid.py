@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.columns import bounded_batches
+from attestry.session import cut_lineage
 
 UNKNOWN = "und"
 # The model is fitted on at most so many labelled rows of each language, chosen by a hash of
@@ -202,7 +203,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
         order = Window.partitionBy(*groups).orderBy("hash")
         lowest = lowest.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= rows)
         lowest = lowest.select("lang", "hash", *groups[1:]).distinct()
-    bound = lowest.groupBy("lang").agg(F.max("hash").alias("bound"))
+    # a table of one row a language: its size is known before the texts are planned
+    bound = cut_lineage(lowest.groupBy("lang").agg(F.max("hash").alias("bound")))
     some = some.join(bound, "lang").where("hash <= bound")
     some = some.groupBy("lang", "hash").agg(F.any_value("text").alias("text"))
     some = some.repartition("lang", "hash").select("lang", "text")
