@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,11 @@ EDITS = 2
 # a line may differ by one character for each so many of its own
 CHARS_PER_EDIT = 20
 SLICE_CHARS = 1 << 18
+# lines that still share a segment across components are cut into so many more segments than
+# edits, all of which must match
+MATCHING = 3
+# beyond these edits a line has too many ways to hold them
+FINER_EDITS = 3
 
 
 def allowed_edits(length: np.ndarray, edits: int, per_edit: int) -> np.ndarray:
@@ -60,6 +66,16 @@ def cuts(length: np.ndarray, tau: int, i: int) -> tuple[np.ndarray, np.ndarray]:
     return i * size + np.maximum(0, i - plain), size + (i >= plain)
 
 
+def shifts(diff: int, tau: int, n: int = MATCHING) -> list[tuple[int, ...]]:
+    """How far n equal segments of a line can lie further on in one that is `diff` longer,
+    where tau edits are allowed: every change of the shift costs its size."""
+    steps = range(-tau, tau + 1)
+    paths = [((), 0, 0)]
+    for _ in range(n):
+        paths = [((*p, s), s, cost + abs(s - last)) for p, last, cost in paths for s in steps if cost + abs(s - last) <= tau]
+    return [p for p, last, cost in paths if cost + abs(diff - last) <= tau]
+
+
 class Lines:
     """The lines of some texts as code points, with their hashes."""
 
@@ -132,6 +148,34 @@ class Lines:
                         yield chosen, self._key(chosen, (lo + k)[fits], size[fits], short[fits], tau, i)
 
 
+    def combined(self) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(line, key, own) for MATCHING segments at once, of edits + MATCHING a line is cut into.
+
+        As many segments stay whole under that many edits, so two lines that link share a key
+        of which one side is its own.  The other side's key takes substrings at shifted places.
+        """
+        factor = seeded(MATCHING + 1, 2)
+        for diff in range(self.most + 1):
+            other = self.length - diff
+            taus = allowed_edits(other, self.most, self.per_edit)
+            for tau in range(max(1, diff), self.most + 1):
+                lines = np.flatnonzero(taus == tau)
+                n = tau + MATCHING
+                pieces = [cuts(other[lines], n - 1, i) for i in range(n)]
+                for which, chosen in enumerate(combinations(range(n), MATCHING)):
+                    for shift in shifts(diff, tau):
+                        at = [pieces[i][0] + s for i, s in zip(chosen, shift, strict=True)]
+                        size = [pieces[i][1] for i in chosen]
+                        fits = np.ones(len(lines), bool)
+                        for a, b in zip(at, size, strict=True):
+                            fits &= (a >= 0) & (a + b <= self.length[lines])
+                        some = lines[fits]
+                        key = other[some].astype(np.uint64) * factor[0] + np.uint64(1024 * tau + which)
+                        for f, a, b in zip(factor[1:], at, size, strict=True):
+                            key = mix(key) + mix(self.hashes(self.start[some] + a[fits], b[fits])) * f
+                        yield some, signed(mix(key)), diff == 0 and not any(shift)
+
+
 def _line_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
     _, off = text_buffer(batch.column(1))
     for lo, hi in row_slices(np.diff(off), SLICE_CHARS):
@@ -191,6 +235,37 @@ def _texts_of(edits: int, per_edit: int, wanted: Membership):
     return run
 
 
+def _combined_entries(edits: int, per_edit: int, index: Membership | None = None):
+    """A line's own keys, or with the filter of all own keys the others that may be among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, off = text_buffer(batch.column(1))
+            for lo, hi in row_slices(np.diff(off), SLICE_CHARS >> 4):
+                x = Lines(batch.column(1).slice(lo, hi - lo).to_pylist(), edits, per_edit)
+                for line, key, own in x.combined():
+                    if own != (index is None):
+                        continue
+                    hit = np.ones(len(key), bool) if own else index.may_hold(key)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(x.id[line[hit]])], ["key", "id"])
+
+    return run
+
+
+def may_link(left: list[str], right: list[str], edits: np.ndarray) -> np.ndarray:
+    """Whether the characters of each pair, as counts by 64 classes, allow so few edits.
+
+    An edit changes the counts by two at most, so pairs that are left out never link.
+    """
+
+    def counts(texts: list[str]) -> np.ndarray:
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        return np.bincount(row * 64 + (flat & 63), minlength=64 * len(texts)).reshape(-1, 64)
+
+    return np.abs(counts(left) - counts(right)).sum(axis=1) <= 2 * edits
+
+
 def within_edits(left: list[str], right: list[str], edits: np.ndarray) -> np.ndarray:
     """Whether each pair of strings is within its number of edits, many pairs at once.
 
@@ -256,15 +331,29 @@ def _band(longer: list[str], shorter: list[str], tau: int) -> np.ndarray:
 
 
 def _checked(edits: int, per_edit: int):
+    def verified(pairs: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
+        left, right = [p[2] for p in pairs], [p[3] for p in pairs]
+        shorter = np.array([min(len(a), len(b)) for a, b in zip(left, right, strict=True)], np.int64)
+        good = np.flatnonzero(within_edits(left, right, allowed_edits(shorter, edits, per_edit))).tolist()
+        ids = [pa.array([pairs[k][side] for k in good], pa.int64()) for side in (0, 1)]
+        return pa.RecordBatch.from_arrays(ids, ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a step over many pairs costs as much as one over a few
+        waiting, chars = [], 0
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            shorter = np.array([min(len(a), len(b)) for a, b in zip(left, right, strict=True)], np.int64)
-            most = allowed_edits(shorter, edits, per_edit)
-            good = within_edits(left, right, most)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"]
-            )
+            lengths = sum(np.diff(text_buffer(batch.column(c))[1]) for c in (2, 3))
+            for lo, hi in row_slices(lengths, SLICE_CHARS):
+                a, b, left, right = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in range(4))
+                shorter = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
+                for k in np.flatnonzero(may_link(left, right, allowed_edits(shorter, edits, per_edit))).tolist():
+                    waiting.append((a[k], b[k], left[k], right[k]))
+                    chars += len(left[k]) + len(right[k])
+                if chars >= 4 * SLICE_CHARS:
+                    yield verified(waiting)
+                    waiting, chars = [], 0
+        if waiting:
+            yield verified(waiting)
 
     return run
 
@@ -286,7 +375,9 @@ def repeated_lines(
 
     An index holds each line's edits + 1 segments by line length; substrings of a line probe
     it at the starts where a segment of a line up to `edits` shorter can lie.  Pairs that meet
-    are verified with a banded bit-parallel edit distance.  Lines are known by 64-bit hashes
+    are verified with a banded bit-parallel edit distance.  Lines that share a segment with
+    other components to the end are cut into edits + MATCHING segments, of which MATCHING must
+    match at once; above FINER_EDITS edits they meet by single segments.  Lines are known by 64-bit hashes
     while they are joined, and by 128 bits where equal ones are counted as one.
     """
     bounded_batches(docs.sparkSession)
@@ -295,11 +386,12 @@ def repeated_lines(
     )
     lines = "id bigint, second bigint, doc bigint, line bigint, keys array<bigint>"
     rows = cut_lineage(plain.mapInArrow(_line_rows(edits, per_edit), lines))
-    firsts = rows.groupBy("id", "second").agg(F.min(F.struct("doc", "line")).alias("first"))
-    firsts = cut_lineage(firsts)
     # equal lines have equal keys: any one of them speaks for all
-    own = rows.groupBy("id").agg(F.expr("any_value(keys)").alias("keys"))
-    own = own.select("id", F.explode("keys").alias("key")).where("key <> 0")
+    firsts = rows.groupBy("id", "second").agg(
+        F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("times"), F.expr("any_value(keys)").alias("keys")
+    )
+    firsts = cut_lineage(firsts)
+    own = firsts.select("id", F.explode("keys").alias("key")).where("key <> 0")
     lists = cut_lineage(own.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
     index = membership(lists)
     probes = plain.mapInArrow(_probe_entries(edits, per_edit, index), "key bigint, id bigint").distinct()
@@ -310,24 +402,38 @@ def repeated_lines(
     own = own.where(may_hold_column(membership(useful), F.col("key"))).join(useful, "key", "left_semi")
     entries = own.select("key", "id").union(probes).distinct().withColumn("rank", F.lit(0))
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        texts = plain.mapInArrow(_texts_of(edits, per_edit, membership(ids, "id")), "id bigint, text string")
+        return cut_lineage(texts.groupBy("id").agg(F.min("text").alias("text")))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-        wanted = membership(ids, "id")
-        texts = plain.mapInArrow(_texts_of(edits, per_edit, wanted), "id bigint, text string")
-        texts = cut_lineage(texts.groupBy("id").agg(F.min("text").alias("text")))
+        texts = texts_of(cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
         met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
         met = met.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         met = met.where(F.abs(F.length("x") - F.length("y")) <= edits)
         return met.select("a", "b", "x", "y").mapInArrow(_checked(edits, per_edit), "a bigint, b bigint")
 
-    linked = link_groups(entries, verify)
+    def finer(ids: DataFrame) -> DataFrame:
+        ids = cut_lineage(ids)
+        texts, entry = texts_of(ids).join(ids, "id", "left_semi"), "key bigint, id bigint"
+        own = cut_lineage(texts.mapInArrow(_combined_entries(edits, per_edit), entry).distinct())
+        others = texts.mapInArrow(_combined_entries(edits, per_edit, membership(own)), entry).distinct()
+        return own.withColumn("own", F.lit(True)).union(others.withColumn("own", F.lit(False)))
+
+    if edits <= FINER_EDITS:
+        linked = link_groups(entries, verify, finer=finer, possible="x.own OR y.own")
+    else:
+        linked = link_groups(entries, verify)
     known = firsts.join(linked, "id", "left").select(
-        "id", "second", "first", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("tied")
+        "id", "second", "first", "times", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("tied")
     )
     # only components of several lines need a first line of their own
     heads = known.where("tied").groupBy("root").agg(F.min("first").alias("head"))
     known = known.join(heads, "root", "left").select("id", "second", "first", F.coalesce("head", "first").alias("head"))
-    judged = rows.join(known, ["id", "second"])
+    # a line that stands once and links with nothing stays
+    known = cut_lineage(known.where("times > 1 OR tied").select("id", "second", "first", "head"))
+    some = rows.select("id", "second", "doc", "line").where(may_hold_column(membership(known, "id"), F.col("id")))
+    judged = some.join(known, ["id", "second"])
     here = F.struct("doc", "line")
     return judged.where(here != F.col("head")).select("doc", "line", (here == F.col("first")).alias("near"))
 
@@ -337,9 +443,9 @@ def _without():
     def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
         """The lines of each text whose numbers are not listed."""
         kept = []
-        for text, numbers in zip(texts, gone, strict=True):
-            drop = set(numbers.as_py())
-            kept.append("\n".join(x for k, x in enumerate(text.as_py().split("\n")) if k not in drop))
+        for text, numbers in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+            drop = set(numbers)
+            kept.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop))
         return pa.array(kept, pa.string())
 
     return without

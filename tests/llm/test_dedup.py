@@ -126,6 +126,44 @@ def test_probes_meet_a_segment():
         assert any(a[s : s + n] == b[cut[i][0] : cut[i][0] + n] for i, s, n in L.probe_starts(len(a), len(b), tau))
 
 
+def test_lines_that_share_segments_meet_by_three_at_once():
+    """Every pair within its edits has a key in common that is one side's own."""
+    rnd = random.Random(8)
+    for _ in range(1500):
+        n = rnd.choice([20, 21, 39, 40, 41, 47, 90])
+        line = "".join(rnd.choice("ab") if rnd.random() < 0.5 else rnd.choice("cdefgh") for _ in range(n))
+        other = list(line)
+        for _ in range(rnd.randint(0, 2)):
+            at = rnd.randrange(len(other))
+            other[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "z"])
+        other = "".join(other)
+        shorter = min(len(line), len(other))
+        if shorter < 20 or brute.edit_distance(line, other) > min(2, shorter // 20):
+            continue
+        x = L.Lines([line, other], 2, 20)
+        keys = {(k, own): set() for k in (0, 1) for own in (True, False)}
+        for lines, key, own in x.combined():
+            for k, v in zip(lines.tolist(), key.tolist(), strict=True):
+                keys[k, own].add(v)
+        ones, others = (keys[k, True] | keys[k, False] for k in (0, 1))
+        assert keys[0, True] & others or keys[1, True] & ones
+        assert L.may_link([line], [other], np.array([min(2, shorter // 20)])).all()
+
+
+def test_lines_of_a_hot_segment(spark):
+    """Many different lines with a long common start; a few of them within their edits."""
+    rnd = random.Random(3)
+    start = "the quick brown fox jumps over it "
+    docs = {d: start + "".join(rnd.choice("abcdefgh") for _ in range(34)) for d in range(60)}
+    for d in range(60, 75):
+        docs[d] = docs[d - 60][:-2] + "zz"
+    docs |= {d: docs[60][:10] + "?" + docs[60][11:] for d in (75, 76)}
+    want = brute.kept_lines(docs)
+    got = dedup_lines(frame(spark, docs, []), into="found").collect()
+    assert {x.doc_id: (x.found.text, x.found.n_removed, x.found.n_near) for x in got} == want
+    assert sum(x[2] for x in want.values()) >= 2
+
+
 def test_lines(spark):
     rnd = random.Random(3)
     sizes = [10, 19, 20, 21, 39, 40, 41, 60, 80]
