@@ -196,7 +196,10 @@ def _opened(run: str, most: int) -> str | None:
         raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    while (inner := _unpacked(raw, most)) is not None:
+    # an archive may hold itself, or one that holds it
+    seen = {raw}
+    while (inner := _unpacked(raw, most)) is not None and inner not in seen:
+        seen.add(inner)
         raw = inner
     return _readable(raw) or None
 

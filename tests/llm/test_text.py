@@ -18,6 +18,7 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from attestry.llm import secret_scan
 from attestry.llm.langid import UNKNOWN, fit, grams_of, held_out, identify, words_of
 from attestry.llm.leaks import item_parts, leaked_items
 from attestry.llm.mixing import mix_to_targets, rake
@@ -163,6 +164,12 @@ def test_secret_query(spark):
         assert {s[2] for s in spans} <= set(x.spans.split(","))
 
 
+def test_archives_that_unpack_to_each_other_end(monkeypatch):
+    first, second = b"first archive, " * 3, b"second archive, " * 3
+    monkeypatch.setattr(secret_scan, "_unpacked", lambda raw, most: {first: second, second: first}[raw])
+    assert secret_scan._opened(base64.b64encode(first).decode(), 1 << 20) == second.decode()
+
+
 # --- languages ----------------------------------------------------------------------------
 
 
