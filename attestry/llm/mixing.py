@@ -5,7 +5,10 @@ Built from DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.llm.columns import boxed, unboxed
@@ -18,6 +21,8 @@ RATE = 0.5
 SWEEPS = 200
 TOLERANCE = 1e-13
 CELLS_PER_TASK = 100_000
+# a plan of so many sweeps over one partition costs the driver little more than one of one
+SWEEPS_AT_ONCE = 4
 WORD = r"[^ \t\n\r\f\x0B]+"
 NONE = "(none)"
 
@@ -38,13 +43,18 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS, per_task: int = CELLS_PER_TASK) -> DataFrame:
     """`cells` (the margins' columns and tokens) with `weight`: shares that sum to 1.
 
     Iterative proportional fitting: starting from the token shares, each sweep scales the
     weights to the target of one margin after the other.  It ends when a whole sweep changes
     no margin by more than TOLERANCE of its target, or after `sweeps`.  Cells without tokens
-    have weight 0.  Sums are aggregated before the shuffle; cells are never gathered.
+    have weight 0.
+
+    Up to `per_task` cells are one partition, where a margin's sums are windows and
+    SWEEPS_AT_ONCE sweeps one plan without a shuffle.  More cells keep their tasks, and sums
+    are aggregated before they are shuffled; cells are never gathered.  Both give the same
+    weights.
     """
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     goals = {}
@@ -55,22 +65,48 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEE
         # one row: the sum of all
         goals[margin] = cut_lineage(sums.join(F.broadcast(whole)).select(margin, (goal / F.col("whole")).alias("goal")))
     now = cut_lineage(now.where("tokens > 0"))
-    # few cells in one partition need no shuffle at all, many keep their share of tasks
-    parts = 1 + now.count() // CELLS_PER_TASK
-    for _ in range(sweeps):
-        now = now.coalesce(parts)
-        gaps = []
+    parts = 1 + now.count() // per_task
+    own = now.columns
+    if parts == 1:
         for margin in powers:
-            sums = now.groupBy(margin).agg(F.sum("weight").alias("held")).join(goals[margin], margin)
-            sums = sums.select(margin, (F.col("goal") / F.col("held")).alias("factor"))
-            gaps.append(F.abs(F.col(f"f_{margin}") - 1))
-            now = now.join(sums.withColumnRenamed("factor", f"f_{margin}"), margin)
-            now = now.withColumn("weight", F.col("weight") * F.col(f"f_{margin}"))
+            now = now.join(goals[margin].withColumnRenamed("goal", f"g_{margin}"), margin)
+        return _raked(cut_lineage(now), list(powers), sweeps, _by_windows, SWEEPS_AT_ONCE).select(*own)
+    sweep = partial(_by_joins, goals=goals, parts=parts)
+    return _raked(now, list(powers), sweeps, sweep, 1).select(*own)
+
+
+def _raked(now: DataFrame, margins: list[str], sweeps: int, sweep: Callable, at_once: int) -> DataFrame:
+    """Sweeps until the last one changes no margin; `sweep` gives the weights and its factors."""
+    kept, done = now.columns, 0
+    while done < sweeps:
+        for _ in range(min(at_once, sweeps - done)):
+            now = sweep(now.select(*kept), margins)
+            done += 1
         now = cut_lineage(now)
-        gap = now.agg(F.max(F.greatest(*gaps))).first()[0]
-        now = now.select(*powers, "tokens", "weight")
+        gap = now.agg(F.max(F.greatest(F.lit(0.0), *[F.abs(F.col(f"f_{m}") - 1) for m in margins]))).first()[0]
         if gap is None or gap <= TOLERANCE:
             break
+    return now.select(*kept)
+
+
+def _by_windows(now: DataFrame, margins: list[str]) -> DataFrame:
+    """One sweep over cells in one partition, which carry their goals."""
+    now = now.coalesce(1)
+    for margin in margins:
+        held = F.sum("weight").over(Window.partitionBy(margin))
+        now = now.withColumn(f"f_{margin}", F.col(f"g_{margin}") / held)
+        now = now.withColumn("weight", F.col("weight") * F.col(f"f_{margin}"))
+    return now
+
+
+def _by_joins(now: DataFrame, margins: list[str], goals: dict[str, DataFrame], parts: int) -> DataFrame:
+    """One sweep over cells of any number."""
+    now = now.coalesce(parts)
+    for margin in margins:
+        sums = now.groupBy(margin).agg(F.sum("weight").alias("held")).join(goals[margin], margin)
+        sums = sums.select(margin, (F.col("goal") / F.col("held")).alias(f"f_{margin}"))
+        now = now.join(sums, margin)
+        now = now.withColumn("weight", F.col("weight") * F.col(f"f_{margin}"))
     return now
 
 
