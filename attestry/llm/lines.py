@@ -448,7 +448,8 @@ def _without():
             kept.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop))
         return pa.array(kept, pa.string())
 
-    return without
+    # else a filter on its result would be pushed below it, and every text cut twice in two workers
+    return without.asNondeterministic()
 
 
 def dedup_lines(
