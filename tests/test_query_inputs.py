@@ -27,3 +27,9 @@ def test_prose_that_holds_a_phrase_by_chance(spark, tmp_path):
     # the operator itself finds it
     found = docs.select("doc_id", injection_match(normalise("text")).alias("m")).where("m IS NOT NULL")
     assert {r["doc_id"] for r in found.collect()} == {1, 2, 9}
+
+
+def test_whole_scan_of_prose_that_holds_a_phrase_by_chance(spark, tmp_path):
+    docs = spark.createDataFrame(PROSE, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "some words of an item")], "item_id bigint, text string")
+    assert against_sql(spark, tmp_path, "scan_integrity", documents=docs, benchmark=items) == ("", 5)
