@@ -20,13 +20,10 @@ from attestry.streaming import jobs
 
 
 def _stream(t: Tables, name: str):
-    """The table as a file stream."""
+    """The table as a file stream, whether it is one file or a folder of files."""
     schema = getattr(t, name).schema
-    return (
-        t.spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(t.root)
-    )
+    # a pattern, as a path without one has to be a folder
+    return t.spark.readStream.schema(schema).parquet(f"{t.root}/{name}.parque[t]")
 
 
 def _unordered(t: Tables, name: str, files: int = 3):

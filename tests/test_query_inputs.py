@@ -59,3 +59,11 @@ def test_tables_by_candidate_are_never_broadcast(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastExchange" not in plan, name
         assert "SortMergeJoin" in plan, name
+
+
+def test_stream_over_a_table_of_several_files(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "before " + words), (2, "nothing of it"), (3, words + " after")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, words)], "item_id bigint, text string")
+    problem, rows = against_sql(spark, tmp_path, "stream_screen", documents=docs, benchmark=items)
+    assert (problem, rows) == ("", 2)
