@@ -1,9 +1,11 @@
 """T2-T4 as stateful processors: rows wait in the state store until the watermark has passed.
 
-`InOrder` lets a key's rows through by event time, however they arrive.  A row waits in the slice
-of time it belongs to; a timer at the slice's end fires once the watermark is there, and timers
-fire in order of time.  Nobody holds a key's rows in memory: a micro-batch's rows are put away
-in parts of PART rows, and what is sorted is one slice of one key.  Rows behind the watermark are
+`InOrder` lets a key's rows through by event time, however they arrive.  Every read, write and
+timer is a call from Python to the store, so a key's rows wait in one value, and one timer at
+the first of them lets all go that the watermark has passed.  Only a key with more than HOLD
+waiting rows is dealt over slices of time: a row waits in its slice, in parts of PART rows, a
+timer at the slice's end fires once the watermark is there, and timers fire in order of time.
+So what is in memory is HOLD rows, or one slice of one key.  Rows behind the watermark are
 dropped by the engine (`jobs.route_late` keeps such rows), so every row that comes is judged at
 its own place.
 
@@ -19,10 +21,15 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+HOLD = 20_000
 PART = 2000
 SLICE_MS = 60_000
 
 
+def _us(row: tuple[int, int]) -> int:
+    return row[0]
+
+
 class InOrder(StatefulProcessor):
     """Calls step(value, us) → (new value, what to say) on each row of a key in time order.
 
@@ -37,49 +44,89 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._rows = handle.getMapState("rows", "slice bigint, part int", "rows array<struct<us:bigint,event_id:bigint>>")
+        row = "struct<us:bigint,event_id:bigint>"
+        # what is remembered, the rows that wait here, the number of slices, the time of the timer
+        self._held = handle.getValueState("held", f"value double, rows array<{row}>, slices int, timer bigint")
+        self._rows = handle.getMapState("rows", "slice bigint, part int", f"rows array<{row}>")
         self._parts = handle.getMapState("parts", "slice bigint", "n int")
-        self._value = handle.getValueState("value", "value double")
+
+    def _load(self) -> tuple[float | None, list[tuple[int, int]], int, int | None]:
+        held = self._held.get()
+        if held is None:
+            return None, [], 0, None
+        return held[0], [(r[0], r[1]) for r in held[1]], held[2], held[3]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        waiting, n = {}, 0
+        value, waiting, slices, timer = self._load()
+        most = PART if slices else HOLD
         for row in rows:
-            waiting.setdefault(row.us // 1000 // self._slice_ms, []).append((row.us, row.event_id))
-            n += 1
-            if n == PART:
-                self._put_away(waiting)
-                waiting, n = {}, 0
-        self._put_away(waiting)
+            waiting.append((row.us, row.event_id))
+            if len(waiting) > most:
+                slices += self._put_away(waiting)
+                waiting, most = [], PART
+        if slices:
+            slices += self._put_away(waiting)
+            waiting = []
+        elif waiting:
+            first = min(waiting, key=_us)[0] // 1000 + 1
+            if timer is None or first < timer:
+                self._handle.registerTimer(first)
+                timer = first
+        self._held.update((value, waiting, slices, timer))
         return iter([])
 
-    def _put_away(self, waiting: dict[int, list[tuple[int, int]]]) -> None:
-        for place, rows in waiting.items():
+    def _put_away(self, waiting: list[tuple[int, int]]) -> int:
+        """Deal rows over their slices; the number of slices that had none."""
+        places, new = {}, 0
+        for row in waiting:
+            places.setdefault(row[0] // 1000 // self._slice_ms, []).append(row)
+        for place, rows in places.items():
             n = self._parts.getValue((place,))[0] if self._parts.containsKey((place,)) else 0
-            self._rows.updateValue((place, n), (rows,))
-            self._parts.updateValue((place,), (n + 1,))
-            if n == 0:
-                self._handle.registerTimer((place + 1) * self._slice_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        expiry = expiredTimerInfo.getExpiryTimeInMs()
-        value = self._value.get()[0] if self._value.exists() else None
-        if expiry % self._slice_ms:  # not a slice's end: time to forget
-            if value is not None and self._until(value) <= expiry * 1000:
-                self._value.clear()
-            return
-        place = expiry // self._slice_ms - 1
+            for i in range(0, len(rows), PART):
+                self._rows.updateValue((place, n), (rows[i : i + PART],))
+                n, new = n + 1, new + (n == 0)
+            self._parts.updateValue((place,), (n,))
+            # the same timer twice is one
+            self._handle.registerTimer((place + 1) * self._slice_ms)
+        return new
+
+    def _take(self, place: int) -> list[tuple[int, int]]:
         rows = []
         for part in range(self._parts.getValue((place,))[0]):
             rows += [(r[0], r[1]) for r in self._rows.getValue((place, part))[0]]
             self._rows.removeKey((place, part))
         self._parts.removeKey((place,))
-        for us, event_id in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1])):
+        return rows
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        expiry = expiredTimerInfo.getExpiryTimeInMs()
+        value, waiting, slices, timer = self._load()
+        if slices:
+            place = expiry // self._slice_ms - 1
+            if expiry % self._slice_ms or not self._parts.containsKey((place,)):
+                return  # set when the key's rows were few
+            passed, until, slices = self._take(place), expiry, slices - 1
+        else:
+            until = max(expiry, timerValues.getCurrentWatermarkInMs())
+            passed = [r for r in waiting if r[0] <= until * 1000]
+            waiting = [r for r in waiting if r[0] > until * 1000]
+        for us, event_id in sorted(passed, key=lambda r: (r[0], r[1] is not None, r[1])):
             value, said = self._step(value, us)
             yield Row(key=key[0], event_id=event_id, us=us, allowed=said[0], wait_s=said[1])
-        self._value.update((value,))
-        # the first moment after the value's last one that is no slice's end
-        forget = int(self._until(value) // 1000) + 1
-        self._handle.registerTimer(max(forget + (forget % self._slice_ms == 0), expiry + 1))
+        if not slices:
+            if waiting:
+                following = min(waiting, key=_us)[0] // 1000 + 1
+            else:
+                following = None if value is None else int(self._until(value) // 1000) + 1
+                if following is not None and following <= until:
+                    value = following = None
+            if following is None:
+                self._held.clear()
+                return
+            if timer is None or timer <= until or following < timer:
+                self._handle.registerTimer(following)
+                timer = following
+        self._held.update((value, waiting, slices, timer))
 
     def close(self) -> None:
         pass
@@ -114,12 +161,11 @@ class Progress(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        shape = "done string, done_us bigint, open string, open_us bigint, last_us bigint"
+        shape = "done string, done_us bigint, open string, open_us bigint, last_us bigint, timer bigint"
         self._seen = handle.getValueState("seen", shape)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        done, done_us, shown, shown_us, last = self._seen.get() if self._seen.exists() else (None, None, None, None, None)
-        before = last
+        done, done_us, shown, shown_us, last, timer = self._seen.get() or (None,) * 6
         for row in rows:
             if row.status in self._terminal:
                 if done is None or (row.us, row.status) < (done_us, done):
@@ -127,19 +173,25 @@ class Progress(StatefulProcessor):
             elif row.status is not None and (shown is None or (-row.us, row.status) < (-shown_us, shown)):
                 shown, shown_us = row.status, row.us
             last = row.us if last is None else max(last, row.us)
-        self._seen.update((done, done_us, shown, shown_us, last))
-        if last != before:
-            if before is not None:
-                self._handle.deleteTimer(self._end(before))
-            self._handle.registerTimer(max(self._end(last), timerValues.getCurrentWatermarkInMs() + 1))
+        # a timer that is set is never too late: it finds the key's end when it fires
+        if timer is None:
+            timer = max(self._end(last), timerValues.getCurrentWatermarkInMs() + 1)
+            self._handle.registerTimer(timer)
+        self._seen.update((done, done_us, shown, shown_us, last, timer))
         yield Row(key=key[0], status=done or shown, done_us=done_us, us=last)
 
     def _end(self, us: int) -> int:
         return (us + self._keep_us) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self._seen.exists() and self._end(self._seen.get()[4]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self._seen.clear()
+        seen = self._seen.get()
+        if seen is not None:
+            end, now = self._end(seen[4]), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+            if end <= now:
+                self._seen.clear()
+            else:
+                self._handle.registerTimer(end)
+                self._seen.update((*seen[:5], end))
         return iter([])
 
     def close(self) -> None:

@@ -4,13 +4,15 @@ import random
 import uuid
 from dataclasses import replace
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from attestry.conf import DEFAULT
 from attestry.operators import copies, ledger, store
-from attestry.streaming import jobs
+from attestry.streaming import jobs, ordered
 
 SLOW = replace(DEFAULT, rate_per_min=1.0, burst=3.0, ttl_hours=24)
 WIDE = replace(SLOW, watermark="400 days")  # files may come in any order
@@ -256,3 +258,97 @@ def test_late_rows_are_kept(spark, tmp_path):
     # counts may be merged at any time
     assert store.compact(spark, f"{out}/counts", store.summed(["day", "kind"], ["n"]))
     assert {(r.day, r.kind): r.n for r in jobs.routed_counts(spark, out, "kind").collect()} == counts
+
+
+class Store:
+    """State and timers of one key, that count the calls from the processor."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps = 0, set(), []
+
+    def getValueState(self, name, schema):
+        return State(self)
+
+    def getMapState(self, name, key_schema, schema):
+        self.maps.append(State(self))
+        return self.maps[-1]
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def fire(self, processor, watermark):
+        """All timers up to the watermark, in order."""
+        told = []
+        while due := sorted(t for t in self.timers if t <= watermark):
+            for at in due:
+                times = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+                told += processor.handleExpiredTimer(("k",), times, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+                self.timers.discard(at)
+        return told
+
+
+class State:
+    def __init__(self, store):
+        self.store, self.held = store, {}
+
+    def _call(self, done):
+        self.store.calls += 1
+        return done
+
+    def get(self):
+        return self._call(self.held.get(()))
+
+    def update(self, value):
+        self._call(self.held.update({(): value}))
+
+    def clear(self):
+        self._call(self.held.clear())
+
+    def containsKey(self, key):
+        return self._call(key in self.held)
+
+    def getValue(self, key):
+        return self._call(self.held[key])
+
+    def updateValue(self, key, value):
+        self._call(self.held.update({key: value}))
+
+    def removeKey(self, key):
+        self._call(self.held.pop(key))
+
+
+@pytest.mark.parametrize("hold", [20_000, 90, 10])
+def test_rows_of_a_key_wait_in_few_calls(monkeypatch, hold):
+    """A key's rows are let through in time order, in a call or two a batch while they are few."""
+    monkeypatch.setattr(ordered, "HOLD", hold)
+    rng = random.Random(5)
+    gap = 7 * 60_000_000  # each row in a slice of its own
+    rows = [(i * gap + rng.randrange(gap), i) for i in range(300)]
+    said = []
+
+    def step(value, us):
+        said.append(us)
+        return float(us), (value is None or us - value >= gap, 0.0)
+
+    processor, handle = ordered.InOrder(step, lambda last: last + gap), Store()
+    processor.init(handle)
+    told, latest = [], 0
+    for k in range(6):
+        # rows come up to 40 late, the watermark is 60 rows behind
+        part = sorted(rows[50 * k : 50 * k + 50], key=lambda r: r[0] + rng.randrange(40) * gap)
+        list(processor.handleInputRows(("k",), iter([Row(us=u, event_id=i) for u, i in part]), None))
+        latest = max(u for u, _ in part) // 1000
+        told += handle.fire(processor, latest - 60 * gap // 1000)
+        assert said == [u for u, _ in rows[: len(said)]]
+    told += handle.fire(processor, latest + 10 * gap // 1000)
+    assert [(r.us, r.event_id) for r in told] == rows
+    want, last = [], None
+    for us, _ in rows:
+        want.append(last is None or us - last >= gap)
+        last = us
+    assert [r.allowed for r in told] == want
+    # nothing stays
+    assert not handle.timers and not any(m.held for m in handle.maps) and not processor._held.held
+    if hold == 20_000:
+        assert handle.calls < 60
