@@ -19,6 +19,7 @@ from attestry.conf import DEFAULT, Config
 from attestry.operators import store
 from attestry.operators.ledger import audit_row, latest_per_key
 from attestry.session import cut_lineage, own_stages
+from attestry.sources.corpus import spread
 from attestry.streaming import ordered
 
 TERMINAL = ("ok", "error", "skipped")
@@ -85,15 +86,16 @@ def merge_batch(
     batch's number.  A batch that comes again after a failure finds its commit and changes nothing.
 
     The batch is written first, as a plan reads it in several branches, and read in the caller's
-    session: a stream's own one plans without adaptive execution.  The plan's stage tables go
-    when its commit is there.
+    session: a stream's own one plans without adaptive execution.  Its rows are spread over
+    all cores, as a landed file is one part or a few.  The plan's stage tables go when its commit
+    is there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if any(v.endswith(f".{writer}.{batch_id}") for v in store.committed(spark, path)):
             return
         with own_stages(spark):
-            store.commit(screen(cut_lineage(batch, spark)), path, batch_id, writer)
+            store.commit(screen(spread(cut_lineage(batch, spark))), path, batch_id, writer)
 
     return write
 

@@ -183,6 +183,21 @@ def test_stream_screen_equals_batch(spark, tmp_path):
     assert sorted(got.collect()) == sorted(batch.collect())
 
 
+def test_a_landed_file_is_screened_on_all_cores(spark, tmp_path):
+    seen = []
+
+    def screen(batch):
+        seen.append(batch.rdd.getNumPartitions())
+        return batch
+
+    df = spark.range(1000).select(F.col("id").alias("doc_id"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/docs")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/docs")
+    jobs.stream_screen(stream, screen, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert seen == [spark.sparkContext.defaultParallelism]
+    assert jobs.merged_reports(spark, f"{tmp_path}/out", ["doc_id"]).count() == 1000
+
+
 SHAPE = "k string, v int, at int"
 
 
