@@ -11,6 +11,10 @@ from attestry.sources.corpus import spread
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+# what a task takes of a table of short rows; rows of texts are not shuffled for their number alone
+SHORT_ROWS = 50_000
+TEXTS = ("documents", "pages", "conversations")
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,8 +31,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table whose rows are expensive to process, spread over all cores if it is small."""
-        return spread(getattr(self, name))
+        """A table whose rows are expensive to process, spread over all cores if they lie in few parts."""
+        return spread(getattr(self, name), None if name in TEXTS else SHORT_ROWS)
 
 
 def query(sql: str | None = None, name: str | None = None):

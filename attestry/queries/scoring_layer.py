@@ -701,7 +701,7 @@ def skill_union(t):
         F.lit("\n\nExperience\nClerk at Mill, 2019 - 2021\n- Kept the ledgers"),
         F.when(key % 2 == 0, " with MySQL").otherwise(""), F.when(key % 3 == 0, " next to Kafka").otherwise(""), F.lit(" every day\n"),
     )
-    found = t.part.select("p_partkey", resume.profile_skills(resume.resume_sections(text)).alias("s"))
+    found = t.spread("part").select("p_partkey", resume.profile_skills(resume.resume_sections(text)).alias("s"))
     return found.select("p_partkey", F.array_join(F.array_sort("s"), ",").alias("skills"))
 
 

@@ -26,14 +26,22 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a small file: its few row groups make fewer splits than there are cores.
-
-    Only the plan is inspected.  Large inputs already have more splits than cores and are
-    returned as they are, without a shuffle.
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Use every core on a table whose rows lie in a few parts only.
+
+    A file is cut into splits by its size, but a row group is read whole by one of them, so a file
+    of one row group has many splits of which all but one are empty.  What counts is therefore the
+    rows each part really has: a count that reads no column.  A table whose fullest part holds
+    less than twice its share is returned as it is, without a shuffle.  `rows` bounds a task's
+    share for tables of short rows, which are cheap to shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+    found = parts.agg(F.sum("n").alias("all"), F.max("n").alias("fullest")).first()
+    if not found["all"]:
+        return df
+    tasks = max(cores, -(-found["all"] // rows) if rows else 0)
+    return df.repartition(tasks) if found["fullest"] * tasks > 2 * found["all"] else df
 
 
 def with_intake(docs: DataFrame, conf: Config = DEFAULT) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import injection_match, normalise
 from attestry.queries import ORACLES, QUERIES
+from attestry.queries.registry import Tables
+from attestry.sources.corpus import spread
 from oracle_check import compare
 
 
@@ -67,3 +69,24 @@ def test_stream_over_a_table_of_several_files(spark, tmp_path):
     items = spark.createDataFrame([(1, words)], "item_id bigint, text string")
     problem, rows = against_sql(spark, tmp_path, "stream_screen", documents=docs, benchmark=items)
     assert (problem, rows) == ("", 2)
+
+
+def test_one_row_group_in_many_splits_is_spread(spark, tmp_path):
+    spark.range(40000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        raw = spark.read.parquet(f"{tmp_path}/part.parquet")
+        assert raw.rdd.getNumPartitions() > cores  # all but one are empty
+        parts = Tables(spark, str(tmp_path)).spread("part").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    sizes = [p["count"] for p in parts]
+    assert sum(sizes) == 40000 and max(sizes) < 2 * 40000 / cores
+
+
+def test_short_rows_get_more_tasks_as_they_grow_in_number(spark):
+    rows = spark.range(0, 10000, 1, spark.sparkContext.defaultParallelism)
+    assert spread(rows) is rows
+    assert spread(rows, 100).rdd.getNumPartitions() == 100
