@@ -1,11 +1,15 @@
+import time
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from attestry.functions import dates, layout, quantities, skills, text, titles, urls
+from attestry.functions.dates import month_number
 from attestry.functions.rounding import round_even
+from attestry.functions.skills import GRAPH
 from attestry.operators.redact import header_name, redact
+from attestry.operators.resume import heading_key, is_dated, skills_in_prose
 
 AS_OF = date(2026, 7, 1)
 
@@ -134,3 +138,27 @@ def test_ordinary_words_are_never_masked_as_names(spark):
         [(1, "Docker and Kafka since 2019", "Docker Kafka Cv")], "id int, text string, name string"
     )
     assert redact(rows, name="name").first()["redacted"] == "Docker and Kafka since 2019"
+
+
+def test_a_date_without_a_month_number_costs_no_failed_cast(spark):
+    # a cast that fails is an exception, some 25 microseconds each
+    def seconds(number):
+        rows = spark.range(0, 300_000, 1, 1).select(F.concat(F.lit(number), F.substring(F.col("id").cast("string"), 1, 0)).alias("n"))
+        month = rows.select(month_number(F.lit(""), F.col("n")).alias("m"))
+        begun = time.monotonic()
+        assert month.groupBy("m").count().collect()[0]["count"] == 300_000
+        return time.monotonic() - begun
+
+    seconds("6")
+    assert seconds("") < 3 * seconds("6") + 1
+
+
+def test_lines_that_cheap_looks_settle(one):
+    heads = ["Skills", "WORK_EXPERIENCE:", "## Honours & Awards ##", "Tech Stack", "About me", "Skills & tools"]
+    assert [one(heading_key(F.col("x")), x=x) for x in heads] == ["skills", "experience", "achievements", "skills", "summary", "skills"]
+    assert [one(heading_key(F.col("x")), x=x) for x in ("Skills 2", "Work, at sea", "Projects.")] == [None] * 3
+    dated = ["2019 - 2021", "Jan 2019 TO present", "06/2019–07/2020", "۲۰۱۹ - ۲۰۲۱"]
+    assert all(one(is_dated(F.col("x")), x=x) for x in dated)
+    assert not any(one(is_dated(F.col("x")), x=x) for x in ("served 123456 users", "2019 and 2020", "2019 -"))
+    words = one(skills_in_prose(F.col("x"), GRAPH), x="We used Kafka, ci/cd, Docker/Kubernetes- and node.js. Go live")
+    assert words == ["Kafka", "ci/cd", "Docker", "Kubernetes", "node.js"]
