@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import injection_match, normalise
 from attestry.queries import ORACLES, QUERIES
+from attestry.plans.screen import profiles_of
 from attestry.queries.registry import Tables
 from attestry.sources.corpus import spread
 from oracle_check import compare
@@ -90,3 +91,15 @@ def test_short_rows_get_more_tasks_as_they_grow_in_number(spark):
     rows = spark.range(0, 10000, 1, spark.sparkContext.defaultParallelism)
     assert spread(rows) is rows
     assert spread(rows, 100).rdd.getNumPartitions() == 100
+
+
+def test_applications_of_one_part_are_read_by_all_cores(spark):
+    texts = spark.range(400).select(F.col("id").cast("string").alias("doc_id"), F.lit("Skills\nKafka, Go\n").alias("visible_text"))
+    applications = spark.range(0, 400, 1, 1).select(
+        F.col("id").cast("string").alias("candidate_id"), F.col("id").cast("string").alias("doc_id"), F.lit(1).alias("jd_id")
+    )
+    read = profiles_of(applications, texts).select("candidate_id", "skills", F.spark_partition_id().alias("part"))
+    rows = read.collect()
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+    assert len(rows) == 400 and len({r["part"] for r in rows}) == spark.sparkContext.defaultParallelism
