@@ -15,7 +15,7 @@ from attestry.llm.columns import bounded_batches, boxed, unboxed
 from attestry.llm.graph import link_groups
 from attestry.llm.hashing import long_lists, mix, powers, row_slices, seeded, signed, text_buffer
 from attestry.llm.membership import Membership, may_hold_column, membership
-from attestry.session import cut_lineage
+from attestry.session import by_merge, cut_lineage
 
 EDITS = 2
 # a line may differ by one character for each so many of its own
@@ -26,6 +26,11 @@ SLICE_CHARS = 1 << 18
 MATCHING = 3
 # beyond these edits a line has too many ways to hold them
 FINER_EDITS = 3
+# ids that meet in a key with more ids than this are cut into so many pieces instead, of which
+# all but those with an edit must match
+CROWD = 8
+WIDE, NARROW = 16, 4
+ENTRY_ROWS = 1 << 17
 
 
 def allowed_edits(length: np.ndarray, edits: int, per_edit: int) -> np.ndarray:
@@ -66,14 +71,40 @@ def cuts(length: np.ndarray, tau: int, i: int) -> tuple[np.ndarray, np.ndarray]:
     return i * size + np.maximum(0, i - plain), size + (i >= plain)
 
 
-def shifts(diff: int, tau: int, n: int = MATCHING) -> list[tuple[int, ...]]:
-    """How far n equal segments of a line can lie further on in one that is `diff` longer,
-    where tau edits are allowed: every change of the shift costs its size."""
-    steps = range(-tau, tau + 1)
-    paths = [((), 0, 0)]
-    for _ in range(n):
-        paths = [((*p, s), s, cost + abs(s - last)) for p, last, cost in paths for s in steps if cost + abs(s - last) <= tau]
-    return [p for p, last, cost in paths if cost + abs(diff - last) <= tau]
+def shifts(between: int, diff: int, tau: int) -> list[tuple[int, ...]]:
+    """How far the parts of a line lie further on in one that is `diff` longer, where tau edits
+    lie in the gaps between the parts: the first one not at all, the last one by `diff`, and
+    every change of the shift costs its size."""
+    paths = [((0,), 0)]
+    for _ in range(between):
+        paths = [((*p, s), cost + abs(s - p[-1])) for p, cost in paths for s in range(-tau, tau + 1)]
+    return [(*p, diff) for p, cost in paths if cost + abs(diff - p[-1]) <= tau]
+
+
+def gaps(tau: int, fine: bool) -> tuple[int, list[list[tuple[int, int]]]]:
+    """Into how many pieces a line is cut, and every list of gaps (first piece, end) of a key.
+
+    Wherever tau edits lie, the gaps of one list hold them all.  Coarse pieces are few and give
+    few keys.  Fine gaps hold little of the line: two edits lie in two narrow pieces that are near
+    each other, or in two wide ones that are not.
+    """
+    if not fine or tau > 2:
+        n = tau + MATCHING
+        chosen = [[(i, i + 1) for i in c] for c in combinations(range(n), tau)]
+    elif tau == 1:
+        n = WIDE
+        chosen = [[(i, i + 1)] for i in range(n)]
+    else:
+        n, k = WIDE * NARROW, NARROW
+        chosen = [[(a, a + 1), (b, b + 1)] for a, b in combinations(range(n), 2) if b // k - a // k <= 1]
+        chosen += [[(a * k, a * k + k), (b * k, b * k + k)] for a, b in combinations(range(WIDE), 2) if b - a > 1]
+    merged = []
+    for some in chosen:
+        out = some[:1]
+        for a, b in some[1:]:
+            out = [*out[:-1], (out[-1][0], b)] if out[-1][1] == a else [*out, (a, b)]
+        merged.append(out)
+    return n, merged
 
 
 class Lines:
@@ -148,32 +179,39 @@ class Lines:
                         yield chosen, self._key(chosen, (lo + k)[fits], size[fits], short[fits], tau, i)
 
 
-    def combined(self) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(line, key, own) for MATCHING segments at once, of edits + MATCHING a line is cut into.
+    def combined(self, fine: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(line, key, own) for all of a line but the pieces its edits may lie in.
 
-        As many segments stay whole under that many edits, so two lines that link share a key
-        of which one side is its own.  The other side's key takes substrings at shifted places.
+        An edit lies in a piece of the shorter line, an added character in the piece it stands
+        before.  What lies between two such pieces is whole in both lines, so two lines that link
+        share a key of which one side is its own.  The other side's key takes the parts at
+        shifted places.
         """
-        factor = seeded(MATCHING + 1, 2)
+        factor = seeded(2 + self.most, 2)
         for diff in range(self.most + 1):
             other = self.length - diff
             taus = allowed_edits(other, self.most, self.per_edit)
             for tau in range(max(1, diff), self.most + 1):
                 lines = np.flatnonzero(taus == tau)
-                n = tau + MATCHING
-                pieces = [cuts(other[lines], n - 1, i) for i in range(n)]
-                for which, chosen in enumerate(combinations(range(n), MATCHING)):
-                    for shift in shifts(diff, tau):
-                        at = [pieces[i][0] + s for i, s in zip(chosen, shift, strict=True)]
-                        size = [pieces[i][1] for i in chosen]
+                if not len(lines):
+                    continue
+                n, chosen = gaps(tau, fine)
+                starts = [cuts(other[lines], n - 1, i)[0] for i in range(n)] + [other[lines]]
+                salt = 1 << 16
+                for which, some in enumerate(chosen):
+                    ends = [*some, (n, n)]
+                    parts = [(a, b) for (_, a), (b, _) in zip([(0, 0), *some], ends, strict=True)]
+                    for shift in shifts(len(some) - 1, diff, tau):
+                        at = [starts[a] + s for (a, _), s in zip(parts, shift, strict=True)]
+                        size = [starts[b] - starts[a] for a, b in parts]
                         fits = np.ones(len(lines), bool)
                         for a, b in zip(at, size, strict=True):
                             fits &= (a >= 0) & (a + b <= self.length[lines])
-                        some = lines[fits]
-                        key = other[some].astype(np.uint64) * factor[0] + np.uint64(1024 * tau + which)
-                        for f, a, b in zip(factor[1:], at, size, strict=True):
-                            key = mix(key) + mix(self.hashes(self.start[some] + a[fits], b[fits])) * f
-                        yield some, signed(mix(key)), diff == 0 and not any(shift)
+                        held = lines[fits]
+                        key = other[held].astype(np.uint64) * factor[0] + np.uint64(salt * (2 * tau + fine) + which)
+                        for f, a, b in zip(factor[1:], at, size, strict=False):
+                            key = mix(key) + mix(self.hashes(self.start[held] + a[fits], b[fits])) * f
+                        yield held, signed(mix(key)), diff == 0 and not any(shift)
 
 
 def _line_slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
@@ -235,19 +273,30 @@ def _texts_of(edits: int, per_edit: int, wanted: Membership):
     return run
 
 
-def _combined_entries(edits: int, per_edit: int, index: Membership | None = None):
+def _combined_entries(edits: int, per_edit: int, fine: bool, index: Membership | None = None):
     """A line's own keys, or with the filter of all own keys the others that may be among them."""
 
+    def rows(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, n = [], [], 0
         for batch in batches:
             _, off = text_buffer(batch.column(1))
-            for lo, hi in row_slices(np.diff(off), SLICE_CHARS >> 4):
+            for lo, hi in row_slices(np.diff(off), SLICE_CHARS):
                 x = Lines(batch.column(1).slice(lo, hi - lo).to_pylist(), edits, per_edit)
-                for line, key, own in x.combined():
+                for line, key, own in x.combined(fine):
                     if own != (index is None):
                         continue
                     hit = np.ones(len(key), bool) if own else index.may_hold(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(x.id[line[hit]])], ["key", "id"])
+                    keys.append(key[hit])
+                    ids.append(x.id[line[hit]])
+                    n += len(keys[-1])
+                    if n >= ENTRY_ROWS:
+                        yield rows(keys, ids)
+                        keys, ids, n = [], [], 0
+        if n:
+            yield rows(keys, ids)
 
     return run
 
@@ -377,7 +426,8 @@ def repeated_lines(
     it at the starts where a segment of a line up to `edits` shorter can lie.  Pairs that meet
     are verified with a banded bit-parallel edit distance.  Lines that share a segment with
     other components to the end are cut into edits + MATCHING segments, of which MATCHING must
-    match at once; above FINER_EDITS edits they meet by single segments.  Lines are known by 64-bit hashes
+    match at once; those that then meet in a crowd must match in all but the small pieces their
+    edits lie in.  Above FINER_EDITS edits they meet by single segments.  Lines are known by 64-bit hashes
     while they are joined, and by 128 bits where equal ones are counted as one.
     """
     bounded_batches(docs.sparkSession)
@@ -402,24 +452,41 @@ def repeated_lines(
     own = own.where(may_hold_column(membership(useful), F.col("key"))).join(useful, "key", "left_semi")
     entries = own.select("key", "id").union(probes).distinct().withColumn("rank", F.lit(0))
 
+    known_texts = []
+
     def texts_of(ids: DataFrame) -> DataFrame:
-        texts = plain.mapInArrow(_texts_of(edits, per_edit, membership(ids, "id")), "id bigint, text string")
-        return cut_lineage(texts.groupBy("id").agg(F.min("text").alias("text")))
+        ids = cut_lineage(ids)
+        may_hold = membership(ids, "id")
+        if not known_texts:
+            # the first round asks for every line that shares a key, so texts are read once
+            texts = plain.mapInArrow(_texts_of(edits, per_edit, may_hold), "id bigint, text string")
+            known_texts.append(cut_lineage(texts.groupBy("id").agg(F.min("text").alias("text"))))
+            return known_texts[0]
+        return cut_lineage(known_texts[0].where(may_hold_column(may_hold, F.col("id"))).join(ids, "id", "left_semi"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
+        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
         met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
         met = met.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         met = met.where(F.abs(F.length("x") - F.length("y")) <= edits)
         return met.select("a", "b", "x", "y").mapInArrow(_checked(edits, per_edit), "a bigint, b bigint")
 
-    def finer(ids: DataFrame) -> DataFrame:
-        ids = cut_lineage(ids)
-        texts, entry = texts_of(ids).join(ids, "id", "left_semi"), "key bigint, id bigint"
-        own = cut_lineage(texts.mapInArrow(_combined_entries(edits, per_edit), entry).distinct())
-        others = texts.mapInArrow(_combined_entries(edits, per_edit, membership(own)), entry).distinct()
+    def keys_of(texts: DataFrame, fine: bool) -> DataFrame:
+        entry = "key bigint, id bigint"
+        own = cut_lineage(texts.mapInArrow(_combined_entries(edits, per_edit, fine), entry).distinct())
+        others = texts.mapInArrow(_combined_entries(edits, per_edit, fine, membership(own)), entry).distinct()
         return own.withColumn("own", F.lit(True)).union(others.withColumn("own", F.lit(False)))
 
+    def finer(ids: DataFrame) -> DataFrame:
+        texts = texts_of(ids)
+        coarse = cut_lineage(keys_of(texts, False))
+        crowd = coarse.groupBy("key").agg((F.count("*") > CROWD).alias("crowded"))
+        coarse = cut_lineage(coarse.join(crowd, "key"))
+        # two lines that link meet in a key of few lines, or both stand in a crowded one
+        crowded = cut_lineage(coarse.where("crowded").select("id").distinct())
+        fine = keys_of(cut_lineage(texts.join(crowded, "id", "left_semi")), True)
+        return coarse.where("NOT crowded").drop("crowded").union(fine)
+
     if edits <= FINER_EDITS:
         linked = link_groups(entries, verify, finer=finer, possible="x.own OR y.own")
     else:
@@ -477,7 +544,8 @@ def dedup_lines(
     # most texts need no shuffle: the filter says which documents surely lose no line
     maybe = may_hold_column(holds, F.xxhash64("id"))
     sure = rows.where(~maybe).select("row", text.alias("text"), F.lit(0).alias("n_removed"), F.lit(0).alias("near"))
-    some = rows.where(maybe).join(gone, "id", "left")
+    # the documents that lose lines grow with the input, so their table is never broadcast
+    some = rows.where(maybe).join(by_merge(gone), "id", "left")
     some = some.select(
         "row",
         F.when(F.col("gone").isNull(), text).otherwise(_without()(text, F.coalesce("gone", F.array().cast("array<bigint>")))).alias("text"),
@@ -486,7 +554,7 @@ def dedup_lines(
     )
     whole = sure.union(some)
     whole_text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
-    total = F.when(whole_text == "", 0).otherwise(F.regexp_count(whole_text, F.lit("\n")) + 1).cast("bigint")
+    total = F.when(whole_text == "", 0).otherwise(F.length(whole_text) - F.length(F.replace(whole_text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     info = F.struct(
         "text",
         total.alias("n_lines"),

@@ -126,6 +126,59 @@ def test_probes_meet_a_segment():
         assert any(a[s : s + n] == b[cut[i][0] : cut[i][0] + n] for i, s, n in L.probe_starts(len(a), len(b), tau))
 
 
+@pytest.mark.parametrize("fine", [False, True])
+def test_lines_within_their_edits_share_all_but_small_pieces(fine):
+    rnd = random.Random(9)
+    for _ in range(25):
+        n, most = rnd.choice([3, 20, 41, 64, 65, 90, 130]), rnd.choice([1, 2, 3])
+        line = "".join(rnd.choice("abc") for _ in range(n))
+        other = list(line)
+        for _ in range(rnd.randint(0, most)):
+            at = rnd.randrange(len(other) + 1)
+            other[at : at + rnd.randint(0, 1)] = rnd.choice(["", "a", "z"])
+        other = "".join(other)
+        per_edit = 1 if n < 20 else 20
+        shorter = min(len(line), len(other))
+        if shorter < per_edit or brute.edit_distance(line, other) > min(most, shorter // per_edit):
+            continue
+        x = L.Lines([line, other], most, per_edit)
+        keys = {(k, own): set() for k in (0, 1) for own in (True, False)}
+        for lines, key, own in x.combined(fine):
+            for k, v in zip(lines.tolist(), key.tolist(), strict=True):
+                keys[k, own].add(v)
+        ones, others = (keys[k, True] | keys[k, False] for k in (0, 1))
+        assert keys[0, True] & others or keys[1, True] & ones, (line, other)
+
+
+def test_near_copies_that_are_no_links_are_seldom_compared(spark, monkeypatch):
+    """Copies of a long line, each with a word of its own somewhere: far from each other, but for a few."""
+    rnd = random.Random(5)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    docs = {}
+    for d in range(150):
+        at = rnd.randrange(20, 380)
+        docs[d] = base[:at] + "".join(rnd.choice("klmnop") for _ in range(7)) + base[at:]
+    for d in range(150, 160):
+        docs[d] = docs[d - 150][:200] + "?" + docs[d - 150][201:]
+    seen, link_groups = [], L.link_groups
+
+    def counting(entries, verify, **other):
+        def counted(pairs):
+            seen.append(pairs.count())
+            return verify(pairs)
+
+        return link_groups(entries, counted, **other)
+
+    monkeypatch.setattr(L, "link_groups", counting)
+    got = dedup_lines(frame(spark, docs, []), into="found").collect()
+    near = {x.doc_id for x in got if x.found.n_near == 1}
+    pairs = [(a, b) for b in docs for a in range(b)]
+    linked = within_edits([docs[a] for a, _ in pairs], [docs[b] for _, b in pairs], np.full(len(pairs), 2))
+    assert near == {b for (_, b), yes in zip(pairs, linked.tolist(), strict=True) if yes} >= set(range(150, 160))
+    # every pair shares a segment; the last step once compared nearly half of them
+    assert len(seen) == 3 and seen[-1] < 150 * 149 / 2 / 5
+
+
 def test_lines_that_share_segments_meet_by_three_at_once():
     """Every pair within its edits has a key in common that is one side's own."""
     rnd = random.Random(8)
