@@ -36,8 +36,10 @@ def _term_pattern(graph: SkillGraph, extra: Column | None) -> Column:
     else:
         own = F.array_join(F.transform(extra, _quote), "|")
         body = F.when(F.size(extra) > 0, F.concat(own, F.lit("|"), static)).otherwise(static)
+    # each match starts where the last one ended: else the end of a text, where no term follows,
+    # is searched again from each of its characters
     return F.concat(
-        F.lit(r"(?Ud)((?s:.)*?)" + _BEFORE + "("), body, F.lit(")" + _AFTER)
+        F.lit(r"(?Ud)\G((?s:.)*?)" + _BEFORE + "("), body, F.lit(")" + _AFTER)
     )
 
 
@@ -47,18 +49,21 @@ def _key(term: Column, graph: SkillGraph) -> Column:
 
 def fact_keys(items: Column, graph: SkillGraph = GRAPH) -> Column:
     """Every key a list of requirement texts stands for."""
+    spelled = {a: [a, s] for a, s in _vocabulary(graph).items()}
 
-    def keys(r: Column) -> Column:
-        low = F.lower(F.trim(r))
+    def keys(low: Column) -> Column:
         inside = F.transform(
             F.regexp_extract_all(low, _term_pattern(graph, None), F.lit(2)),
             lambda t: _key(t, graph),
         )
         short = F.size(extract_all(low, NOT_S + "+")) <= 3
         name = F.when(short, canonical(low, graph))
-        return F.array_compact(F.concat(F.array(low, name), inside))
+        found = F.array_compact(F.concat(F.array(low, name), inside))
+        # a text that is a spelling itself holds that one and no other
+        return F.coalesce(F.when(low.isin(*spelled), lookup(spelled, low)), found)
 
-    return F.array_distinct(F.flatten(F.transform(items, keys)))
+    lows = F.transform(items, lambda r: F.lower(F.trim(r)))
+    return F.array_distinct(F.flatten(F.transform(lows, keys)))
 
 
 def _clauses(text: Column) -> Column:
@@ -99,7 +104,7 @@ def check_narratives(
                 ),
                 lambda r: F.lower(F.trim(r)),
             ),
-            lambda r: F.size(extract_all(r, NOT_S + "+")) > 1,
+            lambda r: r.rlike(NOT_S + r"\s+\S"),
         ).alias("_whole"),
         F.size(F.coalesce("matched", none)).alias("_n_matched"),
         F.size(F.coalesce("missing", none)).alias("_n_missing"),
@@ -143,12 +148,21 @@ def _skill_rules(
     ).withColumn("_low", F.lower("p.text"))
     pattern = _term_pattern(graph, F.col("_whole"))
     mentions = (
-        clauses.withColumn("_gaps", F.regexp_extract_all("_low", pattern, F.lit(1)))
-        .withColumn("_terms", F.regexp_extract_all("_low", pattern, F.lit(2)))
+        # exploded from inside a struct: an exploded column gets a filter on its size, which would
+        # search every clause a second time
+        clauses.withColumn(
+            "_found",
+            F.struct(
+                F.regexp_extract_all("_low", pattern, F.lit(1)).alias("gaps"),
+                F.regexp_extract_all("_low", pattern, F.lit(2)).alias("terms"),
+            ),
+        )
         .select(
-            key, "_matched", "_missing", "_partial", F.col("p.field").alias("field"), "_gaps",
-            "_terms", F.posexplode("_terms").alias("_i", "term"),
+            key, "_matched", "_missing", "_partial", F.col("p.field").alias("field"), "_found",
+            F.posexplode("_found.terms").alias("_i", "term"),
         )
+        .withColumn("_gaps", F.col("_found.gaps"))
+        .withColumn("_terms", F.col("_found.terms"))
         .withColumn(
             "_before",
             F.array_join(

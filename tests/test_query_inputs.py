@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 from pyspark.sql import functions as F
 
 from attestry.functions.text import injection_match, normalise
+from attestry.operators.narrative import check_narratives
 from attestry.queries import ORACLES, QUERIES
 from attestry.plans.screen import profiles_of
 from attestry.queries.registry import Tables
@@ -119,3 +122,33 @@ def test_roles_of_one_row_group_are_compared_on_all_cores(spark, tmp_path):
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     plan = QUERIES["judge_role"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
+
+
+def test_figures_and_terms_are_searched_once(spark, tmp_path):
+    # a filter on an exploded column's size goes below the projection and searches the text again
+    lines = spark.range(60).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") % 5).alias("l_partkey"),
+        F.col("id").cast("double").alias("l_quantity"),
+    )
+    parts = spark.range(5).select(F.col("id").alias("p_partkey"), (F.col("id") * 7).cast("int").alias("p_size"))
+    assert against_sql(spark, tmp_path, "judge_metric", lineitem=lines, part=parts) == ("", 60)
+    assert against_sql(spark, tmp_path, "check_narratives", lineitem=lines)[0] == ""
+    for name in ("judge_metric", "check_narratives"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        filters = [x for x in plan.splitlines() if " Filter " in x or x.strip(" :+-").startswith("Filter")]
+        assert not [x for x in filters if "regexp_extract_all" in x], name
+
+
+def test_end_of_a_text_without_terms_is_searched_once(spark):
+    # searched again from each character, 60,000 characters would take minutes
+    prose = spark.createDataFrame(
+        [(1, "word " * 12000, "", ["Solid Docker work " + "word " * 12000], [])],
+        "doc_id bigint, summary string, rationale string, strengths array<string>, risks array<string>",
+    )
+    facts = spark.createDataFrame(
+        [(1, ["Python"], ["docker"], [], 10.0, 2)],
+        "doc_id bigint, matched array<string>, missing array<string>, partial array<string>, base_score double, total_requirements int",
+    )
+    start = time.monotonic()
+    assert [r["type"] for r in check_narratives(prose, facts).collect()] == ["strength_contradicts_facts"]
+    assert time.monotonic() - start < 60
