@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.text import injection_match, normalise
 from attestry.operators.narrative import check_narratives
-from attestry.queries import ORACLES, QUERIES
+from attestry.queries import ORACLES, QUERIES, metrics_layer
 from attestry.plans.screen import profiles_of
 from attestry.queries.registry import Tables
 from attestry.sources.corpus import spread
@@ -152,3 +152,15 @@ def test_end_of_a_text_without_terms_is_searched_once(spark):
     start = time.monotonic()
     assert [r["type"] for r in check_narratives(prose, facts).collect()] == ["strength_contradicts_facts"]
     assert time.monotonic() - start < 60
+
+
+def test_invariance_is_audited_by_all_four_edits(spark, tmp_path):
+    customers = spark.range(96).select(
+        F.col("id").alias("c_custkey"), (F.col("id") * 7 % 25).cast("int").alias("c_nationkey")
+    )
+    nations = spark.range(25).select(F.col("id").cast("int").alias("n_nationkey"))
+    assert against_sql(spark, tmp_path, "invariance_audit", customer=customers, nation=nations) == ("", 4)
+    # and each edit changes each text
+    edited = metrics_layer._edited(Tables(spark, str(tmp_path)))[1]
+    texts = edited.groupBy("doc_id").agg(F.collect_set("variant").alias("v"), F.count_distinct("text").alias("n"))
+    assert {(tuple(sorted(r.v)), r.n) for r in texts.collect()} == {(("p1", "p2", "p3", "p4", "primary"), 5)}
