@@ -185,7 +185,7 @@ def ttl_dedup(fetches: DataFrame, conf: Config = DEFAULT) -> DataFrame:
     """
     definitive = fetches.where(F.col("status_code").isin(200, 404)).select("key", "event_id", "ts")
     ttl_us = conf.ttl_hours * 3600e6
-    told = ordered.in_order(definitive, "key", ordered.InOrder(_after_ttl(ttl_us), lambda last: last + ttl_us), conf.watermark)
+    told = ordered.in_order(definitive, "key", _after_ttl(ttl_us), lambda last: last + ttl_us, conf.watermark)
     return told.where("allowed").select("key", "event_id", "ts")
 
 
@@ -222,7 +222,7 @@ def stream_rate_audit(events: DataFrame, conf: Config = DEFAULT) -> DataFrame:
         return free_at, (wait == 0.0, wait / 1e6)
 
     # a free place in the past says nothing any more
-    told = ordered.in_order(events, "client", ordered.InOrder(step, lambda free_at: free_at), conf.watermark)
+    told = ordered.in_order(events, "client", step, lambda free_at: free_at, conf.watermark)
     return told.select("client", "event_id", "ts", "allowed", "wait_s")
 
 

@@ -367,3 +367,41 @@ def test_rows_of_a_key_wait_in_few_calls(monkeypatch, hold):
     assert not handle.timers and not any(m.held for m in handle.maps) and not processor._held.held
     if hold == 20_000:
         assert handle.calls < 60
+
+
+@pytest.fixture
+def many_keys(spark, tmp_path):
+    """4,000 keys of three events each, in two files that come in any order, and a row that moves the watermark."""
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=rng.randrange(40_000)), f"c{i % 4000}") for i in range(12_000)]
+    schema = "event_id bigint, ts timestamp, client string"
+    dealt = rng.sample(rows, len(rows))
+    for k, part in enumerate((dealt[:6000], dealt[6000:], [(-1, start + timedelta(days=900), None)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/many/{k}")
+    stream = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true").parquet(f"{tmp_path}/many")
+    )
+    return rows, spark.createDataFrame(rows, schema), stream
+
+
+def run_in_few_states(spark, tmp_path, stream, **kw):
+    """What a stream wrote; it may not hold a row of state for each key."""
+    home = f"{tmp_path}/{uuid.uuid4().hex}"
+    query = jobs.land(stream, f"{home}/out", f"{home}/state", **kw)
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= ordered.BUCKETS, held
+    return jobs.landed(spark, f"{home}/out")
+
+
+def test_progress_of_many_keys(spark, tmp_path, many_keys):
+    _, static, stream = many_keys
+    status = F.when(F.col("event_id") % 7 == 3, "ok").otherwise("started")
+    batch = jobs.progress(static.withColumn("status", status), ["client"])
+    stages = stream.where("client IS NOT NULL").withColumn("status", status)
+    told = run_in_few_states(spark, tmp_path, jobs.stream_progress(stages, "client", WIDE), mode="update")
+    # a row for each key of a batch
+    assert told.count() == told.select("batch", "client").distinct().count()
+    assert sorted(jobs.progress_of(told, "client").select(batch.columns).collect()) == sorted(batch.collect())
