@@ -405,3 +405,53 @@ def test_progress_of_many_keys(spark, tmp_path, many_keys):
     # a row for each key of a batch
     assert told.count() == told.select("batch", "client").distinct().count()
     assert sorted(jobs.progress_of(told, "client").select(batch.columns).collect()) == sorted(batch.collect())
+
+
+def test_ttl_dedup_of_many_keys(spark, tmp_path, many_keys):
+    rows, _, stream = many_keys
+    last, want = {}, set()
+    for i, ts, client in sorted(rows, key=lambda r: (r[1], r[0])):
+        if client not in last or (ts - last[client]).total_seconds() >= 4 * 3600:
+            last[client] = ts
+            want.add(i)
+    assert 4000 < len(want) < 12_000
+    fetched = stream.withColumn("status_code", F.lit(200)).withColumnRenamed("client", "key")
+    got = run_in_few_states(spark, tmp_path, jobs.ttl_dedup(fetched, replace(WIDE, ttl_hours=4)))
+    assert {r.event_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("hold", [5000, 60, 7])
+def test_rows_of_many_keys_wait_together(monkeypatch, hold):
+    """Keys of a bucket are judged each by itself and in time order, in a call or two a batch while rows are few."""
+    monkeypatch.setattr(ordered, "HOLD", hold)
+    rng = random.Random(9)
+    gap = 90_000_000
+    rows = [(rng.randrange(400) * gap // 7, i, rng.choice("abcdefgh")) for i in range(400)]
+    rows.sort(key=lambda r: r[0])
+
+    def step(last, us):
+        fresh = last is None or us - last >= gap
+        return (float(us) if fresh else last), (fresh, 0.0)
+
+    processor, handle = ordered.InOrder(step, lambda last: last + gap, ordered.told_in_lists), Store()
+    processor.init(handle)
+    told, latest = [], 0
+    for k in range(8):
+        part = sorted(rows[50 * k : 50 * k + 50], key=lambda r: r[0] + rng.randrange(3) * gap)
+        list(processor.handleInputRows((3,), iter([Row(us=u, event_id=i, key=c) for u, i, c in part]), None))
+        latest = max(r[0] for r in part) // 1000
+        told += handle.fire(processor, latest - 4 * gap // 1000)
+    told += handle.fire(processor, latest + 2 * gap // 1000)
+    got, times = {}, {}
+    for r in told:
+        got |= dict(zip(r.event_id, map(bool, r.allowed), strict=True))
+        for c, us in zip(r.key, r.us.tolist(), strict=True):
+            times.setdefault(c, []).append(us)
+    want, last = {}, {}
+    for us, i, c in sorted(rows, key=lambda r: r[:2]):
+        last[c], (want[i], _) = step(last.get(c), us)
+    assert got == want and any(want.values()) and not all(want.values())
+    assert all(t == sorted(t) for t in times.values())
+    assert not handle.timers and not any(m.held for m in handle.maps) and not processor._held.held
+    if hold == 5000:
+        assert handle.calls < 80
