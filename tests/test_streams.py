@@ -455,3 +455,12 @@ def test_rows_of_many_keys_wait_together(monkeypatch, hold):
     assert not handle.timers and not any(m.held for m in handle.maps) and not processor._held.held
     if hold == 5000:
         assert handle.calls < 80
+
+
+def test_rate_audit_of_many_keys(spark, tmp_path, many_keys):
+    _, static, stream = many_keys
+    slow = replace(SLOW, rate_per_min=1 / 120, burst=1.0)
+    want = {r.event_id: r.allowed for r in jobs.rate_audit(static, slow).collect()}
+    assert any(want.values()) and not all(want.values())
+    got = run_in_few_states(spark, tmp_path, jobs.stream_rate_audit(stream, replace(slow, watermark=WIDE.watermark)))
+    assert {r.event_id: r.allowed for r in got.collect()} == want
